@@ -24,19 +24,22 @@ HOPS = 4  # growth per level
 MAX_LEVELS = 60
 
 
-def _head_start(vertex, level: int):
-    """Exp(BETA), drawn from a hash so that a recomputed task draws the same."""
-    u = (F.pmod(F.xxhash64(vertex, F.lit(level)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+def _head_start(vertex, level):
+    """Exp(BETA), drawn from a hash so that a recomputed task draws the same. `level` is a column, so that all levels run the same compiled code."""
+    u = (F.pmod(F.xxhash64(vertex, level), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     return -F.log(u) / BETA
 
 
-def _cluster(edges: DataFrame, level: int) -> DataFrame:
-    """(v, c): the cluster centre each vertex of `edges` (a, b) has joined after HOPS hops."""
-    both = edges.select(F.col("a").alias("s"), F.col("b").alias("d")).unionByName(edges.select(F.col("b").alias("s"), F.col("a").alias("d")))
-    state = both.select(F.col("s").alias("v")).distinct().select("v", F.struct((-_head_start(F.col("v"), level)).alias("at"), F.col("v").alias("c")).alias("best"))
+def _cluster(edges: DataFrame) -> DataFrame:
+    """(v, c): the cluster centre each vertex of `edges` (a, b, level) has joined after HOPS hops."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("s"), F.col("b").alias("d")), F.struct(F.col("b").alias("s"), F.col("a").alias("d")))).alias("e"), "level")
+    ends = ends.select("e.*", "level", F.lit(1.0).alias("far"))
+    starts = ends.groupBy("s").agg(F.first("level").alias("level"))
+    steps = ends.select("s", "d", "far").unionByName(starts.select("s", F.col("s").alias("d"), F.lit(0.0).alias("far")))
+    state = starts.select(F.col("s").alias("v"), F.struct((-_head_start(F.col("s"), F.col("level"))).alias("at"), F.col("s").alias("c")).alias("best"))
     for _ in range(HOPS):
-        arrivals = both.join(state, F.col("s") == F.col("v")).select(F.col("d").alias("v"), F.struct((F.col("best.at") + 1).alias("at"), F.col("best.c").alias("c")).alias("best"))
-        state = state.unionByName(arrivals).groupBy("v").agg(F.min("best").alias("best"))
+        reached = steps.join(state, F.col("s") == F.col("v")).select("d", F.struct((F.col("best.at") + F.col("far")).alias("at"), F.col("best.c").alias("c")).alias("best"))
+        state = reached.groupBy(F.col("d").alias("v")).agg(F.min("best").alias("best"))
     return state.select("v", F.col("best.c").alias("c"))
 
 
@@ -44,7 +47,7 @@ def _contract(edges: DataFrame, clusters: DataFrame) -> DataFrame:
     to_a = clusters.select(F.col("v").alias("a"), F.col("c").alias("ca"))
     to_b = clusters.select(F.col("v").alias("b"), F.col("c").alias("cb"))
     moved = edges.join(to_a, "a").join(to_b, "b").where("ca <> cb")
-    return moved.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+    return moved.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), (F.col("level") + 1).alias("level")).distinct()
 
 
 def components(spark: SparkSession, vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -60,13 +63,13 @@ def components(spark: SparkSession, vertices: DataFrame, edges: DataFrame) -> Da
     ids = scratch.write(ids.withColumn("n", F.monotonically_increasing_id()), "ids")
     left, right = ids.select(F.col("id").alias("a"), F.col("n").alias("na")), ids.select(F.col("id").alias("b"), F.col("n").alias("nb"))
     links = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = links.join(left, "a").join(right, "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    links = links.join(left, "a").join(right, "b").select(F.col("na").alias("a"), F.col("nb").alias("b"), F.lit(0).alias("level"))
     links = scratch.write(links, "links")
     levels: list[DataFrame] = []
     while not links.isEmpty():
         if len(levels) == MAX_LEVELS:
             raise RuntimeError(f"links are left after {MAX_LEVELS} levels")
-        clusters = scratch.write(_cluster(links, len(levels)), "clusters")
+        clusters = scratch.write(_cluster(links), "clusters")
         levels.append(clusters)
         inner, links = links, scratch.write(_contract(links, clusters), "links")
         scratch.drop(inner)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["components"]
+MODULES = ["components", "syntax"]
 
 QUERIES: dict = {}
 SQL: dict = {}
