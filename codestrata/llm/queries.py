@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["components", "syntax"]
+MODULES = ["components", "syntax", "credentials"]
 
 QUERIES: dict = {}
 SQL: dict = {}
