@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["components", "syntax", "credentials"]
+MODULES = ["components", "syntax", "credentials", "together"]
 
 QUERIES: dict = {}
 SQL: dict = {}
