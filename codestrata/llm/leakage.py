@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 from codestrata.session import table
 
 MIN_WORDS = 14
-# 1: the word counts, 0: it is ignored. Of six words each, so that half of a least passage can still be hit.
-MASKS = ("111111", "1110111", "1101111", "11011011", "111010011", "1100111001")
+# 1: the word counts, 0: it is ignored. Blocks of words with a hole or two: scattered words would match any two sentences of one pattern.
+MASKS = ("111111", "11110111", "11101111", "111011011")
 BAND = 8  # added less dropped words that an alignment may gather
-NEAR, NEAR_SHIFT, NEAR_WORDS = 14, 3, 10  # words to compare around a hit, shifts, and how many must agree
-MISS, GAP = 1.5, 1.2  # what a changed, and an added or dropped, word costs, against 1 for an equal one
+NEAR, NEAR_SHIFT, NEAR_WORDS = 14, 1, 9  # words to compare around a hit, shifts, and how many must agree
+MISS, GAP = 3.0, 3.0
 ITEMS_PER_BLOCK = 5000
 
 _WORD = re.compile(r"[^\W_]+")
