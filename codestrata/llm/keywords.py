@@ -48,72 +48,121 @@ _TOKEN = re.compile(
 _OPEN_TAG = re.compile(r"<a\s[^<>]*?href\s*=\s*[\"']?([^\"'\s>]+)[^<>]*>", re.I)
 _HTML = re.compile(r"</?[A-Za-z][^<>]*>")
 _MARK = re.compile(r"^[ \t]*(?:[-*+>|]+|#{1,6}(?=\s)|\d+[.)](?=\s)|\[[^\]\n]{0,20}\](?!\())[ \t]*")
+# A link with its label or its brackets, as it stands before or behind a sentence.
+_ATTACHED = re.compile(r"\(?\[[^\[\]\n]*\]\(\s*(?:https?|ftp)://[^\s()]*\s*\)\)?:?|\((?:see|siehe|ver|voir|cf\.?)?\s*(?:https?|ftp)://[^\s()]*\s*\)|(?:https?|ftp)://[^\s<>\"')\]]+", re.I)
+FUNCTION_SHARE = 0.15
 # Lines that are neither prose nor keywords: headings, tables, code, rules.
 _NEUTRAL = re.compile(r"^(?: {4}|\t)|^[ \t]*(?:#{1,6} |\|.*\|[ \t]*$|```|[-=*_]{3,}[ \t]*$|[\w./-]+\(.*\);?[ \t]*$)")
-UNIT = 40  # tokens of a unit at most; longer lines are cut after sentence ends or here
+UNIT, LEAST_UNIT = 40, 6
 MIN_UNIT = 4
 MIN_TRAIN_WORDS, MIN_TRAIN_FUNCTION = 5, 2
-HIGH, LOW = 2.2, 2.6  # deviations from the prose units' mean entropy
+HIGH, LOW = 1.25, 0.7  # deviations of the prose's bits per token by which a unit's mean may lie above and below theirs
 BATCH_ROWS = 1000
 
 
-def classify(text: str) -> list[tuple[list[int], bool]]:
-    """Units of the text as class sequences, and whether each may count (headings, tables and code do not)."""
-    units: list[tuple[list[int], bool]] = []
+def _classes(line: str) -> list[int]:
+    seq = []
+    for m in _TOKEN.finditer(line):
+        k = m.lastgroup
+        if k == "word":
+            w = m[0].lower()
+            c = _CLASS.get(w)
+            if c is None and ("'" in w or "’" in w):
+                c = _CLASS.get(re.split("['’]", w)[0])
+            if c is None:
+                c = UPPER if m[0][0].isupper() else LOWER
+        else:
+            c = {"code": CODE, "link": LINK, "tag": TAG, "num": NUMBER, "mixed": MIXED if "_" not in m[0] else CODE, "stop": STOP, "sign": SIGN}[k]
+        seq.append(c)
+    return seq
+
+
+def classify(text: str) -> list[list[list[int]]]:
+    """Units of the text as pieces (sentences, or lines without one) of class sequences; headings, tables and code are left out.
+
+    A line that goes on in lower case is joined to the one before unless that ended a sentence. A link that is
+    attached to a sentence is left out; a line that has links but no sentence keeps them. A piece of UNIT tokens
+    is cut; neighbouring pieces of less than LEAST_UNIT tokens are put together.
+    """
     t = _OPEN_TAG.sub(r" \1 ", text) if "<" in text else text
     t = _HTML.sub(" ", t) if "<" in t else t
     fenced = False
+    lines: list[list[int]] = []
+    after = False  # whether the next line may go on with the last one
     for line in t.split("\n"):
         if line.lstrip().startswith("```"):
             fenced = not fenced
+            after = False
             continue
-        if not line.strip():
+        if fenced or not line.strip() or _NEUTRAL.match(line):
+            after = False
             continue
-        counts = not fenced and not _NEUTRAL.match(line)
         line = _MARK.sub("", line)
-        seq: list[int] = []
-        for m in _TOKEN.finditer(line):
-            k = m.lastgroup
-            if k == "word":
-                w = m[0].lower()
-                c = _CLASS.get(w)
-                if c is None:
-                    c = _CLASS.get(re.split("['’]", w)[0]) if "'" in w or "’" in w else None
-                if c is None:
-                    c = UPPER if m[0][0].isupper() else LOWER
-            else:
-                c = {"code": CODE, "link": LINK, "tag": TAG, "num": NUMBER, "mixed": MIXED if "_" not in m[0] else CODE, "stop": STOP, "sign": SIGN}[k]
-            seq.append(c)
-            if len(seq) >= UNIT or c == STOP and len(seq) >= UNIT // 2:
-                units.append((seq, counts))
-                seq = []
-        if seq:
-            units.append((seq, counts))
+        seq = _classes(line)
+        if LINK in seq:
+            bare = _classes(_ATTACHED.sub(" ", line))
+            words = [c for c in bare if c in _WORD_CLASSES]
+            if len(words) >= MIN_TRAIN_WORDS and sum(c in _FUNCTION_CLASSES for c in words) >= max(MIN_TRAIN_FUNCTION, FUNCTION_SHARE * len(words)):
+                seq = [c for c in bare if c != LINK]
+        if after and line.lstrip()[:1].islower() and seq:
+            lines[-1] += seq
+        elif seq:
+            lines.append(seq)
+        after = bool(seq) and seq[-1] != STOP
+    units: list[list[list[int]]] = []
+    unit: list[list[int]] = []
+    held = 0
+    for seq in lines:
+        at = 0
+        while at < len(seq):
+            end = at + UNIT
+            for k in range(at, min(end, len(seq))):
+                if seq[k] == STOP:
+                    end = k + 1
+                    break
+            piece = seq[at:end]
+            at = end
+            if unit and len(piece) >= LEAST_UNIT:
+                units.append(unit)
+                unit, held = [], 0
+            unit.append(piece)
+            held += len(piece)
+            if held >= LEAST_UNIT:
+                units.append(unit)
+                unit, held = [], 0
+    if unit:
+        units.append(unit)
     return units
 
 
-_WORDLIKE = np.zeros(A, dtype=bool)
-_WORDLIKE[[DET, PREP, CONJ, PRON, AUX, ADV, LOWER, UPPER, MIXED, LINK, TAG]] = True
+_WORD_CLASSES = frozenset({DET, PREP, CONJ, PRON, AUX, ADV, LOWER, UPPER, MIXED, TAG})
+_FUNCTION_CLASSES = frozenset({DET, PREP, CONJ, PRON, AUX, ADV})
+# What a token adds to a page's words; a link stands for the words of its host and path.
+_WEIGHT = np.zeros(A, dtype=np.int64)
 _FUNCTION = np.zeros(A, dtype=bool)
 _FUNCTION[[DET, PREP, CONJ, PRON, AUX, ADV]] = True
+_WEIGHT[[DET, PREP, CONJ, PRON, AUX, ADV, LOWER, UPPER, MIXED, TAG]] = 1
+_WEIGHT[LINK] = 3
 
 
-def _codes(seqs: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """The N-gram number of each token after N - 1 breaks, and its unit."""
-    flat = np.array([x for s in seqs for x in [BREAK] * (N - 1) + s], dtype=np.int64)
-    unit = np.repeat(np.arange(len(seqs)), [len(s) + N - 1 for s in seqs])
+def _codes(pieces: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The N-gram number of each token, every piece beginning after N - 1 breaks, and its piece."""
+    flat = np.array([x for s in pieces for x in [BREAK] * (N - 1) + s], dtype=np.int64)
+    sizes = np.array([len(s) + N - 1 for s in pieces], dtype=np.int64)
+    piece = np.repeat(np.arange(len(pieces)), sizes)
     code = np.zeros(len(flat), dtype=np.int64)
     for k in range(N):
         shifted = np.concatenate([np.zeros(N - 1 - k, dtype=np.int64), flat])[: len(flat)]
         code = code * A + shifted
-    starts = np.concatenate([[0], np.cumsum([len(s) + N - 1 for s in seqs])[:-1]]) if seqs else np.array([], dtype=np.int64)
-    real = np.arange(len(flat)) - starts[unit] >= N - 1 if len(flat) else np.array([], dtype=bool)
-    return code[real], unit[real]
+    real = np.arange(len(flat)) - (np.cumsum(sizes) - sizes)[piece] >= N - 1
+    return code[real], piece[real]
 
 
 def _is_prose(s: list[int]) -> bool:
-    a = np.array(s)
-    return s[-1] == STOP and _WORDLIKE[a].sum() >= MIN_TRAIN_WORDS and _FUNCTION[a].sum() >= MIN_TRAIN_FUNCTION and not (a == LINK).any()
+    """A sentence to learn from."""
+    words = sum(c in _WORD_CLASSES for c in s)
+    function = sum(c in _FUNCTION_CLASSES for c in s)
+    return s[-1] == STOP and words >= MIN_TRAIN_WORDS and function >= max(MIN_TRAIN_FUNCTION, FUNCTION_SHARE * words) and LINK not in s and TAG not in s
 
 
 def prose_counts(texts: DataFrame) -> DataFrame:
@@ -122,7 +171,7 @@ def prose_counts(texts: DataFrame) -> DataFrame:
     def run(batches):
         for pdf in batches:
             for at in range(0, len(pdf), BATCH_ROWS):
-                seqs = [s for t in pdf["text"].iloc[at : at + BATCH_ROWS] for s, ok in classify(t) if ok and _is_prose(s)]
+                seqs = [s for t in pdf["text"].iloc[at : at + BATCH_ROWS] for u in classify(t) for s in u if _is_prose(s)]
                 code, _ = _codes(seqs)
                 found, n = np.unique(code, return_counts=True)
                 yield pd.DataFrame({"code": found, "n": n.astype("int64")})
@@ -131,7 +180,7 @@ def prose_counts(texts: DataFrame) -> DataFrame:
 
 
 def model(counts: pd.DataFrame) -> tuple[np.ndarray, float, float]:
-    """Bits of each N-gram's last class given those before, and the mean and deviation of a prose unit's entropy.
+    """Bits of each N-gram's last class given those before, and their mean and deviation over the prose.
 
     Orders are interpolated by the Witten-Bell rule, from the uniform distribution upwards. Without prose every
     class is equally likely and nothing is abnormal.
@@ -154,22 +203,23 @@ def model(counts: pd.DataFrame) -> tuple[np.ndarray, float, float]:
 
 def shares(texts: list[str], bits: np.ndarray, mean: float, spread: float) -> list[tuple[int, int]]:
     """Per text: words and links in abnormal units, and in all units that count."""
-    seqs, owner = [], []
+    pieces, unit, owner = [], [], []
     for i, t in enumerate(texts):
-        for s, ok in classify(t):
-            if ok:
-                seqs.append(s)
-                owner.append(i)
+        for u in classify(t):
+            pieces += u
+            unit += [len(owner)] * len(u)
+            owner.append(i)
     out = np.zeros((len(texts), 2), dtype=np.int64)
-    if not seqs or not spread:
+    if not pieces or not spread:
         return [tuple(map(int, x)) for x in out]
-    code, unit = _codes(seqs)
-    size = np.bincount(unit, minlength=len(seqs))
-    entropy = np.bincount(unit, weights=bits[code], minlength=len(seqs)) / np.maximum(size, 1)
-    # A mean over few tokens strays further from the prose mean.
-    room = spread / np.sqrt(np.maximum(size, 1))
-    odd = ((entropy > mean + HIGH * room) | (entropy < mean - LOW * room)) & (size >= MIN_UNIT)
-    words = np.bincount(unit, weights=_WORDLIKE[code % A], minlength=len(seqs)).astype(np.int64)
+    code, piece = _codes(pieces)
+    of, n = np.array(unit)[piece], len(owner)
+    size = np.bincount(of, minlength=n)
+    entropy = np.bincount(of, weights=bits[code], minlength=n) / np.maximum(size, 1)
+    odd = ((entropy > mean + HIGH * spread) | (entropy < mean - LOW * spread)) & (size >= MIN_UNIT)
+    words = np.bincount(of, weights=_WEIGHT[code % A], minlength=n).astype(np.int64)
+    # Odd sentences are sentences still: shouted, cut off or in a list, they keep their function words.
+    odd &= np.bincount(of, weights=_FUNCTION[code % A], minlength=n) < FUNCTION_SHARE * words
     np.add.at(out, (np.array(owner), 0), words * odd)
     np.add.at(out, (np.array(owner), 1), words)
     return [tuple(map(int, x)) for x in out]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["components", "syntax", "credentials", "together", "provenance", "leakage"]
+MODULES = ["components", "syntax", "credentials", "together", "provenance", "leakage", "keywords"]
 
 QUERIES: dict = {}
 SQL: dict = {}
