@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["components", "syntax", "credentials", "together", "provenance", "leakage", "keywords"]
+MODULES = ["components", "syntax", "credentials", "together", "provenance", "leakage", "keywords", "ideal_point", "packing"]
 
 QUERIES: dict = {}
 SQL: dict = {}
