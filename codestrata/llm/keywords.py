@@ -231,7 +231,7 @@ def page_shares(spark: SparkSession, docs: DataFrame) -> DataFrame:
     The model is counted over all documents; the texts are read once more to be scored. A page without words has
     zeros. Repeated rows stay repeated; copies get the same figures; texts of any length are taken whole.
     """
-    docs = docs.select("doc_id", "text").where("text IS NOT NULL AND length(trim(text)) > 0")
+    docs = docs.select("doc_id", "text").where(F.col("text").rlike(r"\S"))
     counts = prose_counts(docs).toPandas()  # at most 16**N rows
     fitted = spark.sparkContext.broadcast(model(counts))  # 16**N floats
 

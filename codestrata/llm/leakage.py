@@ -207,7 +207,7 @@ def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     items = openings(items)
     blocks = max(1, -(-items.count() // ITEMS_PER_BLOCK))
-    docs = docs.select("doc_id", "text").where("text IS NOT NULL AND length(trim(text)) > 0")
+    docs = docs.select("doc_id", "text").where(F.col("text").rlike(r"\S"))
     out = None
     for k in range(blocks):
         rows = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id").collect()]

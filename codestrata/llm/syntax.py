@@ -14,6 +14,7 @@ import ast
 import re
 import warnings
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -307,14 +308,15 @@ def syntax_defects(texts: DataFrame) -> DataFrame:
     See `defect` for NULLs and empty texts. Repeated rows stay repeated. One text is held at a time with its
     blanked copy; Arrow batches keep the worker's memory at a few texts of any length.
     """
-    rest = [f for f in texts.schema.fields if f.name != "text"]
+    rest = [f for f in texts.schema.fields if f.name not in ("text", "defect")]
     names = [f.name for f in rest]
 
     def run(batches):
         for pdf in batches:
-            why = [defect(a, b) for a, b in zip(pdf["language"], pdf["text"], strict=True)]
-            keep = [w is not None for w in why]
-            yield pdf.loc[keep, names].assign(defect=[w for w in why if w is not None])
+            why = [defect(a, b) for a, b in zip(pdf["language"].tolist(), pdf["text"].tolist(), strict=True)]
+            keep = np.array([w is not None for w in why], dtype=bool)
+            out = {c: pdf[c].to_numpy(dtype=object)[keep] for c in names}
+            yield pd.DataFrame(out | {"defect": np.array([w for w in why if w is not None], dtype=object)})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
     return texts.mapInPandas(run, f"{schema}, defect string")
