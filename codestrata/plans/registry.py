@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["orphans"]
+MODULES = ["orphans", "history"]
 
 QUERIES: dict = {}
 SQL: dict = {}
