@@ -101,7 +101,7 @@ def change_risk(commits: DataFrame, touched: DataFrame) -> DataFrame:
     x = shape.join(known, "hash").withColumn("entropy", spread(F.col("lines"), F.col("_w"), F.col("files")))
     part = lambda c, full: F.least(F.col(c) / float(full), F.lit(1.0))
     score = 0.20 * part("files", 20) + 0.25 * part("lines", 500) + 0.20 * part("subsystems", 8) + 0.15 * F.col("entropy") + 0.20 * (1.0 - part("prior", 50))
-    return x.select("hash", "files", "lines", "subsystems", F.round("entropy", 6).alias("entropy"), "prior", F.round(10.0 * score + 1e-9, 1).alias("risk")  # halves go up, whatever rounding left of them)
+    return x.select("hash", "files", "lines", "subsystems", F.round("entropy", 6).alias("entropy"), "prior", F.round(10.0 * score + 1e-9, 1).alias("risk"))
 
 
 def punch_card(commits: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["orphans", "history"]
+MODULES = ["orphans", "history", "graph"]
 
 QUERIES: dict = {}
 SQL: dict = {}
