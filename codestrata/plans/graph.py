@@ -146,8 +146,8 @@ def community_rollup(spark, sf_dir):
 
 
 def god_class(spark, sf_dir):
-    """Classes of more than four methods; the health marker fires above fifteen, which does not occur here."""
-    return M.symbols(spark, sf_dir).where("kind = 'Method' AND parent IS NOT NULL").groupBy("file", "parent").agg(F.count("*").alias("methods")).where("methods > 4")
+    """Classes of more than two methods; the health marker fires above fifteen, which does not occur here."""
+    return M.symbols(spark, sf_dir).where("kind = 'Method' AND parent IS NOT NULL").groupBy("file", "parent").agg(F.count("*").alias("methods")).where("methods > 2")
 
 
 def lcom4_components(spark, sf_dir):
@@ -244,7 +244,7 @@ SQL = {
           FROM (SELECT regexp_replace(file, '/[^/]*$', '') AS dir, language, count(*) AS n, sum(lines) AS l FROM files_now GROUP BY ALL)) GROUP BY dir) USING (dir) ORDER BY degree DESC, dir LIMIT 150""", _DIRS,
     ),
     "file_graph_slice": M.sql("SELECT src, dst FROM import_pairs WHERE src IN (SELECT file FROM top) AND dst IN (SELECT file FROM top)", "top AS (SELECT file, count(*) AS d FROM (SELECT src AS file FROM import_pairs UNION ALL SELECT dst FROM import_pairs) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 150)"),
-    "god_class": M.sql("SELECT file, parent, count(*) AS methods FROM symbols_now WHERE kind = 'Method' AND parent IS NOT NULL GROUP BY ALL HAVING count(*) > 4"),
+    "god_class": M.sql("SELECT file, parent, count(*) AS methods FROM symbols_now WHERE kind = 'Method' AND parent IS NOT NULL GROUP BY ALL HAVING count(*) > 2"),
     "lcom4_components": M.sql("SELECT parent, count(*) AS methods, count(DISTINCT c) AS components FROM mc GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT c) >= 2", _LCOM),
     "duplicate_code": M.sql("SELECT id, copies, first_id FROM symbols_now JOIN dup USING (body_hash)", _DUP),
     "exact_duplicate_pairs": M.sql("SELECT first_id AS a, id AS b FROM symbols_now JOIN dup USING (body_hash) WHERE id <> first_id", _DUP),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["orphans", "history", "graph"]
+MODULES = ["orphans", "history", "graph", "health"]
 
 QUERIES: dict = {}
 SQL: dict = {}
