@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["orphans", "history", "graph", "health"]
+MODULES = ["orphans", "history", "graph", "health", "texts"]
 
 QUERIES: dict = {}
 SQL: dict = {}
