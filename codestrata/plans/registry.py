@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["orphans", "history", "graph", "health", "texts"]
+MODULES = ["orphans", "history", "graph", "health", "texts", "views"]
 
 QUERIES: dict = {}
 SQL: dict = {}
