@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["orphans", "history", "graph", "health", "texts", "views", "extraction"]
+MODULES = ["orphans", "history", "graph", "health", "texts", "views", "extraction", "streams"]
 
 QUERIES: dict = {}
 SQL: dict = {}
