@@ -235,7 +235,8 @@ def graphql(file: str, text: str) -> list[tuple]:
     plain = re.sub(r'"""[\s\S]*?"""|#[^\n]*', lambda m: re.sub(r"[^\n]", " ", m[0]), text)
     out = []
     for m, body in _top(plain, r"\b(?:extend\s+)?(type|interface|input|enum)\s+(\w+)[^{}]*\{"):
-        fields = re.findall(r"(?m)^\s*(\w+)", re.sub(r"\([^)]*\)", "", body))
+        bare = re.sub(r"\([^)]*\)", "", body)
+        fields = re.findall(r"\w+" if m[1] == "enum" else r"(\w+)\s*:", bare)
         if m[2] in ("Query", "Mutation", "Subscription"):
             out += [(m[2].lower(), f, "") for f in fields]
         else:
