@@ -53,12 +53,16 @@ def dead_code(symbols: DataFrame, calls_to: DataFrame, files: DataFrame, unresol
     return x.select("id", F.element_at(F.array(F.lit("high"), F.lit("medium"), F.lit("low")), doubts + 1).alias("confidence"))
 
 
+HOPS = 12  # hops of a value between two writes
+
+
 def strongly_connected(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(id, component): for each node on a cycle, the smallest id of its strongly connected component.
 
-    Nodes without an edge in or out are trimmed away first, again and again. Then the smallest label flows forward
-    to a fixpoint, and back from each label's node within the nodes that carry it: those form that node's component and leave the graph.
-    Each round is joins and map-side combined minima on written tables.
+    A round finds the smallest id that reaches each node and the smallest one that it reaches. Where both are the
+    same, the node is of that id's component. No component crosses an edge whose ends differ in either, so that
+    such edges go, as do those of nodes without a way in or out, before the next round. Each step is joins and map-side combined minima on
+    written tables.
     """
     edges = scratch.write(edges.select("src", "dst").distinct(), "edges")
     done: DataFrame | None = None
@@ -66,36 +70,24 @@ def strongly_connected(scratch: Scratch, edges: DataFrame) -> DataFrame:
         edges = _trim(scratch, edges)
         if edges.isEmpty():
             break
-        nodes = edges.select(F.col("src").alias("id")).distinct()
-        labels = scratch.write(nodes.select("id", F.col("id").alias("label")), "labels")
-        labels = _flow(scratch, edges, labels, "src", "dst")
-        lab = lambda end: labels.select(F.col("id").alias(end), F.col("label").alias(f"l_{end}"))
-        inner = scratch.write(edges.join(lab("src"), "src").join(lab("dst"), "dst").where("l_src = l_dst").select("src", "dst"), "inner")
-        # what reaches the label's own node among the nodes of that label
-        reach = scratch.write(labels.where("id = label"), "reach")
-        while True:
-            back = inner.join(reach.select(F.col("id").alias("dst"), "label"), "dst").select(F.col("src").alias("id"), "label")
-            more = scratch.write(reach.unionByName(back).distinct(), "reach")
-            grown = more.count() > reach.count()
-            scratch.drop(reach)
-            reach = more
-            if not grown:
-                break
-        done = reach if done is None else done.unionByName(reach)
-        gone = reach.select("id")
-        left = edges.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
-        edges = scratch.write(left, "edges")
+        nodes = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().select("id", F.col("id").alias("value"))
+        down = _flow(scratch, edges, nodes, "src", "dst").withColumnRenamed("value", "f")
+        up = _flow(scratch, edges, nodes, "dst", "src").withColumnRenamed("value", "b")
+        both = scratch.write(down.join(up, "id"), "both")
+        done = both.where("f = b").select("id", F.col("f").alias("component")) if done is None else done.unionByName(both.where("f = b").select("id", F.col("f").alias("component")))
+        open_ = both.where("f <> b")
+        one, two = open_.select(F.col("id").alias("src"), "f", "b"), open_.select(F.col("id").alias("dst"), F.col("f").alias("f2"), F.col("b").alias("b2"))
+        edges = scratch.write(edges.join(one, "src").join(two, "dst").where("f = f2 AND b = b2").select("src", "dst"), "edges")
     if done is None:
         return edges.select(F.col("src").alias("id"), F.col("src").alias("component"))
-    done = done.select("id", F.col("label").alias("component"))
     big = done.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
     return done.join(big, "component", "left_semi").select("id", "component")
 
 
-def _trim(scratch: Scratch, edges: DataFrame) -> DataFrame:
-    """Edges between nodes that have both a way in and a way out."""
+def _trim(scratch: Scratch, edges: DataFrame, rounds: int = 3) -> DataFrame:
+    """Edges without those of nodes that have no way in or no way out, as far as some rounds get."""
     n = edges.count()
-    for _ in range(MAX_ROUNDS):
+    for _ in range(rounds):
         kept = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
         kept = scratch.write(kept.select("src", "dst"), "trim")
         now = kept.count()
@@ -107,19 +99,24 @@ def _trim(scratch: Scratch, edges: DataFrame) -> DataFrame:
     return edges
 
 
-def _flow(scratch: Scratch, edges: DataFrame, labels: DataFrame, start: str, end: str) -> DataFrame:
-    """Smallest label along the edges, to a fixpoint."""
+def _flow(scratch: Scratch, edges: DataFrame, values: DataFrame, start: str, end: str) -> DataFrame:
+    """(id, value): each node's smallest value among those that reach it, by HOPS hops between two writes, to a fixpoint."""
+    nodes = values.select("id")
+    steps = edges.select(F.col(start).alias("s"), F.col(end).alias("e")).unionByName(nodes.select(F.col("id").alias("s"), F.col("id").alias("e")))
+    steps = scratch.write(steps, "steps")
+    held = scratch.write(values, "values")
     while True:
-        sent = edges.join(labels, edges[start] == labels["id"]).select(F.col(end).alias("id"), "label")
-        best = sent.groupBy("id").agg(F.min("label").alias("sent"))
-        new = labels.join(best, "id", "left").select("id", F.least("label", F.coalesce("sent", "label")).alias("label"), (F.col("sent") < F.col("label")).alias("changed"))
-        new = scratch.write(new, "labels")
-        moving = not new.where("changed").isEmpty()
-        scratch.drop(labels)
-        labels = new.select("id", "label")
-        labels._scratch_path = new._scratch_path
-        if not moving:
-            return labels
+        now = held
+        for _ in range(HOPS):
+            now = steps.join(now, F.col("s") == F.col("id")).groupBy(F.col("e").alias("id")).agg(F.min("value").alias("value"))
+        new = scratch.write(now, "values")
+        moved = new.join(held.withColumnRenamed("value", "old"), "id").where("value < old")
+        still = moved.isEmpty()
+        scratch.drop(held)
+        held = new
+        if still:
+            scratch.drop(steps)
+            return held
 
 
 def reachable(scratch: Scratch, edges: DataFrame, start: DataFrame, depth: int = MAX_ROUNDS) -> DataFrame:
