@@ -92,7 +92,7 @@ _JAVA_IMPORT = re.compile(r"(?:package|import(?: static)?) [\w.]+(?:\.\*)?$")
 _JAVA_TYPE = re.compile(r"\b(?:class|interface|enum|record|@interface)\s+\w+")
 _RUST = re.compile(
     r"(?:pub(?:\(\))?\s+)?(?:(?:async|unsafe|default|extern(?:\s+\"\")?)\s+)*(?:(?:use\s+[\w:*]|use\s+\{|fn\s+\w+|struct\s+\w+|enum\s+\w+|union\s+\w+|trait\s+\w+|type\s+\w+|mod\s+\w+|impl\b|"
-    r"static\s+(?:mut\s+)?\w+\s*:|const\s+(?:\w+\s*:|fn\b)|crate\b)|\{\})|\#!?\[\]|\w+!|macro_rules!"
+    r"static\s+(?:mut\s+)?\w+\s*:|const\s+(?:\w+\s*:|fn\b)|crate\b))|(?:unsafe\s+)?extern(?:\s+\"\")?\s*\{\}|\#!?\[\]|\w+!|macro_rules!"
 )
 _C_FOREIGN = re.compile(r"(?:package|import|from|def|fn|pub|use|func|export|function|let|impl|public|private|class|namespace|mod|async|CREATE|INSERT|SELECT|ALTER)\b")
 _C = re.compile(r"[A-Za-z_]\w*[\s*(]")
@@ -115,12 +115,16 @@ _JS_OPEN = re.compile(
     r"(?:[-+*/%&|^=<>,.?:!~]|=>|\b(?:import|export|from|const|let|var|function|class|extends|new|return|typeof|in|of|async|await|if|while|for|else|default|interface|type|enum))$|"
     r"\b(?:import\s*(?:\w+\s*,\s*)?\{\}|function\s*\*?\s*\w*|class\s+\w+|import\s+\w+|function\s+\w+\s*\(\)(?:\s*:\s*\w+)?)$"
 )
+# Shell text: a function without a keyword, or block words alone on a line. And strings side by side, which only some languages join.
+_JS_SHELL = re.compile(r"^\s*(?!(?:if|for|while|switch|catch|with|super|import)\b)[\w$]+\s*\(\)\s*\{\}", re.M)
+_SHELL_WORDS = re.compile(r"^[ \t]*(?:fi|done|esac)[ \t]*;?[ \t]*$|;[ \t]*(?:then|do)[ \t]*$", re.M)
+_SIDE_BY_SIDE = re.compile(r'\(\s*""\s+""')
 _TS_IN_JS = re.compile(
     r"^\s*(?:(?:public|private|protected|readonly|declare|abstract)\s+\w|interface\s+\w+\s*\{|type\s+\w+\s*=|enum\s+\w+\s*\{|namespace\s+\w)|"
     r"\b(?:const|let|var)\s+[\w$]+\s*:|^[ \t]*[\w$]+\s*[?!]?:\s*[\w$<>\[\]|. ]+(?:=[^=>]|;)|\)\s*:\s*[\w$<>\[\]|. ]+\{|\([\w$]+\??\s*:\s*\w+\s*[,)=]", re.M,
 )
 _SH_CALL = re.compile(r"(?:^|[;&|]|\b(?:then|do|else)\b)[ \t]*+(?!function\b)[\w.:-]+(?:[ \t]+[\w.*&:-]+)*[ \t]*+\((?![ \t]*+\))|^[ \t]*\w[\w.-]*[ \t]+\w[\w.-]*[ \t]*\([ \t]*\)", re.M)
-_SH_FOREIGN = re.compile(r"^[ \t]*(?:[\[\]]{1,2}[ \t]*,?$|\},|(?:public|private) |use \w+::|package \w+;?$|import \w+|from \w+ import|const \w+ =|let \w+ =|\w+ := |CREATE TABLE|def \w+|class \w+|_:|\d+,\w+,)|;;?[ \t]*$(?<!;;)(?=\n[ \t]*\})(?!)", re.M)
+_SH_FOREIGN = re.compile(r"^[ \t]*(?:<[!/A-Za-z]|[\w.]+[ \t]+=[ \t]+(?:\(|[^\n]*?\w\()|[\[\]]{1,2}[ \t]*,?$|\},|(?:public|private) |use \w+::|package \w+;?$|import \w+|from \w+ import|const \w+ =|let \w+ =|\w+ := |CREATE TABLE|def \w+|class \w+|_:|\d+,\w+,)|;;?[ \t]*$(?<!;;)(?=\n[ \t]*\})(?!)", re.M)
 _SH_WORD = re.compile(r"(?:^|[;&|(`]|\b(?:then|do|else|if|elif|while|until|in|not|time)\b|!|\)|\{)[ \t]*+(if|then|elif|else|fi|for|while|until|do|done|case|esac)(?=[\s;)&|]|$)", re.M)
 _SH_CLOSE = {"fi": "if", "done": "do", "esac": "case"}
 _TAIL_COMMA = re.compile(r"[,=+*/<>|&.-]$")
@@ -187,7 +191,7 @@ def _sql(s: str) -> str | None:
 
 
 def _js(s: str, code: str, language: str) -> str | None:
-    if _JS_FOREIGN.search(s):
+    if _JS_FOREIGN.search(s) or _JS_SHELL.search(s) or _SHELL_WORDS.search(code) or _SIDE_BY_SIDE.search(code):
         return "foreign top level"
     for m in _JS_PAIR.finditer(s):
         if m[1] not in _JS_WORDS and m[2] not in _JS_WORDS:
