@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from codestrata.llm.syntax import sources
 from codestrata.session import Scratch
 
-_TOKEN = re.compile(r'"(?:[^"\\\n]|\\.)*+"|\'(?:[^\'\\\n]|\\.)*+\'|`[^`]*+`|\w+|[^\w\s]|\n')
+_TOKEN = re.compile(r'"(?:[^"\\\n]|\\.)*+"|\'(?:[^\'\\\n]|\\.)*+\'|`[^`]*+`|[A-Za-z0-9+/]{48,}={0,2}|\w+|[^\w\s]|\n')
 _KEYWORDS = frozenset(
     """if else elif for while do done fi then return switch case break function func fn def class struct interface enum impl const var let int static public private
     final import from use package type new this self in range end insert into values create table alter add column where and or not null primary key""".split()
@@ -104,6 +104,8 @@ def classes(words: list[str]) -> np.ndarray:
         if c in "\"'`":
             if len(w) > 1:
                 out[i] = n
+        elif len(w) >= 48:  # a run of encoded bytes without quotes, as in a here-document
+            out[i] = n
         elif c.isdigit():
             out[i] = n + 1
         elif (c.isalpha() or c == "_") and w.lower() not in _KEYWORDS:
@@ -201,7 +203,7 @@ def measure(repos: list[str], texts: list[str]) -> pd.DataFrame:
         pairs = np.unique(doc[literal] * (len(words) + 1) + ids[literal]) // (len(words) + 1)
         distinct = np.bincount(pairs.astype(np.int64), weights=None, minlength=n)
         lits = np.bincount(doc[literal], minlength=n)
-        words_in = np.bincount(doc[(kind[ids] == len(words) + 2) | np.array([w[0].isalpha() for w in words])[ids]], minlength=n)
+        words_in = np.bincount(doc[~literal & ((kind[ids] == len(words) + 2) | np.array([w[0].isalpha() for w in words])[ids])], minlength=n)
         solid = ~line
         own, odoc = names[ids[solid]], doc[solid]
         found = shared_rules(own, odoc, n)
