@@ -166,11 +166,11 @@ def cohesion(scratch: Scratch, accesses: DataFrame, methods: DataFrame) -> DataF
     return labels.groupBy("parent").agg(F.count("*").alias("methods"), F.countDistinct("label").alias("components")).where("methods >= 2 AND components >= 2")
 
 
-def communities(scratch: Scratch, edges: DataFrame, levels: int = 3, rounds: int = 6) -> DataFrame:
+def communities(scratch: Scratch, edges: DataFrame, levels: int = 3, rounds: int = 8) -> DataFrame:
     """(id, community): modularity communities of an undirected view of `edges` (src, dst), named by their smallest node.
 
-    In a round every node weighs the communities of its neighbours by what joining them would gain; those that
-    would gain move, of two halves of the nodes in turn, so that neighbours do not trade places. After `rounds`
+    In a round every node weighs the communities of its neighbours by what joining them would gain; of those that
+    would gain a half drawn by hash moves, another one each round, so that neighbours do not trade places for ever. After `rounds`
     rounds communities become nodes. Ties go to the smaller community. All steps are joins and partial sums.
     """
     pairs = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).groupBy("a", "b").agg(F.count("*").cast("double").alias("w"))
@@ -192,7 +192,7 @@ def communities(scratch: Scratch, edges: DataFrame, levels: int = 3, rounds: int
             gain = F.round(F.col("into") - rest * F.col("degree") / total, 9)
             best = near.join(mine, "n").join(whole, "c").select("n", "degree", "own", "c", gain.alias("gain")).groupBy("n", "degree", "own")
             best = best.agg(F.min(F.struct((-F.col("gain")).alias("g"), F.col("c").alias("c"))).alias("m"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay"))
-            moves = (F.pmod(F.xxhash64("n"), F.lit(2)) == turn % 2) & (-F.col("m.g") > F.col("stay"))
+            moves = (F.pmod(F.xxhash64("n", F.lit(turn)), F.lit(2)) == 0) & (-F.col("m.g") > F.col("stay"))
             home = scratch.write(best.select("n", "degree", F.when(moves, F.col("m.c")).otherwise(F.col("own")).alias("c")), "home")
         named = home.groupBy("c").agg(F.min("n").alias("name"))
         to = scratch.write(home.join(named, "c").select("n", F.col("name").alias("to")), "to")

@@ -220,7 +220,7 @@ SQL = {
         "s1 AS (SELECT DISTINCT id, file, start_line FROM symbols_now)",
     ),
     "decision_union": M.sql(
-        f"SELECT id, title, source, round(CASE source {_RANKS} END, 4) AS confidence FROM (SELECT CAST(doc_id AS VARCHAR) AS id, title, 'decision-file' AS source FROM ({_ADR}) UNION ALL SELECT hash, message, 'commit' FROM commits_all WHERE regexp_matches(lower(message), {_DECIDE}) "
+        f"SELECT id, title, source, round(CAST(CASE source {_RANKS} END AS DOUBLE), 4) AS confidence FROM (SELECT CAST(doc_id AS VARCHAR) AS id, title, 'decision-file' AS source FROM ({_ADR}) UNION ALL SELECT hash, message, 'commit' FROM commits_all WHERE regexp_matches(lower(message), {_DECIDE}) "
         f"UNION ALL SELECT doc_id || '#' || line, regexp_extract(h, '^#{{1,6}}\\s+(.*\\S)\\s*$', 1), 'readme' FROM se WHERE kind <> 'changelog' AND regexp_matches(lower(body), {_DECIDE}))", _DL, _HEAD,
     ),
     "decision_link": M.sql("SELECT DISTINCT d.id, s.file AS target FROM (SELECT doc_id AS id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]{4,}')) AS name FROM documents WHERE kind = 'adr') d JOIN symbols_now s ON s.name = d.name"),
