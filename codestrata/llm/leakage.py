@@ -23,9 +23,10 @@ MIN_WORDS = 14
 # 1: the word counts, 0: it is ignored. Blocks of words with a hole or two: scattered words would match any two sentences of one pattern.
 MASKS = ("111111", "11110111", "11101111", "111011011")
 BAND = 8  # added less dropped words that an alignment may gather
-NEAR, NEAR_SHIFT, NEAR_WORDS = 14, 1, 9  # words to compare around a hit, shifts, and how many must agree
+NEAR, NEAR_SHIFT, NEAR_WORDS = 14, 2, 11  # words to compare around a hit, shifts, and how many must agree; an alignment of MIN_WORDS with more than three edits cannot win
 MISS, GAP = 3.0, 3.0
 ITEMS_PER_BLOCK = 5000
+TABLE_BITS = 22
 
 _WORD = re.compile(r"[^\W_]+")
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|<!--.*?-->")
@@ -143,7 +144,9 @@ class Items:
                 ok &= at + len(mask) - 1 < starts[of[at] + 1] - 1
             s, at = s[ok], at[ok]
             order = np.argsort(s, kind="stable")
-            self.sorted.append((s[order], at[order]))
+            there = np.zeros(1 << TABLE_BITS, dtype=bool)
+            there[s & np.uint64((1 << TABLE_BITS) - 1)] = True
+            self.sorted.append((s[order], at[order], there))
 
     def probe(self, texts: list[str]) -> list[tuple[int, int]]:
         """(number of the text, number of the item) of each leak."""
@@ -156,11 +159,13 @@ class Items:
         h = _hashes(flat)
         ends = np.cumsum(sizes)
         hits = []
-        for mask, (keys, at) in zip(MASKS, self.sorted, strict=True):
+        for mask, (keys, at, there) in zip(MASKS, self.sorted, strict=True):
             s = _seeds(h, mask)
+            place = np.flatnonzero(there[s & np.uint64((1 << TABLE_BITS) - 1)])  # most windows end here
+            s = s[place]
             a, b = np.searchsorted(keys, s, "left"), np.searchsorted(keys, s, "right")
             n = b - a
-            p = np.repeat(np.arange(len(s)), n)
+            p = np.repeat(place, n)
             if len(p):
                 q = at[np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)]
                 hits.append(np.stack([p, q]))
