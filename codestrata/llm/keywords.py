@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.session import table
+from codestrata.session import Scratch, table
 
 N = 5
 BREAK, DET, PREP, CONJ, PRON, AUX, ADV, LOWER, UPPER, MIXED, NUMBER, LINK, TAG, CODE, STOP, SIGN = range(16)
@@ -42,8 +42,9 @@ for _c, _w in _WORDS.items():
     for _x in _w.split():
         _CLASS.setdefault(_x, _c)
 
+# Code in back quotes, links, tags, words, numbers, words with digits, sentence ends, and signs; a stop within a word is none of them.
 _TOKEN = re.compile(
-    r"(?P<code>`[^`\n]+`)|(?P<link>(?:https?|ftp)://[^\s<>\"')\]]+|www\.[^\s<>\"')\]]+|[\w.+-]+@[\w-]+\.[\w.]+)|(?P<tag>[#@][^\W\d_][\w-]*)|(?P<word>[^\W\d_]+(?:['’-][^\W\d_]+)*)(?![\w])|(?P<num>\d+(?:[.,:]\d+)*)(?![\w])|(?P<mixed>\w+)|(?P<stop>[.!?]+(?=[\s\"')\]]|$))|(?P<sign>[^\w\s])"
+    r"`[^`\n]+`|(?:https?|ftp)://[^\s<>\"')\]]+|www\.[^\s<>\"')\]]+|[\w.+-]+@[\w-]+\.[\w.]+|[#@][^\W\d_][\w-]*|[^\W\d_]+(?:['’-][^\W\d_]+)*(?![\w])|\d+(?:[.,:]\d+)*(?![\w])|\w+|[.!?]+(?=[\s\"')\]]|$)|[^\w\s.!?]"
 )
 _OPEN_TAG = re.compile(r"<a\s[^<>]*?href\s*=\s*[\"']?([^\"'\s>]+)[^<>]*>", re.I)
 _HTML = re.compile(r"</?[A-Za-z][^<>]*>")
@@ -60,21 +61,45 @@ HIGH, LOW = 1.25, 0.7  # deviations of the prose's bits per token by which a uni
 BATCH_ROWS = 1000
 
 
-def _classes(line: str) -> list[int]:
-    seq = []
-    for m in _TOKEN.finditer(line):
-        k = m.lastgroup
-        if k == "word":
-            w = m[0].lower()
-            c = _CLASS.get(w)
-            if c is None and ("'" in w or "’" in w):
-                c = _CLASS.get(re.split("['’]", w)[0])
-            if c is None:
-                c = UPPER if m[0][0].isupper() else LOWER
+class _Classes(dict):
+    """The class of each token seen, worked out once; forgotten when there are very many."""
+
+    def __missing__(self, t: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        c = t[0]
+        if c == "`" and len(t) > 2:
+            k = CODE
+        elif c in ".!?":
+            k = STOP
+        elif c in "#@" and len(t) > 1:
+            k = TAG
+        elif "://" in t or t.startswith("www.") or "@" in t and len(t) > 3:
+            k = LINK
+        elif c.isdigit() and not any(x.isalpha() or x == "_" for x in t):
+            k = NUMBER
+        elif not (c.isalnum() or c == "_"):
+            k = SIGN
+        elif "_" in t:
+            k = CODE
+        elif any(x.isdigit() for x in t):
+            k = MIXED
         else:
-            c = {"code": CODE, "link": LINK, "tag": TAG, "num": NUMBER, "mixed": MIXED if "_" not in m[0] else CODE, "stop": STOP, "sign": SIGN}[k]
-        seq.append(c)
-    return seq
+            w = t.lower()
+            k = _CLASS.get(w)
+            if k is None and ("'" in w or "’" in w):
+                k = _CLASS.get(re.split("['’]", w)[0])
+            if k is None:
+                k = UPPER if c.isupper() else LOWER
+        self[t] = k
+        return k
+
+
+_class_of = _Classes()
+
+
+def _classes(line: str) -> list[int]:
+    return [_class_of[t] for t in _TOKEN.findall(line)]
 
 
 def classify(text: str) -> list[list[list[int]]]:
@@ -165,18 +190,46 @@ def _is_prose(s: list[int]) -> bool:
     return s[-1] == STOP and words >= MIN_TRAIN_WORDS and function >= max(MIN_TRAIN_FUNCTION, FUNCTION_SHARE * words) and LINK not in s and TAG not in s
 
 
-def prose_counts(texts: DataFrame) -> DataFrame:
+PIECE, UNIT_END = 255, 254
+
+
+def encode(text: str) -> bytes:
+    """The text's units as a byte for each token, PIECE after each piece and UNIT_END after each unit."""
+    out = bytearray()
+    for u in classify(text):
+        for piece in u:
+            out += bytes(piece)
+            out.append(PIECE)
+        out.append(UNIT_END)
+    return bytes(out)
+
+
+def decode(code: bytes) -> list[list[list[int]]]:
+    return [[list(p) for p in u.split(bytes([PIECE]))[:-1]] for u in code.split(bytes([UNIT_END]))[:-1]]
+
+
+def encoded(docs: DataFrame) -> DataFrame:
+    """(doc_id, code) of documents (doc_id, text), each read and classified once."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "code": [encode(t) for t in pdf["text"]]})
+
+    return docs.mapInPandas(run, "doc_id long, code binary")
+
+
+def prose_counts(codes: DataFrame) -> DataFrame:
     """(code, n): how often each sequence of N classes occurs in the prose of all texts. At most 16**N rows."""
 
     def run(batches):
         for pdf in batches:
             for at in range(0, len(pdf), BATCH_ROWS):
-                seqs = [s for t in pdf["text"].iloc[at : at + BATCH_ROWS] for u in classify(t) for s in u if _is_prose(s)]
+                seqs = [s for c in pdf["code"].iloc[at : at + BATCH_ROWS] for u in decode(c) for s in u if _is_prose(s)]
                 code, _ = _codes(seqs)
                 found, n = np.unique(code, return_counts=True)
                 yield pd.DataFrame({"code": found, "n": n.astype("int64")})
 
-    return texts.select("text").mapInPandas(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return codes.select("code").mapInPandas(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def model(counts: pd.DataFrame) -> tuple[np.ndarray, float, float]:
@@ -201,15 +254,15 @@ def model(counts: pd.DataFrame) -> tuple[np.ndarray, float, float]:
     return bits.astype(np.float32), mean, spread
 
 
-def shares(texts: list[str], bits: np.ndarray, mean: float, spread: float) -> list[tuple[int, int]]:
-    """Per text: words and links in abnormal units, and in all units that count."""
+def shares(codes: list[bytes], bits: np.ndarray, mean: float, spread: float) -> list[tuple[int, int]]:
+    """Per encoded text: words and links in abnormal units, and in all units that count."""
     pieces, unit, owner = [], [], []
-    for i, t in enumerate(texts):
-        for u in classify(t):
+    for i, c in enumerate(codes):
+        for u in decode(c):
             pieces += u
             unit += [len(owner)] * len(u)
             owner.append(i)
-    out = np.zeros((len(texts), 2), dtype=np.int64)
+    out = np.zeros((len(codes), 2), dtype=np.int64)
     if not pieces or not spread:
         return [tuple(map(int, x)) for x in out]
     code, piece = _codes(pieces)
@@ -228,21 +281,22 @@ def shares(texts: list[str], bits: np.ndarray, mean: float, spread: float) -> li
 def page_shares(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, abnormal, words) of each document (doc_id, text) that is not NULL or blank; other columns are ignored.
 
-    The model is counted over all documents; the texts are read once more to be scored. A page without words has
+    The model is counted over all documents. Texts are classified once, into a table of a byte a token. A page without words has
     zeros. Repeated rows stay repeated; copies get the same figures; texts of any length are taken whole.
     """
     docs = docs.select("doc_id", "text").where(F.col("text").rlike(r"\S"))
-    counts = prose_counts(docs).toPandas()  # at most 16**N rows
+    codes = Scratch(spark, "pages").write(encoded(docs), "codes")
+    counts = prose_counts(codes).toPandas()  # at most 16**N rows
     fitted = spark.sparkContext.broadcast(model(counts))  # 16**N floats
 
     def run(batches):
         for pdf in batches:
             for at in range(0, len(pdf), BATCH_ROWS):
                 part = pdf.iloc[at : at + BATCH_ROWS]
-                both = shares(part["text"].tolist(), *fitted.value)
+                both = shares(part["code"].tolist(), *fitted.value)
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "abnormal": [a for a, _ in both], "words": [b for _, b in both]})
 
-    return docs.mapInPandas(run, "doc_id long, abnormal long, words long")
+    return codes.mapInPandas(run, "doc_id long, abnormal long, words long")
 
 
 def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
