@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codestrata.operators.ranking import positions
+from codestrata.session import Scratch
+
 DECAY_DAYS = 90.0  # weights fall by a factor e in so many days
 DAY, WEEK = 86400, 604800
 FIX_WORDS = ("fix", "bug", "hotfix", "patch")
@@ -84,10 +87,11 @@ def spread(total: Column, weighted: Column, n: Column) -> Column:
     return F.when((n < 2) | (total <= 0), 0.0).otherwise(F.greatest(h / F.log2(n), F.lit(0.0)))
 
 
-def change_risk(commits: DataFrame, touched: DataFrame) -> DataFrame:
+def change_risk(commits: DataFrame, touched: DataFrame, scratch: Scratch) -> DataFrame:
     """Shape and risk, from 0 to 10, of each commit: size, subsystems, spread and its author's earlier commits.
 
-    An author's earlier commits are those of the same mail in the repo that come later in the log. A NULL mail has none.
+    An author's earlier commits are those of the same mail in the repo that come later in the log. A NULL mail has
+    none. One author may hold any share of the commits: they are counted by a range-partitioned sort.
     """
     added, deleted = F.coalesce("added", F.lit(0)), F.coalesce("deleted", F.lit(0))
     inner = F.regexp_replace("file", r"^[^/]*/", "")
@@ -95,9 +99,9 @@ def change_risk(commits: DataFrame, touched: DataFrame) -> DataFrame:
     shape = touched.groupBy("hash").agg(
         F.count("*").alias("files"), total.alias("lines"), weighted.alias("_w"), F.countDistinct(F.substring_index(inner, "/", 1)).alias("subsystems")
     )
-    w = Window.partitionBy("repo", "author_email").orderBy(F.col("log_ord").desc(), "hash")
-    prior = F.when(F.col("author_email").isNull(), 0).otherwise(F.row_number().over(w) - 1)
-    known = commits.select("hash", "repo", prior.alias("prior"))
+    mailed = commits.where("author_email IS NOT NULL").select("hash", "log_ord", F.concat_ws("\x1f", "repo", "author_email").alias("who"))
+    counted = positions(scratch, mailed, "who", [F.col("log_ord").desc(), F.col("hash").asc()], "place")
+    known = commits.select("hash").join(counted.select("hash", "place"), "hash", "left").select("hash", F.coalesce(F.col("place") - 1, F.lit(0)).alias("prior"))
     x = shape.join(known, "hash").withColumn("entropy", spread(F.col("lines"), F.col("_w"), F.col("files")))
     part = lambda c, full: F.least(F.col(c) / float(full), F.lit(1.0))
     score = 0.20 * part("files", 20) + 0.25 * part("lines", 500) + 0.20 * part("subsystems", 8) + 0.15 * F.col("entropy") + 0.20 * (1.0 - part("prior", 50))

@@ -12,27 +12,40 @@ def role(dependents: Column, dependencies: Column) -> Column:
     return F.when((dependents == 0) & (dependencies == 0), "isolated").when(dependents == 0, "entry-point").when(dependencies == 0, "foundation").otherwise("connector")
 
 
+def rank_terms() -> list[tuple[Column, bool]]:
+    """What files are ranked by, and whether less comes first: isolated files last; then most dependents, hottest, least healthy (unmeasured ones after measured), most symbols, and path."""
+    return [(F.col("role") == "isolated", True), (F.col("dependents"), False), (F.coalesce("hotspot", F.lit(0)), False), (F.col("health"), True), (F.col("symbols"), False), (F.col("file"), True)]
+
+
 def rank_order() -> list[Column]:
-    """Isolated files last; then most dependents, hottest, least healthy (unmeasured ones after measured), most symbols, and path."""
-    return [(F.col("role") == "isolated").asc(), F.col("dependents").desc(), F.coalesce("hotspot", F.lit(0)).desc(), F.col("health").asc_nulls_last(), F.col("symbols").desc(), F.col("file").asc()]
+    return [c.asc_nulls_last() if up else c.desc() for c, up in rank_terms()]
+
+
+def _reverse(term: tuple[Column, bool]) -> Column:
+    return term[0].desc_nulls_first() if term[1] else term[0].asc()
 
 
 def select(steps: DataFrame, group: str, n: int) -> DataFrame:
     """The n best-ranked files of each group, of which a fifth at least (one at least) are entry points, where there are as many.
 
-    The best entry points beyond the n take the places of the worst others.
+    The best entry points beyond the n take the places of the worst others. Only the n best files and the best few
+    entry points of a group are ever brought together; Spark cuts both rankings in each task before the shuffle.
     """
-    w = Window.partitionBy(group).orderBy(*rank_order())
-    x = steps.withColumn("rank", F.row_number().over(w))
-    entry = F.col("role") == "entry-point"
-    x = x.withColumn("entry_rank", F.when(entry, F.row_number().over(Window.partitionBy(group, "role").orderBy(*rank_order()))))
     quota = max(1, n // 5)
-    top = x.withColumn("have", F.count_if(entry & (F.col("rank") <= n)).over(Window.partitionBy(group))).withColumn("there", F.count_if(entry).over(Window.partitionBy(group)))
+    entry = F.col("role") == "entry-point"
+    w = Window.partitionBy(group).orderBy(*rank_order())
+    top = steps.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).withColumn("top", F.lit(True))
+    more = steps.where(entry).withColumn("r", F.row_number().over(w)).where(F.col("r") <= quota).withColumn("top", F.lit(False))
+    x = top.unionByName(more).drop("r").groupBy(*steps.columns).agg(F.max("top").alias("top"))
+    # n + quota rows a group from here on
+    x = x.withColumn("have", F.count_if(entry & F.col("top")).over(Window.partitionBy(group))).withColumn("there", F.count_if(entry).over(Window.partitionBy(group)))
     lack = F.greatest(F.least(F.lit(quota), F.col("there")) - F.col("have"), F.lit(0))
-    back = F.when(~entry & (F.col("rank") <= n), F.row_number().over(Window.partitionBy(group, (~entry & (F.col("rank") <= n))).orderBy(F.col("rank").desc())))
-    top = top.withColumn("lack", lack).withColumn("back", back)
-    chosen = ((F.col("rank") <= n) & (F.col("back").isNull() | (F.col("back") > F.col("lack")))) | (entry & (F.col("rank") > n) & (F.col("entry_rank") <= F.col("have") + F.col("lack")))
-    return top.where(chosen).withColumn("step", F.row_number().over(w)).drop("entry_rank", "have", "there", "lack", "back", "rank")
+    ahead = F.row_number().over(Window.partitionBy(group, "role").orderBy(*rank_order()))
+    other = F.col("top") & ~entry
+    back = F.when(other, F.row_number().over(Window.partitionBy(group, other).orderBy(*[_reverse(c) for c in rank_terms()])))
+    x = x.withColumn("lack", lack).withColumn("ahead", ahead).withColumn("back", back)
+    chosen = (F.col("top") & (entry | (F.col("back") > F.col("lack")))) | (entry & ~F.col("top") & (F.col("ahead") <= F.col("have") + F.col("lack")))
+    return x.where(chosen).withColumn("step", F.row_number().over(w)).select(*steps.columns, "step")
 
 
 def layers(scratch: Scratch, nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:

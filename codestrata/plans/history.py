@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from codestrata.operators import history as H
 from codestrata.plans import model as M
+from codestrata.session import Scratch
 
 
 def _both(spark, sf_dir):
@@ -42,10 +43,10 @@ def hot_paths(spark, sf_dir):
     from pyspark.sql import Window
 
     x = _hotspots(spark, sf_dir).where("score > 0")
-    n = F.count("*").over(Window.partitionBy("repo"))
+    n = x.groupBy("repo").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("repo").orderBy(F.col("decayed_score").desc(), "file"))
-    x = x.withColumn("n", n).withColumn("rank", rank)
-    return x.where(F.col("rank") <= F.least(F.lit(10), F.greatest(F.lit(1), F.floor(F.col("n") / 4)))).select("repo", "file", "rank")
+    top = x.withColumn("rank", rank).where("rank <= 10")  # cut in each task before the shuffle
+    return top.join(n, "repo").where(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("n") / 4))).select("repo", "file", "rank")
 
 
 def cochange_pairs(spark, sf_dir):
@@ -117,7 +118,7 @@ def org_signals(spark, sf_dir):
 
 
 def change_risk(spark, sf_dir):
-    return H.change_risk(*_both(spark, sf_dir))
+    return H.change_risk(*_both(spark, sf_dir), Scratch(spark, "risk"))
 
 
 def punch_card(spark, sf_dir):

@@ -26,13 +26,28 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_ROOTS: list[str] = []
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that this program's operators have written to the shared folder. Frames they returned can no longer be read, so results must be stored first."""
+    while _ROOTS:
+        _delete(spark, _ROOTS.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class Scratch:
-    """Tables written to the shared folder, to cut lineage so that a lost executor costs no recomputation."""
+    """Tables written to the shared folder, to cut lineage so that a lost executor costs no recomputation. `clear_scratch` deletes them all."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
+        _ROOTS.append(self.root)
 
     def path(self, label: str = "t") -> str:
         self._n += 1
@@ -49,6 +64,4 @@ class Scratch:
         """Delete a table written by `write` that no later plan reads."""
         path = getattr(df, "_scratch_path", None)
         if path:
-            jvm = self.spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(self.spark, path)

@@ -41,7 +41,7 @@ def test_co_changes_and_guard(spark):
 def test_risk(spark):
     c = commits(spark, ("one", 1, "Ann", 1, "m"), ("two", 0, "Ann", 2, "m"))
     t = spark.createDataFrame([("one", "r/x/a", 2, 0), ("two", "r/x/a", 10, 0), ("two", "r/y/b", 10, 0)], TOUCH)
-    got = {r.hash: r for r in history.change_risk(c, t).collect()}
+    got = {r.hash: r for r in history.change_risk(c, t, Scratch(spark, "t")).collect()}
     assert (got["one"].subsystems, got["one"].entropy, got["one"].prior) == (1, 0.0, 0)
     assert (got["two"].subsystems, got["two"].entropy, got["two"].prior) == (2, 1.0, 1)
 

@@ -48,3 +48,21 @@ def test_positions(spark):
         mine = sorted((r.position, r.v, r.i) for r in got.collect() if r.g == g)
         assert [p for p, _, _ in mine] == list(range(1, 51))
         assert [(v, i) for _, v, i in mine] == sorted(((v, i) for _, v, i in mine), key=lambda x: (-x[0], x[1]))
+
+
+def test_scratch_is_cleared(spark):
+    import os
+
+    from codestrata import session
+
+    s = Scratch(spark, "gone")
+    df = s.write(spark.range(3))
+    root = s.root.removeprefix("file://")
+    assert df.count() == 3 and os.path.isdir(root)
+    s.drop(df)
+    assert os.listdir(root) == []
+    held = list(session._ROOTS)
+    session._ROOTS[:] = [s.root]
+    session.clear_scratch(spark)
+    assert not os.path.exists(root)
+    session._ROOTS[:] = [r for r in held if r != s.root]
