@@ -61,10 +61,13 @@ def code_near_duplicates(functions: DataFrame, least: float = 0.5, k: int = 3) -
     return x.select(F.col("a").alias("symbol"), F.col("b").alias("other"), "overlap").union(x.select("b", "a", "overlap"))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two vectors; 0 for unequal lengths or a zero vector."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+
+
+def cosine(a: Column, b: Column, length_a: Column | None = None, length_b: Column | None = None) -> Column:
+    """Cosine of two vectors of doubles, with their lengths if known; 0 for unequal sizes or a zero vector."""
+    norm = (F.sqrt(dot(a, a)) if length_a is None else length_a) * (F.sqrt(dot(b, b)) if length_b is None else length_b)
     return F.when((F.size(a) != F.size(b)) | (norm == 0), 0.0).otherwise(dot(a, b) / norm)
 
 
@@ -74,7 +77,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     vectors: id, vec; queries: query_id, query_vec, a stated set held against all rows in one pass. Each partition's
     best k are kept by a heap-like aggregate before anything is shuffled.
     """
-    x = vectors.join(queries).where("id <> query_id").select("query_id", "id", F.round(cosine(F.col("vec"), F.col("query_vec")), 6).alias("cosine"))
+    v = vectors.select("id", F.explode(F.array(F.col("vec").cast("array<double>"))).alias("v"))
+    q = queries.select("query_id", F.explode(F.array(F.col("query_vec").cast("array<double>"))).alias("q"))
+    v, q = v.withColumn("lv", F.sqrt(dot(F.col("v"), F.col("v")))), q.withColumn("lq", F.sqrt(dot(F.col("q"), F.col("q"))))
+    x = v.join(q).where("id <> query_id").select("query_id", "id", F.round(cosine(F.col("v"), F.col("q"), F.col("lv"), F.col("lq")), 6).alias("cosine"))
     part = F.row_number().over(Window.partitionBy("query_id", "_p").orderBy(F.col("cosine").desc(), "id"))
     best = x.withColumn("_p", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("r", part).where(F.col("r") <= k)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "id"))

@@ -133,7 +133,7 @@ def vector_centroid_match(spark, sf_dir):
     """Cosine of each vector with the mean of its label's."""
     v = table(spark, sf_dir, "embeddings")
     mean = v.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("mean"))
-    return v.join(mean, "label").select("vec_id", "label", F.round(S.cosine(F.col("embedding"), F.col("mean")), 4).alias("cosine"))
+    return v.join(mean, "label").select("vec_id", "label", F.round(S.cosine(F.col("embedding").cast("array<double>"), F.col("mean")), 4).alias("cosine"))
 
 
 def _runs(spark, sf_dir):
