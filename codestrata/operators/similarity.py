@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codestrata.session import Scratch
+
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 
 
@@ -23,21 +25,24 @@ def shingle_table(texts: DataFrame, key: str, k: int, pattern: str = TOKEN) -> D
     return held.select(key, F.explode(shingles(F.col("tokens"), k)).alias("shingle"))
 
 
-def overlap_pairs(sets: DataFrame, key: str, least: float) -> DataFrame:
+def overlap_pairs(sets: DataFrame, key: str, least: float, scratch: Scratch | None = None) -> DataFrame:
     """(a, b, shared, overlap): pairs a < b that share `least` of the smaller set or more, exactly.
 
     Prefix filter: elements are ordered from rare to common; if two sets share that much, one of the first
     n - ceil(least * n) + 1 elements of the smaller set of n is in the larger. Only those prefixes are joined with
     the sets of at least the size, so that common elements hardly take part; what is found is then counted in full.
-    sets: key, shingle without repeats.
+    sets: key, shingle without repeats. With a scratch folder the sets and their order are worked out once and
+    written, else as often as the plan reads them.
     """
+    held = (lambda df: scratch.write(df, "sets")) if scratch else (lambda df: df)
+    sets = held(sets)
     df = sets.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     size = sets.groupBy(key).agg(F.count("*").alias("n"))
     ranked = sets.join(df, "shingle", "left").withColumn("df", F.coalesce("df", F.lit(1)))
     w = Window.partitionBy(key).orderBy("df", "shingle")
-    ranked = ranked.withColumn("pos", F.row_number().over(w)).join(size, key)
-    prefix = ranked.where((F.col("df") > 1) & (F.col("pos") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1)).select(F.col(key).alias("small"), "shingle", F.col("n").alias("n_small"))
-    full = ranked.where("df > 1").select(F.col(key).alias("large"), "shingle", F.col("n").alias("n_large"))
+    ranked = held(ranked.withColumn("pos", F.row_number().over(w)).join(size, key).where("df > 1"))
+    prefix = ranked.where((F.col("pos") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1)).select(F.col(key).alias("small"), "shingle", F.col("n").alias("n_small"))
+    full = ranked.select(F.col(key).alias("large"), "shingle", F.col("n").alias("n_large"))
     near = prefix.join(full, "shingle").where("n_large > n_small OR (n_large = n_small AND large <> small)").select(F.least("small", "large").alias("a"), F.greatest("small", "large").alias("b")).distinct()
     one = near.join(full.select(F.col("large").alias("a"), "shingle"), "a")
     shared = one.join(full.select(F.col("large").alias("b"), "shingle"), ["b", "shingle"]).groupBy("a", "b").agg(F.count("*").alias("shared"))

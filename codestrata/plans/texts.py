@@ -8,7 +8,7 @@ from codestrata.operators import ledger as L
 from codestrata.operators import similarity as S
 from codestrata.operators import text as T
 from codestrata.plans import model as M
-from codestrata.session import table
+from codestrata.session import Scratch, table
 
 
 def _texts(spark, sf_dir):
@@ -57,7 +57,7 @@ def near_duplicates(spark, sf_dir):
     docs = _docs(spark, sf_dir).select("doc_id", "text")
     classes = S.copy_classes(docs, "doc_id")
     reps = docs.join(classes.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
-    pairs = S.overlap_pairs(S.shingle_table(reps, "doc_id", 5, r"[\p{L}\p{N}_]+"), "doc_id", 0.8)
+    pairs = S.overlap_pairs(S.shingle_table(reps, "doc_id", 5, r"[\p{L}\p{N}_]+"), "doc_id", 0.8, Scratch(spark, "near"))
     links = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
     return classes.join(links, "rep", "left").select("doc_id", F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
@@ -67,7 +67,7 @@ def near_duplicate_pairs(spark, sf_dir):
     docs = _docs(spark, sf_dir).select("doc_id", "text")
     classes = S.copy_classes(docs, "doc_id")
     reps = docs.join(classes.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
-    return S.overlap_pairs(S.shingle_table(reps, "doc_id", 5, r"[\p{L}\p{N}_]+"), "doc_id", 0.8).select("a", "b", "shared", F.round("overlap", 6).alias("overlap"))
+    return S.overlap_pairs(S.shingle_table(reps, "doc_id", 5, r"[\p{L}\p{N}_]+"), "doc_id", 0.8, Scratch(spark, "near")).select("a", "b", "shared", F.round("overlap", 6).alias("overlap"))
 
 
 def decision_commits(spark, sf_dir):
