@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codestrata.operators.graph import strongly_connected
 from codestrata.session import Scratch
 
 
@@ -63,3 +64,49 @@ def layers(scratch: Scratch, nodes: DataFrame, edges: DataFrame, rounds: int = 1
         rest = scratch.write(rest.join(free.select(F.col("id").alias("dst")), "dst", "left_anti"), "rest")
     stuck = left.withColumn("layer", F.lit(rounds))
     return stuck if done is None else done.unionByName(stuck)
+
+
+MERGE = 40  # layers between two writes of those found so far
+
+
+def condensed_layers(scratch: Scratch, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, layer): 0 for nodes that depend on nothing, then one more than the highest layer depended on; edges (src depends on dst).
+
+    A strongly connected component counts as one node, so that its members share a layer and whatever lies above a
+    cycle keeps its place. The condensed graph is peeled until nothing is left, however deep it is. Ends that are
+    not in `nodes` are ignored.
+    """
+    known = nodes.select("id").distinct()
+    inner = edges.join(known.select(F.col("id").alias("src")), "src", "left_semi").join(known.select(F.col("id").alias("dst")), "dst", "left_semi")
+    inner = scratch.write(inner.where("src <> dst").select("src", "dst").distinct(), "inner")
+    group = known.join(strongly_connected(scratch, inner), "id", "left").select("id", F.coalesce("component", "id").alias("group"))
+    group = scratch.write(group, "group")
+    end = lambda e: group.select(F.col("id").alias(e), F.col("group").alias(f"{e}_group"))
+    rest = inner.join(end("src"), "src").join(end("dst"), "dst").where("src_group <> dst_group").select(F.col("src_group").alias("src"), F.col("dst_group").alias("dst")).distinct()
+    rest = scratch.write(rest, "rest")
+    left = scratch.write(group.select(F.col("group").alias("id")).distinct(), "left")
+    found: list[DataFrame] = []
+    layer = 0
+    while not left.isEmpty():
+        free = scratch.write(left.join(rest.select(F.col("src").alias("id")), "id", "left_anti").withColumn("layer", F.lit(layer)), "free")
+        if free.isEmpty():
+            raise RuntimeError("a cycle is left in the condensed graph")
+        found.append(free)
+        if len(found) > MERGE:
+            found = [_merged(scratch, found)]
+        more = scratch.write(left.join(free, "id", "left_anti"), "left")
+        lower = scratch.write(rest.join(free.select(F.col("id").alias("dst")), "dst", "left_anti"), "rest")
+        scratch.drop(left)
+        scratch.drop(rest)
+        left, rest = more, lower
+        layer += 1
+    if not found:
+        return group.select("id", F.lit(0).alias("layer"))
+    return group.join(_merged(scratch, found).withColumnRenamed("id", "group"), "group").select("id", "layer")
+
+
+def _merged(scratch: Scratch, parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return scratch.write(out, "layers")

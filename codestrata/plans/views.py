@@ -98,8 +98,8 @@ def tour_selection(spark, sf_dir):
 
 
 def tour_order(spark, sf_dir):
-    """The layers of the import graph, so that what a file imports comes before it."""
-    return R.layers(Scratch(spark, "tour"), M.files(spark, sf_dir).select(F.col("file").alias("id")), M.import_edges(spark, sf_dir))
+    """The layers of the import graph, so that what a file imports comes before it; files of one cycle share a layer."""
+    return R.condensed_layers(Scratch(spark, "tour"), M.files(spark, sf_dir).select(F.col("file").alias("id")), M.import_edges(spark, sf_dir))
 
 
 def url_path(spark, sf_dir):

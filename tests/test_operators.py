@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codestrata.operators import contracts, coverage, domains, graph, health, history, ledger, search, similarity, text, tour
+from codestrata.plans import views
 from codestrata.session import Scratch
 
 COMMIT = "hash string, log_ord long, author string, author_email string, ts long, message string, repo string"
@@ -84,6 +85,28 @@ def test_reach_closure_layers(spark):
     assert {r.id: r.layer for r in tour.layers(s, nodes, e).collect()} == {"a": 100, "b": 100, "c": 100, "d": 0, "z": 0}
 
 
+def test_layers_over_cycles(spark):
+    s = Scratch(spark, "t")
+    nodes = spark.createDataFrame([(x,) for x in "abcdefz"], "id string")
+    got = tour.condensed_layers(s, nodes, edges(spark, "a>b b>c c>b c>d e>a f>d f>f f>gone"))
+    assert sorted(tuple(r) for r in got.collect()) == [("a", 2), ("b", 1), ("c", 1), ("d", 0), ("e", 3), ("f", 1), ("z", 0)]
+    assert tour.condensed_layers(s, nodes.limit(0), edges(spark, "a>b")).count() == 0
+
+
+def test_tour_order_keeps_places_above_a_cycle(spark, tmp_path):
+    spark.createDataFrame([("r", f"r/{x}", 0, "Go", 1, None) for x in "abcd"], "repo string, file string, file_ord int, language string, lines long, removed_at timestamp").write.parquet(f"{tmp_path}/files.parquet")
+    pairs = [("r/a", "r/b"), ("r/b", "r/c"), ("r/c", "r/b"), ("r/c", "r/d"), ("r/d", None)]
+    spark.createDataFrame(pairs, "file string, resolved_file string").write.parquet(f"{tmp_path}/imports.parquet")
+    assert {tuple(r) for r in views.tour_order(spark, str(tmp_path)).collect()} == {("r/d", 0), ("r/b", 1), ("r/c", 1), ("r/a", 2)}
+
+
+def test_layers_deeper_than_a_hundred(spark):
+    nodes = spark.createDataFrame([(f"n{i:03}",) for i in range(105)], "id string").coalesce(1)
+    chain = edges(spark, " ".join(f"n{i + 1:03}>n{i:03}" for i in range(104))).coalesce(1)
+    got = tour.condensed_layers(Scratch(spark, "t"), nodes, chain)
+    assert {r.id: r.layer for r in got.collect()} == {f"n{i:03}": i for i in range(105)}
+
+
 def test_cohesion_and_communities(spark):
     s = Scratch(spark, "t")
     acc = spark.createDataFrame([("m1", "x"), ("m2", "x"), ("m2", "y"), ("m3", "y"), ("m4", "z"), ("n1", "q"), ("n2", "q")], "method string, field_name string")
