@@ -13,6 +13,7 @@ import math
 import re
 from bisect import bisect_right
 from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -24,13 +25,17 @@ KINDS = ("aws-access-key-id", "private-key-block", "github-token", "slack-token"
 
 _JOIN = re.compile(r"""(["'`])[ \t]*(?:\+|\|\||\.{1,2}|&|\\(?=\n))?[ \t]*(?:\n[ \t]*(?:\+|\|\||\.{1,2}|&)?[ \t]*)?\1""")
 _MAY_JOIN = re.compile(r"""["'`][ \t]*(?:\+|\|\||\.{1,2}|&|\n)[ \t\n]*["'`]""")
-_BODY = r"(?:\\+[nr]|[\s\"'+\;#*/-])*?(?:[A-Za-z-]+: [^\n]*?(?:\\n|\n)\s*)*[A-Za-z0-9+/]{16}"
+# What may stand between the BEGIN line and the key itself: line ends, comment and string signs, header lines, a blank line.
+_DECO = r"(?:\\+[nr]|[\s\"'+\;#*/-])*?"
+_HEAD = _DECO + rf"(?:[A-Za-z][A-Za-z-]*:(?:[ \t](?:(?!\\n)[^\n])*)?\r?(?:\\n|\n){_DECO})*"
 _KNOWN = re.compile(
     r"(?<![A-Za-z0-9])(?P<a>(?:AKIA|ASIA)[A-Z0-9]{16})(?![A-Za-z0-9])"
     r"|(?<![A-Za-z0-9])(?P<g>gh[pousr]_[A-Za-z0-9]{30,255}|github_pat_[A-Za-z0-9_]{30,255})(?![A-Za-z0-9])"
     r"|(?<![A-Za-z0-9])(?P<s>xox[abeoprs]-[A-Za-z0-9-]{16,255})(?![A-Za-z0-9])"
-    rf"|(?P<p>-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?={_BODY})(?:(?!-----END|\n[ \t]*\n)[\s\S]){{0,20000}}?(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|(?=-----BEGIN|\n[ \t]*\n|$(?![\s\S]))))"
+    rf"|(?P<p>-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----{_HEAD}(?=[A-Za-z0-9+/]{{16}}))"
 )
+_KEY_EDGE = re.compile(r"-----(?:END (?:[A-Z0-9]+ )*(?P<end>PRIVATE KEY(?: BLOCK)?-----)|END|BEGIN)")
+_BLANK = re.compile(r"\n[ \t\r]*\n")
 _KIND = {"a": KINDS[0], "p": KINDS[1], "g": KINDS[2], "s": KINDS[3]}
 
 # A line that names a secret. Each word stands alone between case changes, digits or signs.
@@ -100,6 +105,25 @@ def looks_secret(s: str) -> bool:
     return any(c.isalpha() for c in s) and entropy(s) >= _threshold(s)
 
 
+def _known(text: str) -> Iterator[tuple[int, int, str]]:
+    """Start, end and group of each literal of a well-known form.
+
+    A key block runs to its END line, whatever its length. Without one it ends before the next block, or at a blank line after its headers.
+    """
+    at = 0
+    while m := _KNOWN.search(text, at):
+        at = m.end()
+        if m.lastgroup == "p":
+            edge = _KEY_EDGE.search(text, at)
+            if edge and edge["end"]:
+                at = edge.end()
+            else:
+                last = edge.start() if edge else len(text)
+                blank = _BLANK.search(text, at, last)
+                at = blank.start() if blank else last
+        yield m.start(), at, m.lastgroup
+
+
 def _known_is_real(kind: str, s: str) -> bool:
     if kind == "p":
         return True
@@ -204,9 +228,9 @@ def find_credentials(text: str | None) -> list[tuple[int, str, list[tuple[int, i
         return out
 
     hits = []
-    for m in _KNOWN.finditer(flat) if any(w in flat for w in _KNOWN_HINTS) else ():
-        if _known_is_real(m.lastgroup, m[0]):
-            hits.append((m.start(), m.end(), _KIND[m.lastgroup]))
+    for a, b, group in _known(flat) if any(w in flat for w in _KNOWN_HINTS) else ():
+        if _known_is_real(group, flat[a:b]):
+            hits.append((a, b, _KIND[group]))
     starts = None
     masked = flat
     if hits:

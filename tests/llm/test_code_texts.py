@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 
 from codestrata.llm.credentials import credentials, entropy, find_credentials, looks_secret, redact
@@ -77,6 +79,29 @@ def test_harmless(text):
     assert find_credentials(text) == [] and redact(text) == text
 
 
+KEY_LINES = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(400)]
+
+
+@pytest.mark.parametrize(
+    ("begin", "end", "body"),
+    [
+        ("RSA PRIVATE KEY", "RSA PRIVATE KEY", ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-256-CBC,5F3A77C1D2", "", *KEY_LINES[:15]]), ("PGP PRIVATE KEY BLOCK", "PGP PRIVATE KEY BLOCK", ["", *KEY_LINES[:15], "=aB3d"]),
+        ("PGP PRIVATE KEY BLOCK", "PGP PRIVATE KEY BLOCK", ["Version: GnuPG v2", "Comment:", "", *KEY_LINES[:15]]), ("PRIVATE KEY", "PRIVATE KEY", KEY_LINES), ("PRIVATE KEY", None, ["Proc-Type: 4,ENCRYPTED", "", *KEY_LINES[:15]]),
+    ],
+)
+@pytest.mark.parametrize("eol", ["\n", "\r\n"])
+def test_whole_key_block_is_hidden(begin, end, body, eol):
+    text = eol.join(["a = 1", f"-----BEGIN {begin}-----", *body, *([f"-----END {end}-----"] if end else []), "", "b = 2", ""])
+    assert [(n, k) for n, k, _ in find_credentials(text)] == [(2, "private-key-block")]
+    hidden = redact(text)
+    assert len(hidden) == len(text) and not any(x in hidden for x in body if len(x) > 16) and "a = 1" in hidden and "b = 2" in hidden
+
+
+def test_key_without_end_stops_at_the_blank_line_or_the_next_block():
+    key = "-----BEGIN PRIVATE KEY-----\n" + KEY_LINES[0] + "\n"
+    assert "kept" in redact(key + "\nkept\n" + key + "-----END PRIVATE KEY-----\n") and [n for n, _, _ in find_credentials(key + key)] == [1, 3]
+
+
 def test_credentials_on_frames(spark):
     df = spark.createDataFrame([("a", SECRETS[0][0], 1), ("a", SECRETS[0][0], 1), ("b", None, 2), ("c", "", 3)], "file string, text string, line int")
     assert [tuple(r) for r in credentials(df).collect()] == [("a", 1, "aws-access-key-id")] * 2
