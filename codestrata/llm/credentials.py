@@ -14,6 +14,7 @@ import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -63,8 +64,10 @@ _PLACEHOLDER = re.compile(
 )
 _ELSEWHERE = re.compile(
     r"[${}<>()]\w*\s*[({]|^\$|^%\w+%$|\$\{|\{\{|\}\}|<[^>]*>|^@|(?i:getenv|environ|process\.env|os\.env|vault[:/_]|secretsmanager|ssm:|keyring|arn:|env[:.(]|file:|op://)|^(?:/|\./|~/)|^[a-z_.\-]+\d{0,3}(?:/[a-z_.\-]+\d{0,3})+$|"
-    r"^[\w\-]+(?:\.[\w\-]+)+(?::\d+)?$|^[A-Za-z][\w+.\-]*://|^(?:sha\d+|md5)[:\-]|^ssh-(?:rsa|ed25519)|^-----BEGIN"
+    r"^[A-Za-z][\w+.\-]*://|^(?:sha\d+|md5)[:\-]|^ssh-(?:rsa|ed25519)|^-----BEGIN"
 )
+# A host or a member of a module, unless one of its parts is random.
+_DOTTED = re.compile(r"^[\w\-]+(?:\.[\w\-]+)+(?::\d+)?$")
 _UUID = re.compile(r"(?i)^\{?[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}\}?$")
 _HEX = re.compile(r"(?i)^[0-9a-f]+$")
 _CODE = re.compile(r"^[A-Za-z_$][\w$]*(?:[.:]{1,2}[A-Za-z_$][\w$]*)*(?:\(.*)?;?$")
@@ -74,7 +77,9 @@ _NAME = re.compile(r"^[A-Za-z_$]+\d{0,4}(?:[._:]+[A-Za-z_$]*\d{0,2})*$")
 # Words and a number, joined by signs.
 _PHRASE = re.compile(r"^[A-Za-z]+(?:[^A-Za-z0-9\s][A-Za-z]+)+(?:[^A-Za-z0-9\s]?\d+)?$")
 
-MIN_LENGTH, MAX_LENGTH = 8, 256
+MIN_LENGTH = 8
+# From this length on, a part of a dotted value may be a key's: where it mixes cases and digits, or not; and how often, at least, its characters change between cases and digits.
+MIXED_PART, PLAIN_PART = (12, 0.5), (20, 0.25)
 
 
 def entropy(s: str) -> float:
@@ -94,12 +99,24 @@ def _threshold(s: str) -> float:
     return (0.55 if words else 0.74) * math.log2(min(len(s), size))
 
 
+def _random_part(s: str) -> bool:
+    """Whether a part of a dotted value is a piece of a key rather than a name: names are words with few numbers, in lower case if they are a host's."""
+    for run in re.findall("[A-Za-z0-9]+", s):
+        kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" for c in run]
+        length, changes = MIXED_PART if len(set(kinds)) == 3 else PLAIN_PART
+        if len(run) >= length and 1 < len(set(kinds)) and "d" in kinds and sum(a != b for a, b in pairwise(kinds)) >= changes * (len(run) - 1) and entropy(run) >= _threshold(run):
+            return True
+    return False
+
+
 def looks_secret(s: str) -> bool:
     """Whether a literal in a secret's place is one, and not a placeholder or a reference."""
-    if not MIN_LENGTH <= len(s) <= MAX_LENGTH or any(c.isspace() for c in s):
+    if len(s) < MIN_LENGTH or any(c.isspace() for c in s):
         return False
     if _PLACEHOLDER.search(s) or _ELSEWHERE.search(s) or _UUID.match(s) or s.isdigit() or _NAME.match(s):
         return False
+    if _DOTTED.match(s) and not any(_random_part(x) for x in s.split(".")):
+        return False
     if not any(c.isdigit() for c in s) and (_CODE.match(s) or not (any(c.isupper() for c in s) and any(c.islower() for c in s))):
         return False
     return any(c.isalpha() for c in s) and entropy(s) >= _threshold(s)
