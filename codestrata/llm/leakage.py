@@ -1,7 +1,7 @@
 """Evaluation texts leaking into training text, found by spaced-seed hashing.
 
-Every window of words of a test item is hashed under fixed masks that ignore some of the window's positions, so
-that a changed word does not matter where a mask skips it. The same hashes of all windows of all documents are
+Every window of words of a test item is hashed under a mask of few words, so that some window lies between the
+changed and added words of a passage. The same hashes of all windows of all documents are
 joined with them; the item side is broadcast in blocks of a bounded number of items. Around each hit the words
 are compared on the hit's diagonal and its neighbours, and what passes is aligned with substitutions, added and
 dropped words allowed, within a band. A document holds an item if an alignment covers MIN_WORDS successive words.
@@ -20,12 +20,14 @@ from pyspark.sql import functions as F
 from codestrata.session import table
 
 MIN_WORDS = 14
-# 1: the word counts, 0: it is ignored. Blocks of words with a hole or two: scattered words would match any two sentences of one pattern.
-MASKS = ("111111", "11110111", "11101111", "111011011")
+# 1: the word counts, 0: it is ignored. Three words in a row stand in any MIN_WORDS words with up to three edits; a longer or a scattered mask would miss some of these or match any two sentences of one pattern.
+MASKS = ("111",)
 BAND = 8  # added less dropped words that an alignment may gather
-NEAR, NEAR_SHIFT, NEAR_WORDS = 14, 2, 11  # words to compare around a hit, shifts, and how many must agree; an alignment of MIN_WORDS with more than three edits cannot win
+EDITS = 3  # of which MIN_WORDS words may have so many; NEAR_WORDS agree then, at shifts of no more than EDITS
+NEAR_WORDS = MIN_WORDS - EDITS
 MISS, GAP = 3.0, 3.0
 ITEMS_PER_BLOCK = 5000
+HITS = 100_000  # looked at at once
 TABLE_BITS = 22
 
 _WORD = re.compile(r"[^\W_]+")
@@ -87,36 +89,55 @@ def _seeds(h: np.ndarray, mask: str) -> np.ndarray:
 def longest(a: list[int], b: list[int], shift: int) -> int:
     """The most successive words of the item `a` that an alignment with `b` covers, about the diagonal `shift` (place in b less place in a).
 
-    The best-scoring local alignment is taken; its ends are equal words, and a word changed or dropped within counts as covered.
+    The best-scoring local alignment is taken; its ends are equal words, and a word changed or dropped within counts
+    as covered. A word changed or added near an end costs such an alignment more than the words beyond it gain, so
+    that the ends are then grown over one edit each, as long as there are two edits in all: with three, most sentences of one
+    pattern would pass.
     """
-    best_score, best = 0.0, 0
+    best_score, best, ends = 0.0, 0, None
     width = 2 * BAND + 1
-    above = [(0.0, 0)] * (width + 2)  # (score, first item word) by diagonal
+    above = [(0.0, 0, 0)] * (width + 2)  # (score, first item word, its place in b) by diagonal
     for i, x in enumerate(a):
-        row = [(0.0, 0)] * (width + 2)
+        row = [(0.0, 0, 0)] * (width + 2)
         for k in range(1, width + 1):
             j = i + shift + k - 1 - BAND
             if j < 0 or j >= len(b):
                 continue
-            s, start = above[k]
+            s, start, place = above[k]
             if b[j] == x:
                 if s <= 0:
-                    s, start = 0.0, i
+                    s, start, place = 0.0, i, j
                 s += 1
-                row[k] = (s, start)
+                row[k] = (s, start, place)
                 if (s, i - start) > (best_score, best - 1):
-                    best_score, best = s, i - start + 1
+                    best_score, best, ends = s, i - start + 1, (start, place, i, j)
                 continue
             s -= MISS
             up, left = above[k + 1], row[k - 1]
             if up[0] - GAP > s:
-                s, start = up[0] - GAP, up[1]
+                s, start, place = up[0] - GAP, up[1], up[2]
             if left[0] - GAP > s:
-                s, start = left[0] - GAP, left[1]
+                s, start, place = left[0] - GAP, left[1], left[2]
             if s > 0:
-                row[k] = (s, start)
+                row[k] = (s, start, place)
         above = row
-    return best
+    if ends is None:
+        return 0
+    start, place, i, j = ends
+    grown = [_grown(a[:start][::-1], b[max(place - start - 1, 0) : place][::-1]), _grown(a[i + 1 :], b[j + 1 :])]
+    within = -(-int(best - best_score) // int(MISS + 1))  # edits of the alignment, at least
+    return best + sum(sorted(grown)[within:])
+
+
+def _grown(a: list[int], b: list[int]) -> int:
+    """The words at the start of `a` that the start of `b` goes on with after one word changed or added."""
+    most = 0
+    for i in (0, 1):
+        j = 1
+        while i < len(a) and j < len(b) and a[i] == b[j]:
+            i, j = i + 1, j + 1
+            most = max(most, i)
+    return most
 
 
 class Items:
@@ -148,6 +169,20 @@ class Items:
             there[s & np.uint64((1 << TABLE_BITS) - 1)] = True
             self.sorted.append((s[order], at[order], there))
 
+    def _near(self, h: np.ndarray, p: np.ndarray, q: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Whether NEAR_WORDS of some MIN_WORDS item words about each hit agree, on its own diagonal or the next ones."""
+        around = range(1 - MIN_WORDS, MIN_WORDS + len(MASKS[0]) - 1)
+        total = np.zeros((len(around) + 1, len(p)), dtype=np.int8)
+        for n, d in enumerate(around):
+            qq = q + d
+            inside = (qq >= self.starts[item]) & (qq < self.starts[item + 1] - 1)
+            word = self.hashes[np.clip(qq, 0, len(self.hashes) - 1)]
+            agree = np.zeros(len(p), dtype=bool)
+            for e in range(-EDITS, EDITS + 1):
+                agree |= h[np.clip(p + d + e, 0, len(h) - 1)] == word
+            total[n + 1] = total[n] + (agree & inside)
+        return (total[MIN_WORDS:] - total[:-MIN_WORDS]).max(axis=0) >= NEAR_WORDS
+
     def probe(self, texts: list[str]) -> list[tuple[int, int]]:
         """(number of the text, number of the item) of each leak."""
         sizes, flat = [], []
@@ -173,17 +208,7 @@ class Items:
             return []
         p, q = np.concatenate(hits, axis=1)
         text, item = np.searchsorted(ends, p, "right"), self.owner[q]
-        # Words that agree near the hit, on its own diagonal or the next ones.
-        score = np.zeros(len(p), dtype=np.int64)
-        for d in range(-NEAR, NEAR + 1):
-            qq = q + d
-            inside = (qq >= self.starts[item]) & (qq < self.starts[item + 1] - 1)
-            word = self.hashes[np.clip(qq, 0, len(self.hashes) - 1)]
-            agree = np.zeros(len(p), dtype=bool)
-            for e in range(-NEAR_SHIFT, NEAR_SHIFT + 1):
-                agree |= h[np.clip(p + d + e, 0, len(h) - 1)] == word
-            score += agree & inside
-        keep = score >= NEAR_WORDS
+        keep = np.concatenate([self._near(h, p[k : k + HITS], q[k : k + HITS], item[k : k + HITS]) for k in range(0, len(p), HITS)])
         if not keep.any():
             return []
         p, q, text, item = p[keep], q[keep], text[keep], item[keep]

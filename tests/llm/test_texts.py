@@ -54,6 +54,19 @@ def test_noise():
     assert Items([]).probe(["a b c d e f g h"]) == [] and item.probe([]) == [] and item.probe(["", "a"]) == []
 
 
+def test_edits_at_any_place_of_a_passage():
+    w = [f"w{i}" for i in range(40)]
+    item = Items([(7, " ".join(w), None)])
+    inner = range(1, 13)
+    changed = [w[10 : 10 + k] + ["zzz"] + w[11 + k : 24] for k in inner]
+    added = [w[10 : 10 + k] + ["zzz"] + w[10 + k : 24] for k in inner]
+    both = [w[10:12] + ["zzz"] + w[13:22] + ["yyy"] + w[23:24], w[10:15] + ["zzz"] + w[15:20] + ["yyy"] + w[20:24], [x for k in range(0, 30, 5) for x in [*w[k : k + 5], "zzz"]]]
+    leaks = [" ".join(["aa", "bb", *x, "cc", "dd"]) for x in changed + added + both]
+    assert sorted(item.probe(leaks)) == [(k, 0) for k in range(len(leaks))]
+    short = [w[10:12] + ["zzz"] + w[13:23], w[10:15] + ["zzz"] + w[15:20] + ["yyy"] + w[20:23], [x for k in range(0, 39, 4) for x in [*w[k : k + 2], "zzz", "yyy"]]]
+    assert item.probe([" ".join(["aa", "bb", *x, "cc", "dd"]) for x in short]) == []
+
+
 def test_no_items(spark):
     d = spark.createDataFrame([(1, text(30))], "doc_id long, text string")
     assert leaks(spark, d, spark.createDataFrame([], "item_id long, text string")).count() == 0
