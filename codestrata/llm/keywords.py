@@ -10,6 +10,7 @@ with more words and links in abnormal units than in others is flagged.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -52,8 +53,17 @@ _MARK = re.compile(r"^[ \t]*(?:[-*+>|]+|#{1,6}(?=\s)|\d+[.)](?=\s)|\[[^\]\n]{0,2
 # A link with its label or its brackets, as it stands before or behind a sentence.
 _ATTACHED = re.compile(r"\(?\[[^\[\]\n]*\]\(\s*(?:https?|ftp)://[^\s()]*\s*\)\)?:?|\((?:see|siehe|ver|voir|cf\.?)?\s*(?:https?|ftp)://[^\s()]*\s*\)|(?:https?|ftp)://[^\s<>\"')\]]+", re.I)
 FUNCTION_SHARE = 0.15
-# Lines that are neither prose nor keywords: headings, tables, code, rules.
-_NEUTRAL = re.compile(r"^(?: {4}|\t)|^[ \t]*(?:#{1,6} |\|.*\|[ \t]*$|```|[-=*_]{3,}[ \t]*$|[\w./-]+\(.*\);?[ \t]*$)")
+# Lines that are neither prose nor keywords: calls and rules.
+_NEUTRAL = re.compile(r"^[ \t]*(?:[-=*_]{3,}[ \t]*$|[\w./-]+\(.*\);?[ \t]*$)")
+_INDENTED = re.compile(r"^(?: {4}|\t)")
+_ROW = re.compile(r"^[ \t]*\|.*\|[ \t]*$")
+_BAR = re.compile(r"[ \t]*\|[ \t|:-]*")
+_LINKS = re.compile(r"\[[^\[\]\n]*\]\([^()\s]*\)|(?:https?|ftp)://[^\s<>\"')\]]+|www\.[^\s<>\"')\]]+|[\w.+-]+@[\w-]+\.[\w.]+")
+# Signs of code in a line without its links.
+_CODE_LINE = re.compile(
+    r"[;{}][ \t]*$|^[ \t]*[\])}]|[A-Za-z_]\w*\(|(?:^|\s)(?:=|:=|=>|->|==|!=|<=|>=|&&|[-+*]=|<-)(?:\s|$)|^[ \t]*(?:\$|>>>) |^[ \t]*(?:def|func|fn|elif|#include)\b|^[ \t]*(?:import|package|return|from)[ \t]+[\w.*\"']+$|"
+    r"\w::\w|[A-Za-z]\w*\.[A-Za-z]\w*\.\w+|\s--\w|\w/\w+/|(?<![.\w])\w+/[\w.-]*\.\w{1,4}\b|(?<![#@\w])[A-Za-z]+_[A-Za-z]|^[ \t]*[\w.-]+[ \t]*[:=][ \t]*\S+$|^[ \t]*\w+:[ \t]*$"
+)
 UNIT, LEAST_UNIT = 40, 6
 MIN_UNIT = 4
 MIN_TRAIN_WORDS, MIN_TRAIN_FUNCTION = 5, 2
@@ -102,8 +112,58 @@ def _classes(line: str) -> list[int]:
     return [_class_of[t] for t in _TOKEN.findall(line)]
 
 
+def _is_code(line: str) -> bool:
+    """Whether a line of a table or of an indented or fenced block looks like code or numbers."""
+    bare = _LINKS.sub(" ", line)
+    if _CODE_LINE.search(bare):
+        return True
+    seq = _classes(bare)
+    numbers = sum(c in (NUMBER, CODE) for c in seq)
+    return numbers > 0 and numbers >= sum(c in _WORD_CLASSES for c in seq)
+
+
+def _lines(text: str) -> Iterator[str]:
+    """The lines to classify, without heading signs and cell bars; "" for those that are not.
+
+    Of tables and of indented or fenced blocks all lines are left out if half of them look like code or numbers, else those that do.
+    """
+    block: list[str] = []
+    kind, fenced = "", False
+
+    def over() -> Iterator[str]:
+        code = [_is_code(x) for x in block]
+        all_code = 2 * sum(code) >= len(code)
+        yield from ("" if all_code or c else x for x, c in zip(block, code, strict=True))
+        block.clear()
+
+    for line in text.split("\n"):
+        fence = line.lstrip().startswith("```")
+        if fence:
+            fenced = not fenced
+        row = _ROW.match(line) is not None
+        now = "" if fence else "fence" if fenced else "row" if row else "indent" if _INDENTED.match(line) else ""
+        if not fence and not line.strip():
+            if not fenced:
+                yield from over()
+            kind = now
+            yield ""
+            continue
+        if now != kind or fence:
+            yield from over()
+            kind = now
+        if row and not fence:
+            line = _BAR.sub("  ", line)
+        if fence or not line.strip() or _NEUTRAL.match(line):
+            yield ""
+        elif now:
+            block.append(line)
+        else:
+            yield line
+    yield from over()
+
+
 def classify(text: str) -> list[list[list[int]]]:
-    """Units of the text as pieces (sentences, or lines without one) of class sequences; headings, tables and code are left out.
+    """Units of the text as pieces (sentences, or lines without one) of class sequences; code, numbers and rules are left out.
 
     A line that goes on in lower case is joined to the one before unless that ended a sentence. A link that is
     attached to a sentence is left out; a line that has links but no sentence keeps them. A piece of UNIT tokens
@@ -111,15 +171,10 @@ def classify(text: str) -> list[list[list[int]]]:
     """
     t = _OPEN_TAG.sub(r" \1 ", text) if "<" in text else text
     t = _HTML.sub(" ", t) if "<" in t else t
-    fenced = False
     lines: list[list[int]] = []
     after = False  # whether the next line may go on with the last one
-    for line in t.split("\n"):
-        if line.lstrip().startswith("```"):
-            fenced = not fenced
-            after = False
-            continue
-        if fenced or not line.strip() or _NEUTRAL.match(line):
+    for line in _lines(t):
+        if not line:
             after = False
             continue
         line = _MARK.sub("", line)

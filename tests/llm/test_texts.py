@@ -97,6 +97,27 @@ def test_pages(spark):
     assert page_shares(spark, df.limit(0)).count() == 0
 
 
+def keyword_lines(n):
+    return [f"best {R.choice(VOCAB)} cheap {R.choice(VOCAB)}, {R.choice(VOCAB)} online" for _ in range(n)]
+
+
+def test_pages_laid_out_otherwise(spark):
+    lines = keyword_lines(20)
+    spam = {
+        900: "\n".join("    " + x for x in lines), 901: "\n".join("\t" + x for x in lines), 902: "| name | tags |\n|---|---|\n" + "\n".join(f"| {x} | sale |" for x in lines), 903: "\n".join("## " + x for x in lines),
+        904: prose(1) + "\n```\n" + "\n".join(lines), 905: "\n".join(f"    https://b.invalid/{i}" for i in range(20)), 906: "\n".join(f"| [cheap {R.choice(VOCAB)}](http://a.invalid/{i}) |" for i in range(20)),
+    }
+    code = ["def run(self, a):", "x = self.load(a)", "return x", "for row in rows:", "count += 1", "print(row.name)"]
+    fine = {
+        950: prose(2) + "\n\n" + "\n".join("    " + x for x in code * 5), 951: prose(2) + "\n```\n" + "\n".join(code * 5) + "\n```\n" + prose(1), 952: "# Figures\n\n| file | lines |\n|---|---|\n" + "\n".join(f"| src/a{i}.py | {i} |" for i in range(30)),
+        953: "\n".join(f"# Part {i}\n\n    {prose(1)}\n" for i in range(9)), 954: "\n".join(f"| {R.choice(VOCAB)} | {prose(1)} |" for _ in range(9)), 955: "\n".join("    " + x for x in code * 5),
+    }
+    docs = [(i, prose(6)) for i in range(200)] + list(spam.items()) + list(fine.items())
+    got = {r.doc_id: (r.abnormal, r.words) for r in page_shares(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {k for k, (a, n) in got.items() if 2 * a > n} == set(spam)
+    assert all(got[k][1] >= 60 for k in spam)
+
+
 def test_model_is_a_distribution():
     counts = pd.DataFrame({"code": [5, 6, A**2 + 5], "n": [3, 1, 2]})
     bits, mean, spread = model(counts)
