@@ -59,27 +59,50 @@ _LIBRARY_PATH = re.compile(r"(?:^|/)(?:third_party|thirdparty|node_modules|exter
 _GENERIC_DIRS = frozenset("src lib test tests docs include internal core app pkg util tools".split())
 
 
-def _head(text: str, lines: int = 12) -> list[str]:
-    """The comment lines before any code."""
+_BLOCK = {"/*": "*/", "<!--": "-->", '"""': '"""', "'''": "'''"}
+
+
+def _head(text: str) -> list[str]:
+    """The comment lines before any code, however many; lines within a block comment or a docstring need no sign of their own."""
     out = []
-    for x in text[:4000].lstrip("﻿").split("\n")[:lines]:
-        if x.strip() and not x.startswith("#!"):
-            if not _COMMENT.match(x):
-                break
-            out.append(x.strip())
+    at, close = 1 if text[:1] == "\ufeff" else 0, ""
+    while at < len(text):
+        end = text.find("\n", at)
+        end = end if end >= 0 else len(text)
+        if not close:
+            sign = _COMMENT.match(text, at, end)
+            opened = next((x for x in _BLOCK if sign and sign[0].lstrip().startswith(x)), None)
+            if opened:
+                close, start = _BLOCK[opened], sign.end() - len(sign[0].lstrip()) + len(opened)
+            elif text[at:end].strip() and not text.startswith("#!", at):
+                if not sign:
+                    break
+                out.append(text[at:end].strip())
+        else:
+            start = at
+        if close:
+            stop = text.find(close, start, end)
+            line = text[at : stop if stop >= 0 else end].strip()
+            if line:
+                out.append(line)
+            if stop >= 0:  # the rest of the line may be a comment as well
+                at, close = stop + len(close), ""
+                continue
+        at = end + 1
     return out
 
 
 def notice(repo: str, text: str) -> tuple[bool, bool]:
     """Whether the head says that a tool wrote the file; and that it belongs to something other than its repo."""
     made, foreign = False, False
-    for x in _head(text):
+    head = _head(text)
+    for x in head:
         plain = _QUOTED.sub(" ", x)
         made = made or bool(_GENERATED_NOTICE.search(plain))
         for p in (_VERSIONED, _AUTHORS, _PART_OF, _UPSTREAM):
             m = p.search(plain)
-            if m and m[1].lower() != repo.lower() and m[1].lower() not in repo.lower():
-                foreign = foreign or p is not _VERSIONED or bool(re.search(r"(?i)licen[sc]e|upstream|\(c\)", " ".join(_head(text))))
+            if m and m[1].lower() != "version" and m[1].lower() != repo.lower() and m[1].lower() not in repo.lower():
+                foreign = foreign or p is not _VERSIONED or bool(re.search(r"(?i)licen[sc]e|upstream|\(c\)", " ".join(head)))
     return made, foreign
 
 

@@ -147,6 +147,30 @@ def test_repair_and_rules():
     assert len(measure(["r"] * 4, texts)) == 4 and len(measure([], [])) == 0
 
 
+APACHE = """Copyright 2024 the r authors
+
+Licensed under the Apache License,
+Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+
+
+@pytest.mark.parametrize("header", ["// " + APACHE.replace("\n", "\n// "), "# " + APACHE.replace("\n", "\n# "), f"/*\n{APACHE}\n*/", f'"""{APACHE}\n"""', f"<!--\n{APACHE} -->", "// x\n" * 900, "/**/ // a"])
+def test_notice_after_a_long_header(header):
+    sign = "#" if header[0] in "#\"" else "//"
+    for said, want in (("Code generated by tool v1. DO NOT EDIT.", (True, False)), ("This file is part of quickslug 2.1", (False, True)), ("Reads the tree.", (False, False))):
+        assert notice("r", f"{header}\n\n{sign} {said}\npackage a\n") == want
+        assert notice("r", f"{header}\npackage a\n{sign} {said}\n") == (False, False)
+
+
 def test_notices():
     assert notice("r", "// Code generated by tool v1. DO NOT EDIT.\npackage a") == (True, False)
     assert notice("r", "// Writes the banner 'DO NOT EDIT' into emitted stubs.\n") == (False, False)
