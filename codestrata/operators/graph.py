@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -166,12 +168,13 @@ def cohesion(scratch: Scratch, accesses: DataFrame, methods: DataFrame) -> DataF
     return labels.groupBy("parent").agg(F.count("*").alias("methods"), F.countDistinct("label").alias("components")).where("methods >= 2 AND components >= 2")
 
 
-def communities(scratch: Scratch, edges: DataFrame, levels: int = 3, rounds: int = 8) -> DataFrame:
+def communities(scratch: Scratch, edges: DataFrame, levels: int = 50, rounds: int = 200) -> DataFrame:
     """(id, community): modularity communities of an undirected view of `edges` (src, dst), named by their smallest node.
 
     In a round every node weighs the communities of its neighbours by what joining them would gain; of those that
-    would gain a half drawn by hash moves, another one each round, so that neighbours do not trade places for ever. After `rounds`
-    rounds communities become nodes. Ties go to the smaller community. All steps are joins and partial sums.
+    would gain a half drawn by hash moves, another one each round, so that neighbours do not trade places for ever. Once no node would gain
+    communities become nodes, until none of them joins another. `levels` and `rounds` only guard against endless trading; reaching
+    either is warned of. Ties go to the smaller community. All steps are joins and partial sums.
     """
     pairs = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).groupBy("a", "b").agg(F.count("*").cast("double").alias("w"))
     links = scratch.write(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), "links")
@@ -192,13 +195,24 @@ def communities(scratch: Scratch, edges: DataFrame, levels: int = 3, rounds: int
             gain = F.round(F.col("into") - rest * F.col("degree") / total, 9)
             best = near.join(mine, "n").join(whole, "c").select("n", "degree", "own", "c", gain.alias("gain")).groupBy("n", "degree", "own")
             best = best.agg(F.min(F.struct((-F.col("gain")).alias("g"), F.col("c").alias("c"))).alias("m"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay"))
-            moves = (F.pmod(F.xxhash64("n", F.lit(turn)), F.lit(2)) == 0) & (-F.col("m.g") > F.col("stay"))
-            home = scratch.write(best.select("n", "degree", F.when(moves, F.col("m.c")).otherwise(F.col("own")).alias("c")), "home")
+            gains = -F.col("m.g") > F.col("stay")
+            moves = (F.pmod(F.xxhash64("n", F.lit(turn)), F.lit(2)) == 0) & gains
+            new = scratch.write(best.select("n", "degree", F.when(moves, F.col("m.c")).otherwise(F.col("own")).alias("c"), gains.alias("gains")), "home")
+            scratch.drop(home)
+            home = new
+            if home.where("gains").isEmpty():
+                break
+        else:
+            warnings.warn(f"communities still gained after {rounds} rounds", stacklevel=2)
         named = home.groupBy("c").agg(F.min("n").alias("name"))
         to = scratch.write(home.join(named, "c").select("n", F.col("name").alias("to")), "to")
+        if to.where("n <> to").isEmpty():
+            break
         member = scratch.write(member.join(to, F.col("community") == F.col("n")).select("id", F.col("to").alias("community")), "member")
         ends = links.join(to.select(F.col("n").alias("a"), F.col("to").alias("x")), "a").join(to.select(F.col("n").alias("b"), F.col("to").alias("y")), "b")
         links = scratch.write(ends.groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("w").alias("w")), "links")
+    else:
+        warnings.warn(f"communities still joined after {levels} levels", stacklevel=2)
     return member
 
 

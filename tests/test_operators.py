@@ -119,6 +119,12 @@ def test_cohesion_and_communities(spark):
     assert math.isclose(q, 6 / 7 - 0.5)
 
 
+def test_communities_until_no_node_gains(spark):
+    pairs = spark.createDataFrame([(f"a{i:04}", f"b{i:04}") for i in range(2000)], "src string, dst string")
+    got = {r.id: r.community for r in graph.communities(Scratch(spark, "t"), pairs).collect()}
+    assert got == {f"{x}{i:04}": f"a{i:04}" for x in "ab" for i in range(2000)}
+
+
 def test_health(spark):
     sym = spark.createDataFrame([("f", "f::a", "Function", 1, 60, 11, 5, 3, 7, 3), ("f", "f::b", "Function", 1, 50, 10, 4, 2, 6, 2), ("f", "f::C", "Class", 1, 90, None, None, None, None, None)],
                                 "file string, id string, kind string, start_line int, end_line int, complexity int, max_nesting_depth int, bumpy_road_bumps int, param_count int, primitive_param_count int")
