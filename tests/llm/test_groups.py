@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from codestrata.llm.components import components, symbol_links
 from codestrata.llm.ideal_point import closeness
 from codestrata.llm.together import PairTable
@@ -74,25 +76,56 @@ def rows(spark, baskets):
     return spark.createDataFrame([(s, b, i, 0) for (s, b), items in baskets.items() for i in items], BASKET)
 
 
-def test_batches_equal_a_recount(spark):
+def files_of(table):
+    return {(kind, k): runs for kind in ("pairs", "items", "scopes", "scores") for k, runs in table.files(kind).items()}
+
+
+def test_batches_equal_a_recount(spark, tmp_path):
     r = random.Random(2)
     one = {(f"s{k % 3}", f"b{k}"): {f"i{r.randrange(12)}" for _ in range(r.randrange(1, 6))} for k in range(40)}
     one["s0", "huge"] = {f"i{k}" for k in range(51)}
-    table = PairTable(spark, buckets=4)
-    table.apply(None, rows(spark, one).unionByName(rows(spark, one)))
-    assert counts(table) == expected(one)
+    where = f"file://{tmp_path}/t"
+    PairTable(spark, where, buckets=4).apply(None, rows(spark, one).unionByName(rows(spark, one)), batch=1)
+    assert counts(PairTable(spark, where)) == expected(one)
     changed = {k: {f"i{r.randrange(12)}" for _ in range(3)} for k in list(one)[:15]}
     fresh = {("s9", "new"): {"x", "y"}}
-    held = table.rescore(None, table.scopes.select("scope"))
-    touched = table.apply(rows(spark, {k: one[k] for k in changed}), rows(spark, changed | fresh))
+    table = PairTable(spark, where)
+    for _ in range(2):  # a batch delivered twice counts once
+        table.apply(rows(spark, {k: one[k] for k in changed}), rows(spark, changed | fresh), batch=2)
     now = one | changed | fresh
+    assert counts(PairTable(spark, where)) == expected(now)
+    # One basket to and fro, so that runs gather and are merged.
+    key = next(iter(one))
+    for k in range(8):
+        before, after = {key: now[key]}, {key: {f"i{k}", f"i{k + 1}", f"i{k + 2}"}}
+        PairTable(spark, where).apply(rows(spark, before), rows(spark, after))
+        now |= after
+    table = PairTable(spark, where)
     assert counts(table) == expected(now)
-    after = table.rescore(held, touched)
-    assert {(x.scope, x.a, x.b): x.together for x in after.collect()} == {k: v[0] for k, v in expected(now).items()}
-
-
-def test_pairs_without_rows_and_with_nulls(spark):
-    table = PairTable(spark)
+    assert all(len(runs) <= 4 for runs in files_of(table).values())
+    table.vacuum()
+    assert counts(PairTable(spark, where)) == expected(now)
+
+
+def test_buckets_without_a_touched_scope_keep_their_files(spark, tmp_path):
+    where = f"file://{tmp_path}/t"
+    baskets = {(f"s{k}", f"b{n}"): {"x", "y", f"z{n}"} for k in range(20) for n in range(3)}
+    first = PairTable(spark, where, buckets=16)
+    first.apply(None, rows(spark, baskets))
+    held = files_of(first)
+    again = PairTable(spark, where)
+    again.apply(None, rows(spark, {("s7", "more"): {"x", "y"}}))
+    changed = {key for key in held if files_of(again).get(key) != held[key]}
+    assert len({k for _, k in changed}) == 1 and {kind for kind, _ in changed} == {"pairs", "items", "scopes", "scores"}
+    assert counts(PairTable(spark, where)) == expected(baskets | {("s7", "more"): {"x", "y"}})
+    # A writer that opened an older version changes nothing.
+    with pytest.raises(RuntimeError):
+        first.apply(None, rows(spark, {("s1", "late"): {"x", "y"}}))
+    assert counts(PairTable(spark, where)) == expected(baskets | {("s7", "more"): {"x", "y"}})
+
+
+def test_pairs_without_rows_and_with_nulls(spark, tmp_path):
+    table = PairTable(spark, f"file://{tmp_path}/t")
     table.apply(None, spark.createDataFrame([], BASKET))
     assert table.scores().count() == 0
     table.apply(None, spark.createDataFrame([(None, "b", "x", 0), ("s", None, "x", 0), ("s", "b", None, 0), ("s", "b", "x", 0), ("s", "b", "y", 0)], BASKET))
