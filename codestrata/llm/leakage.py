@@ -1,10 +1,14 @@
 """Evaluation texts leaking into training text, found by spaced-seed hashing.
 
-Every window of words of a test item is hashed under a mask of few words, so that some window lies between the
-changed and added words of a passage. The same hashes of all windows of all documents are
-joined with them; the item side is broadcast in blocks of a bounded number of items. Around each hit the words
-are compared on the hit's diagonal and its neighbours, and what passes is aligned with substitutions, added and
-dropped words allowed, within a band. A document holds an item if an alignment covers MIN_WORDS successive words.
+Fixed masks over the words of a text ignore some places: what they leave is hashed, at every place of every test item
+and of every document. The hashes of both are joined. A hit carries the words around it on either side, so that
+the join's rows alone tell whether the passage is one: they are compared on the hit's diagonal and its neighbours,
+and what passes is aligned with substitutions, added and dropped words allowed, within a band. A document holds an
+item if an alignment covers MIN_WORDS successive words.
+
+The documents are read once, whatever the number of items. A Bloom filter of the items' hashes keeps back nearly all
+other windows before the shuffle; equal windows of documents, as copies and boilerplate have them, are joined and
+aligned once.
 """
 
 from __future__ import annotations
@@ -17,21 +21,24 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.session import table
+from codestrata.session import Scratch, table
 
 MIN_WORDS = 14
-# 1: the word counts, 0: it is ignored. Three words in a row stand in any MIN_WORDS words with up to three edits; a longer or a scattered mask would miss some of these or match any two sentences of one pattern.
-MASKS = ("111",)
+# 1: the word counts, 0: it is ignored. MIN_WORDS words with up to three words changed or added hold four equal words in a row, or three, a changed one and one more.
+MASKS = ("1111", "11101")
+SPAN = max(map(len, MASKS))
+AROUND = 24  # words before and behind a seed that its window holds
+LENGTH = AROUND + SPAN + AROUND
 BAND = 8  # added less dropped words that an alignment may gather
 EDITS = 3  # of which MIN_WORDS words may have so many; NEAR_WORDS agree then, at shifts of no more than EDITS
 NEAR_WORDS = MIN_WORDS - EDITS
-MISS, GAP = 3.0, 3.0
-ITEMS_PER_BLOCK = 5000
-HITS = 100_000  # looked at at once
-TABLE_BITS = 22
+MISS, GAP = 3, 3
+BITS_PER_SEED, PROBES = 24, 3
+MAX_FILTER_BITS = 1 << 31  # 256 MB; with more than some 90 M seeds of items more windows pass it, and none is lost
+PIECE = 2000  # texts or pairs of windows looked at at once
 
 _WORD = re.compile(r"[^\W_]+")
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|<!--.*?-->")
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->", re.S)
 _ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2})|([nrt])|(.))")
 _PREFIX = re.compile(
     r"^[ \t]*(?:(?:[>|*#+;%~\-]|//|/\*|--|\d{1,4}[.):|](?=\s)|[-*] \[[ x]\]|\[?\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d+)?\]?(?=\s)|\[?\d{4}-\d{2}-\d{2}[T ]?(?:\d{2}:\d{2}(?::\d{2})?(?:[.,]\d+)?Z?)?\]?(?=\s)|"
@@ -68,8 +75,7 @@ def openings(items: DataFrame) -> DataFrame:
     return first.join(shared, "first", "left").select("item_id", "text", F.when(F.col("is_shared"), F.regexp_extract("text", r"^\s*([^.!?:]*[.!?:])\s", 1)).alias("opening"))
 
 
-_R = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93,
-               0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
+_R = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
 def _hashes(tokens: list[str]) -> np.ndarray:
@@ -86,47 +92,110 @@ def _seeds(h: np.ndarray, mask: str) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def longest(a: list[int], b: list[int], shift: int) -> int:
-    """The most successive words of the item `a` that an alignment with `b` covers, about the diagonal `shift` (place in b less place in a).
+def _places(seeds, bits: int) -> list:
+    """Where in a filter of `bits` bits (a power of two) each seed stands; the same for columns and for arrays."""
+    shifts = range(0, 8 * PROBES, 8)
+    if isinstance(seeds, np.ndarray):
+        return [(seeds >> np.uint64(k)) & np.uint64(bits - 1) for k in shifts]
+    return [F.shiftrightunsigned(seeds, k).bitwiseAND(F.lit(bits - 1)) for k in shifts]
+
+
+def seed_filter(spark: SparkSession, seeds: DataFrame):
+    """A broadcast bitmap of the column `seed`, of a size that the seeds' number decides, up to MAX_FILTER_BITS."""
+    bits = 1 << 15
+    want = seeds.count() * BITS_PER_SEED
+    while bits < min(want, MAX_FILTER_BITS):
+        bits *= 2
+    at = seeds.select(F.explode(F.array(*_places(F.col("seed"), bits))).alias("at")).select((F.col("at") + 1).alias("at"))  # bitmaps count from 1
+    parts = at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap"))
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for bucket, bitmap in parts.toLocalIterator():  # 4 kB each, the filter in all
+        start = (bucket - 1) * 4096
+        out[start : start + 4096] = np.frombuffer(bytes(bitmap), dtype=np.uint8)
+    return spark.sparkContext.broadcast(out)
+
+
+def _windows(texts: list[list[str]], fill: int, bitmap: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the text, seed, and words around it, of each seed of the texts that the filter lets through; `fill` stands beyond a text's ends."""
+    sizes = np.array([len(w) for w in texts], dtype=np.int64)
+    h = _hashes([x for w in texts for x in w])
+    text = np.repeat(np.arange(len(texts)), sizes)
+    first, last = np.cumsum(sizes) - sizes, np.cumsum(sizes)
+    of, seeds, at = [], [], []
+    for mask in MASKS:
+        s = _seeds(h, mask)
+        p = np.arange(len(s))
+        ok = p + len(mask) <= last[text[p]] if len(p) else np.array([], dtype=bool)
+        if bitmap is not None and len(p):
+            for place in _places(s, 8 * len(bitmap)):
+                ok &= (bitmap[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        p = p[ok]
+        of.append(text[p])
+        seeds.append(s[p].view(np.int64))
+        at.append(p)
+    of, seeds, at = np.concatenate(of), np.concatenate(seeds), np.concatenate(at)
+    places = at[:, None] + np.arange(-AROUND, LENGTH - AROUND)
+    inside = (places >= first[of][:, None]) & (places < last[of][:, None])
+    names = (h & np.uint64(0x7FFFFFFF)).astype(np.int32)
+    around = np.where(inside, names[np.clip(places, 0, max(len(h) - 1, 0))], np.int32(fill)) if len(of) else np.zeros((0, LENGTH), dtype=np.int32)
+    return of, seeds, around
+
+
+def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether NEAR_WORDS of some MIN_WORDS words of the item's window agree with the document's, on the hit's own diagonal or the next ones."""
+    agree = a == b
+    for e in range(1, EDITS + 1):
+        agree[:, :-e] |= a[:, :-e] == b[:, e:]
+        agree[:, e:] |= a[:, e:] == b[:, :-e]
+    total = np.concatenate([np.zeros((len(a), 1), dtype=np.int16), agree.cumsum(axis=1, dtype=np.int16)], axis=1)
+    return (total[:, MIN_WORDS:] - total[:, :-MIN_WORDS]).max(axis=1) >= NEAR_WORDS
+
+
+def covered(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The most successive words of each item window (a row of `a`) that an alignment with the document window (of `b`) covers, about the diagonal.
 
     The best-scoring local alignment is taken; its ends are equal words, and a word changed or dropped within counts
     as covered. A word changed or added near an end costs such an alignment more than the words beyond it gain, so
     that the ends are then grown over one edit each, as long as there are two edits in all: with three, most sentences of one
-    pattern would pass.
+    pattern would pass. All rows are aligned side by side.
     """
-    best_score, best, ends = 0.0, 0, None
+    n, length = a.shape
     width = 2 * BAND + 1
-    above = [(0.0, 0, 0)] * (width + 2)  # (score, first item word, its place in b) by diagonal
-    for i, x in enumerate(a):
-        row = [(0.0, 0, 0)] * (width + 2)
-        for k in range(1, width + 1):
-            j = i + shift + k - 1 - BAND
-            if j < 0 or j >= len(b):
-                continue
-            s, start, place = above[k]
-            if b[j] == x:
-                if s <= 0:
-                    s, start, place = 0.0, i, j
-                s += 1
-                row[k] = (s, start, place)
-                if (s, i - start) > (best_score, best - 1):
-                    best_score, best, ends = s, i - start + 1, (start, place, i, j)
-                continue
-            s -= MISS
-            up, left = above[k + 1], row[k - 1]
-            if up[0] - GAP > s:
-                s, start, place = up[0] - GAP, up[1], up[2]
-            if left[0] - GAP > s:
-                s, start, place = left[0] - GAP, left[1], left[2]
-            if s > 0:
-                row[k] = (s, start, place)
-        above = row
-    if ends is None:
-        return 0
-    start, place, i, j = ends
-    grown = [_grown(a[:start][::-1], b[max(place - start - 1, 0) : place][::-1]), _grown(a[i + 1 :], b[j + 1 :])]
-    within = -(-int(best - best_score) // int(MISS + 1))  # edits of the alignment, at least
-    return best + sum(sorted(grown)[within:])
+    above = np.zeros((3, n, width + 2), dtype=np.int16)  # score, first item word and its place in b, by diagonal
+    best = np.zeros((5, n), dtype=np.int16)  # score, words, place of the first in b, last item word, its place in b
+    rows = np.arange(n)
+    for i in range(length):
+        lo, hi = max(0, BAND - i), min(width, length + BAND - i)
+        j = np.arange(i + lo - BAND, i + hi - BAND, dtype=np.int16)
+        equal = b[:, j] == a[:, i : i + 1]
+        score, start, place = (x[:, lo + 1 : hi + 1].copy() for x in above)
+        fresh = equal & (score <= 0)
+        start[fresh], place = i, np.where(fresh, j, place)
+        score = np.where(equal, score + 1, score - MISS).astype(np.int16)
+        up = above[0][:, lo + 2 : hi + 2] - GAP
+        take = ~equal & (up > score)
+        score, start, place = (np.where(take, y, x) for x, y in zip((score, start, place), (up, above[1][:, lo + 2 : hi + 2], above[2][:, lo + 2 : hi + 2]), strict=True))
+        for k in range(1, hi - lo):
+            left = score[:, k - 1] - GAP
+            take = ~equal[:, k] & (left > score[:, k])
+            if take.any():
+                score[take, k], start[take, k], place[take, k] = left[take], start[take, k - 1], place[take, k - 1]
+        np.maximum(score, 0, out=score)
+        above = np.zeros_like(above)
+        above[0][:, lo + 1 : hi + 1], above[1][:, lo + 1 : hi + 1], above[2][:, lo + 1 : hi + 1] = score, start, place
+        key = np.where(equal, score.astype(np.int32) * 1024 + (i - start), -1)
+        k = key.argmax(axis=1)
+        more = key[rows, k] > best[0].astype(np.int32) * 1024 + best[1] - 1
+        r, k = rows[more], k[more]
+        best[:, more] = np.stack([score[r, k], i - start[r, k] + 1, place[r, k], np.full(len(r), i), j[k]])
+    out = best[1].copy()
+    for r in np.flatnonzero((out > 0) & (out < MIN_WORDS)):
+        score, words_, place, i, j = map(int, best[:, r])
+        start = i - words_ + 1
+        grown = [_grown(a[r, :start][::-1].tolist(), b[r, max(place - start - 1, 0) : place][::-1].tolist()), _grown(a[r, i + 1 :].tolist(), b[r, j + 1 :].tolist())]
+        within = -(-(words_ - score) // (MISS + 1))  # edits of the alignment, at least
+        out[r] += sum(sorted(grown)[within:])
+    return out
 
 
 def _grown(a: list[int], b: list[int]) -> int:
@@ -140,92 +209,65 @@ def _grown(a: list[int], b: list[int]) -> int:
     return most
 
 
-class Items:
-    """A block of items with the sorted hashes of their windows."""
-
-    def __init__(self, rows: list[tuple[int, str, str | None]]):
-        self.ids, self.words, flat = [], [], []
-        for item, text, opening in rows:
-            w = words(text)
-            w = w[len(words(opening)) :] if opening else w
-            self.ids.append(item)
-            self.words.append(w)
-            flat += [*w, "\0"]
-        self.hashes = _hashes(flat)
-        starts = np.cumsum([0] + [len(w) + 1 for w in self.words])
-        self.starts = starts
-        of = np.repeat(np.arange(len(rows)), np.diff(starts))
-        self.owner = of
-        self.sorted = []
-        for mask in MASKS:
-            s = _seeds(self.hashes, mask)
-            at = np.arange(len(s))
-            ok = of[at] == of[at + len(mask) - 1] if len(at) else np.array([], dtype=bool)
-            if len(at):
-                ok &= at + len(mask) - 1 < starts[of[at] + 1] - 1
-            s, at = s[ok], at[ok]
-            order = np.argsort(s, kind="stable")
-            there = np.zeros(1 << TABLE_BITS, dtype=bool)
-            there[s & np.uint64((1 << TABLE_BITS) - 1)] = True
-            self.sorted.append((s[order], at[order], there))
-
-    def _near(self, h: np.ndarray, p: np.ndarray, q: np.ndarray, item: np.ndarray) -> np.ndarray:
-        """Whether NEAR_WORDS of some MIN_WORDS item words about each hit agree, on its own diagonal or the next ones."""
-        around = range(1 - MIN_WORDS, MIN_WORDS + len(MASKS[0]) - 1)
-        total = np.zeros((len(around) + 1, len(p)), dtype=np.int8)
-        for n, d in enumerate(around):
-            qq = q + d
-            inside = (qq >= self.starts[item]) & (qq < self.starts[item + 1] - 1)
-            word = self.hashes[np.clip(qq, 0, len(self.hashes) - 1)]
-            agree = np.zeros(len(p), dtype=bool)
-            for e in range(-EDITS, EDITS + 1):
-                agree |= h[np.clip(p + d + e, 0, len(h) - 1)] == word
-            total[n + 1] = total[n] + (agree & inside)
-        return (total[MIN_WORDS:] - total[:-MIN_WORDS]).max(axis=0) >= NEAR_WORDS
-
-    def probe(self, texts: list[str]) -> list[tuple[int, int]]:
-        """(number of the text, number of the item) of each leak."""
-        sizes, flat = [], []
-        for t in texts:
-            w = words(t)
-            flat += w
-            flat.append("\1")
-            sizes.append(len(w) + 1)
-        h = _hashes(flat)
-        ends = np.cumsum(sizes)
-        hits = []
-        for mask, (keys, at, there) in zip(MASKS, self.sorted, strict=True):
-            s = _seeds(h, mask)
-            place = np.flatnonzero(there[s & np.uint64((1 << TABLE_BITS) - 1)])  # most windows end here
-            s = s[place]
-            a, b = np.searchsorted(keys, s, "left"), np.searchsorted(keys, s, "right")
-            n = b - a
-            p = np.repeat(place, n)
-            if len(p):
-                q = at[np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)]
-                hits.append(np.stack([p, q]))
-        if not hits:
-            return []
-        p, q = np.concatenate(hits, axis=1)
-        text, item = np.searchsorted(ends, p, "right"), self.owner[q]
-        keep = np.concatenate([self._near(h, p[k : k + HITS], q[k : k + HITS], item[k : k + HITS]) for k in range(0, len(p), HITS)])
-        if not keep.any():
-            return []
-        p, q, text, item = p[keep], q[keep], text[keep], item[keep]
-        diagonal = p - q
-        todo = pd.DataFrame({"text": text, "item": item, "band": diagonal // (BAND // 2), "diagonal": diagonal}).drop_duplicates(["text", "item", "band"])
-        codes = h
-        found, done = [], set()
-        for t, i, _, d in todo.itertuples(index=False):
-            if (t, i) in done:
-                continue
-            lo, hi = int(self.starts[i]), int(self.starts[i + 1]) - 1
-            first, last = int(ends[t]) - sizes[t], int(ends[t]) - 1
-            x, y = max(first, lo + d - 2 * BAND), min(last, hi + d + 2 * BAND)
-            if longest(self.hashes[lo:hi].tolist(), codes[x:y].tolist(), lo + d - x) >= MIN_WORDS:
-                done.add((t, i))
-                found.append((t, i))
-        return found
+def same_passage(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether each pair of windows, of an item and of a document, holds MIN_WORDS successive words of the item."""
+    out = np.zeros(len(a), dtype=bool)
+    near = np.flatnonzero(_near(a, b)) if len(a) else []
+    if len(near):
+        equal = np.concatenate([np.zeros((len(near), 1), dtype=np.int16), (a[near] == b[near]).cumsum(axis=1, dtype=np.int16)], axis=1)
+        run = ((equal[:, MIN_WORDS:] - equal[:, :-MIN_WORDS]) == MIN_WORDS).any(axis=1)
+        out[near[run]] = True
+        rest = near[~run]
+        out[rest] = covered(a[rest], b[rest]) >= MIN_WORDS
+    return out
+
+
+_SHAPE = "seed long, around binary"
+
+
+def _packed(around: np.ndarray) -> pd.Series:
+    return pd.Series([x.tobytes() for x in around], dtype=object)
+
+
+def item_seeds(items: DataFrame) -> DataFrame:
+    """(item_id, seed, around) of every place of the items (item_id, text, opening) under every mask, the opening left out."""
+
+    def run(batches):
+        for pdf in batches:
+            texts = []
+            for text, opening in zip(pdf["text"], pdf["opening"], strict=True):
+                w = words(text)
+                texts.append(w[len(words(opening)) :] if opening else w)
+            of, seeds, around = _windows(texts, -1, None)
+            yield pd.DataFrame({"item_id": pdf["item_id"].to_numpy()[of], "seed": seeds, "around": _packed(around)})
+
+    return items.select("item_id", "text", "opening").mapInPandas(run, f"item_id long, {_SHAPE}")
+
+
+def document_seeds(docs: DataFrame, bitmap) -> DataFrame:
+    """(doc_id, seed, around) of the places of documents (doc_id, text) that the broadcast filter lets through."""
+
+    def run(batches):
+        for pdf in batches:
+            for k in range(0, len(pdf), PIECE):
+                part = pdf.iloc[k : k + PIECE]
+                of, seeds, around = _windows([words(t) for t in part["text"]], -2, bitmap.value)
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[of], "seed": seeds, "around": _packed(around)})
+
+    return docs.mapInPandas(run, f"doc_id long, {_SHAPE}")
+
+
+def _verified(hits: DataFrame) -> DataFrame:
+    """(window, item_id) of the joined hits (window, item_id, item_words, doc_words) whose words make a passage."""
+
+    def run(batches):
+        for pdf in batches:
+            for k in range(0, len(pdf), PIECE):
+                part = pdf.iloc[k : k + PIECE]
+                ok = same_passage(*(np.frombuffer(b"".join(part[c]), dtype=np.int32).reshape(-1, LENGTH) for c in ("item_words", "doc_words")))
+                yield part.loc[ok, ["window", "item_id"]]
+
+    return hits.select("window", "item_id", "item_words", "doc_words").mapInPandas(run, "window long, item_id long")
 
 
 def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -233,31 +275,18 @@ def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
 
     docs: doc_id, text; items: item_id, text; other columns are ignored. NULL and blank texts hold nothing; items
     of fewer words, or none beyond their opening, are never found. Repeated rows give one row, copies of a text
-    under other ids one each. Documents are taken whole; every document meets every block of items.
+    under other ids one each. Documents are taken whole and read once. A seed that very many windows and items share is one
+    key of the join; AQE splits it, and no group of hits is ever gathered.
     """
-    items = openings(items)
-    blocks = max(1, -(-items.count() // ITEMS_PER_BLOCK))
-    docs = docs.select("doc_id", "text").where(F.col("text").rlike(r"\S"))
-    out = None
-    for k in range(blocks):
-        rows = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id").collect()]
-        block = spark.sparkContext.broadcast(rows)
-        one = docs.mapInPandas(_prober(block), "doc_id long, item_id long")
-        out = one if out is None else out.unionByName(one)
-    return out.distinct()
-
-
-def _prober(block):
-    def run(batches):
-        items = Items(block.value)
-        for pdf in batches:
-            for at in range(0, len(pdf), 1000):
-                part = pdf.iloc[at : at + 1000]
-                ids = part["doc_id"].tolist()
-                found = items.probe(part["text"].tolist())
-                yield pd.DataFrame([(ids[t], items.ids[i]) for t, i in found], columns=["doc_id", "item_id"]).astype("int64")
-
-    return run
+    scratch = Scratch(spark, "leaks")
+    of_items = scratch.write(item_seeds(openings(items)), "items")
+    docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"\S"))
+    hits = document_seeds(docs, seed_filter(spark, of_items)).withColumn("window", F.xxhash64("seed", "around"))
+    hits = scratch.write(hits, "hits")
+    windows = hits.select("window", "seed", F.col("around").alias("doc_words")).dropDuplicates(["window"])
+    same = windows.join(of_items.withColumnRenamed("around", "item_words"), "seed")
+    found = _verified(same).distinct()
+    return hits.select("doc_id", "window").distinct().join(found, "window").select("doc_id", "item_id").distinct()
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ import pandas as pd
 import pytest
 
 from codestrata.llm.keywords import A, N, classify, model, page_shares
-from codestrata.llm.leakage import Items, leaks, longest, words
+from codestrata.llm import leakage
+from codestrata.llm.leakage import AROUND, BAND, GAP, LENGTH, MASKS, MISS, covered, leaks, words
 from codestrata.llm.packing import TOKENIZER, Packer, encoder, pack
 
 R = random.Random(5)
@@ -45,26 +46,86 @@ def test_exact_runs_equal_brute_force(spark):
     assert got == want
 
 
-def test_noise():
+def found(spark, item, docs):
+    """The numbers of the documents that hold the one item."""
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    return sorted(r.doc_id for r in leaks(spark, d, spark.createDataFrame([(7, item)], "item_id long, text string")).collect())
+
+
+def test_noise(spark):
     w = text(40).split()
-    item = Items([(7, " ".join(w), None)])
     changed = w[:10] + ["zzz"] + w[11:20] + ["added"] + w[20:28] + w[29:]
-    assert item.probe([" ".join(changed).upper(), "# " + "\n> ".join(w[5:25]), "<b>" + "</b> &nbsp;<b>".join(w[:16]) + "</b>", " ".join(w[:13]), "\\u00a0".join(w[:15])]) == [(0, 0), (1, 0), (2, 0), (4, 0)]
-    assert longest([1, 2, 3], [], 0) == 0 and longest([], [1], 0) == 0
-    assert Items([]).probe(["a b c d e f g h"]) == [] and item.probe([]) == [] and item.probe(["", "a"]) == []
+    long_tag = f'<span class="{"x" * 900}">'
+    docs = [" ".join(changed).upper(), "# " + "\n> ".join(w[5:25]), "<b>" + "</b> &nbsp;<b>".join(w[:16]) + "</b>", " ".join(w[:13]), "\\u00a0".join(w[:15]), f" {long_tag} ".join(w[:20]), "", "a"]
+    assert found(spark, " ".join(w), docs) == [0, 1, 2, 4, 5]
 
 
-def test_edits_at_any_place_of_a_passage():
+def test_edits_at_any_place_of_a_passage(spark):
     w = [f"w{i}" for i in range(40)]
-    item = Items([(7, " ".join(w), None)])
     inner = range(1, 13)
     changed = [w[10 : 10 + k] + ["zzz"] + w[11 + k : 24] for k in inner]
     added = [w[10 : 10 + k] + ["zzz"] + w[10 + k : 24] for k in inner]
     both = [w[10:12] + ["zzz"] + w[13:22] + ["yyy"] + w[23:24], w[10:15] + ["zzz"] + w[15:20] + ["yyy"] + w[20:24], [x for k in range(0, 30, 5) for x in [*w[k : k + 5], "zzz"]]]
-    leaks = [" ".join(["aa", "bb", *x, "cc", "dd"]) for x in changed + added + both]
-    assert sorted(item.probe(leaks)) == [(k, 0) for k in range(len(leaks))]
+    docs = [" ".join(["aa", "bb", *x, "cc", "dd"]) for x in changed + added + both]
+    assert found(spark, " ".join(w), docs) == list(range(len(docs)))
     short = [w[10:12] + ["zzz"] + w[13:23], w[10:15] + ["zzz"] + w[15:20] + ["yyy"] + w[20:23], [x for k in range(0, 39, 4) for x in [*w[k : k + 2], "zzz", "yyy"]]]
-    assert item.probe([" ".join(["aa", "bb", *x, "cc", "dd"]) for x in short]) == []
+    assert found(spark, " ".join(w), [" ".join(["aa", "bb", *x, "cc", "dd"]) for x in short]) == []
+
+
+def test_masks_meet_any_three_edits():
+    """Fourteen words with three of them changed, or with words added between them, always hold a seed."""
+    from itertools import combinations, combinations_with_replacement
+
+    def seeded(doc):
+        return any(all(doc[i + k] == doc[i] + k for k, c in enumerate(m) if c == "1") for m in MASKS for i in range(len(doc) - len(m) + 1) if doc[i] >= 0)
+
+    for places in combinations(range(14), 3):
+        assert seeded([-9 if k in places else k for k in range(14)])
+    for places in combinations_with_replacement(range(1, 14), 3):
+        doc = []
+        for k in range(14):
+            doc += [-9] * places.count(k) + [k]
+        assert seeded(doc)
+
+
+def scalar_covered(a, b):
+    """One alignment, cell by cell."""
+    best, ends = (0, 0), None
+    above = {}
+    for i, x in enumerate(a):
+        row = {}
+        for j in range(max(0, i - BAND), min(len(b), i + BAND + 1)):
+            s, start, place = above.get(j - 1, (0, 0, 0))
+            if b[j] == x:
+                s, start, place = (s + 1, start, place) if s > 0 else (1, i, j)
+                if (s, i - start) > (best[0], best[1] - 1):
+                    best, ends = (s, i - start + 1), (start, place, i, j)
+            else:
+                s -= MISS
+                for other in (above.get(j), row.get(j - 1)):
+                    if other and other[0] - GAP > s:
+                        s, start, place = other[0] - GAP, *other[1:]
+            row[j] = (max(s, 0), start, place)
+        above = row
+    if not ends or best[1] >= 14:
+        return best[1]
+    start, place, i, j = ends
+    grown = [leakage._grown(a[:start][::-1], b[max(place - start - 1, 0) : place][::-1]), leakage._grown(a[i + 1 :], b[j + 1 :])]
+    return best[1] + sum(sorted(grown)[-(-(best[1] - best[0]) // (MISS + 1)) :])
+
+
+def test_alignments_side_by_side_equal_one_by_one():
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 400, (150, LENGTH)).astype(np.int32)
+    b = rng.integers(500, 900, (150, LENGTH)).astype(np.int32)
+    for k in range(150):
+        doc = list(a[k, AROUND - rng.integers(3, 20) : AROUND + rng.integers(3, 20)])
+        for _ in range(k % 4):
+            at = int(rng.integers(1, len(doc)))
+            doc[at : at + int(rng.integers(0, 2))] = [999]
+        shift = int(rng.integers(0, LENGTH - len(doc)))
+        b[k, shift : shift + len(doc)] = doc
+    assert covered(a, b).tolist() == [scalar_covered(x.tolist(), y.tolist()) for x, y in zip(a, b, strict=True)]
 
 
 def test_no_items(spark):
