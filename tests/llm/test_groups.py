@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from codestrata.llm.components import components, symbol_links
@@ -149,3 +150,31 @@ def test_no_score_decides(spark):
     df = spark.createDataFrame(rows, "g string, item string, a double, b double, c double")
     got = sorted(closeness(df, "g", "item", {"a": 1, "b": 1, "c": 1}).collect(), key=lambda r: -r.closeness)
     assert {got[0].item, got[1].item} == {"18", "19"}  # equal once winsorised
+
+
+def brute_closeness(groups, scores, weights=None):
+    """Vector normalisation and weighted distances, by arrays; values are not winsorised."""
+    norm = {g: {c: np.array(v[c]) / np.linalg.norm(v[c]) for c in scores} for g, v in groups.items()}
+    size = {g: len(next(iter(v.values()))) for g, v in groups.items()}
+    weights = weights or {c: 1 / np.mean([norm[g][c].std() * np.sqrt(size[g]) for g in groups]) for c in scores}
+    out = {}
+    for g, v in norm.items():
+        best = {c: v[c].max() if d > 0 else v[c].min() for c, d in scores.items()}
+        worst = {c: v[c].min() if d > 0 else v[c].max() for c, d in scores.items()}
+        to = [np.sqrt(sum((weights[c] * (v[c] - p[c])) ** 2 for c in scores)) for p in (best, worst)]
+        out[g] = to[1] / (to[0] + to[1])
+    return out
+
+
+def test_vector_normalisation_and_weights(spark):
+    # With few items the winsorising quantiles are the extremes.
+    groups = {"p": {"a": [1.0, 2.0, 4.0, 8.0, 9.0], "b": [7.0, 7.5, 6.5, 7.2, 7.1]}, "q": {"a": [100.0, 101.0, 99.0, 103.0], "b": [1.0, 9.0, 2.0, 5.0]}}
+    df = spark.createDataFrame([(g, f"{k}", v["a"][k], v["b"][k]) for g, v in groups.items() for k in range(len(v["a"]))], "g string, item string, a double, b double")
+    scores = {"a": 1, "b": -1}
+    for weights in (None, {"a": 1.0, "b": 1.0}):
+        want = brute_closeness(groups, scores, weights)
+        got = {(r.g, r.item): r.closeness for r in closeness(df, "g", "item", scores, weights).collect()}
+        assert len(got) == 9 and all(abs(got[g, f"{k}"] - x) < 1e-8 for g, v in want.items() for k, x in enumerate(v))
+    # The weights do not undo the normalisation: a group's own spreads still count.
+    spreads = {g: np.std(np.array(v["a"]) / np.linalg.norm(v["a"])) * np.sqrt(len(v["a"])) for g, v in groups.items()}
+    assert spreads["p"] > 10 * spreads["q"]
