@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 from codestrata.session import Scratch, table
 
 MIN_WORDS = 14
-# 1: the word counts, 0: it is ignored. MIN_WORDS words with up to three words changed or added hold four equal words in a row, or three, a changed one and one more.
-MASKS = ("1111", "11101")
+# 1: the word counts, 0: it is ignored. MIN_WORDS words with up to two words changed or added hold five equal words in a row, or four, a changed one and one more.
+MASKS = ("11111", "111101")
 SPAN = max(map(len, MASKS))
-AROUND = 24  # words before and behind a seed that its window holds
+AROUND = 20  # words before and behind a seed that its window holds
 LENGTH = AROUND + SPAN + AROUND
 BAND = 8  # added less dropped words that an alignment may gather
 EDITS = 3  # of which MIN_WORDS words may have so many; NEAR_WORDS agree then, at shifts of no more than EDITS
