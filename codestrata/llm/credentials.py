@@ -1,10 +1,11 @@
 """Credentials embedded in source and configuration texts: found, and hidden in place.
 
-Candidates are quoted strings, values of assignments and long tokens. A literal split by concatenation counts as
-one, at the line it starts on. Well-known forms (access key ids, key blocks, tokens with an issuer's prefix) are
-told by their shape; everything else must stand in a context that speaks of a secret. Either way its Shannon
-entropy must lie above a threshold for its alphabet and length, and it must not be a placeholder, a reference to
-a secret kept elsewhere, a public key, a hash under a hash's name or an id.
+Candidates are all quoted strings, values of assignments and long tokens, wherever they stand. A literal split by
+concatenation counts as one, at the line it starts on. Its Shannon entropy must lie above a threshold for its
+alphabet and length; a context that speaks of a secret lowers that threshold, and the length asked for, and does
+nothing else. Excluded are placeholders, references to a secret kept elsewhere, public keys, hashes, ids and runs of
+encoded data. Well-known forms (access key ids, key blocks, tokens with an issuer's prefix) are told by their
+shape, which names their kind.
 """
 
 from __future__ import annotations
@@ -31,17 +32,17 @@ _DECO = r"(?:\\+[nr]|[\s\"'+\;#*/-])*?"
 _HEAD = _DECO + rf"(?:[A-Za-z][A-Za-z-]*:(?:[ \t](?:(?!\\n)[^\n])*)?\r?(?:\\n|\n){_DECO})*"
 _KNOWN = re.compile(
     r"(?<![A-Za-z0-9])(?P<a>(?:AKIA|ASIA)[A-Z0-9]{16})(?![A-Za-z0-9])"
-    r"|(?<![A-Za-z0-9])(?P<g>gh[pousr]_[A-Za-z0-9]{30,255}|github_pat_[A-Za-z0-9_]{30,255})(?![A-Za-z0-9])"
-    r"|(?<![A-Za-z0-9])(?P<s>xox[abeoprs]-[A-Za-z0-9-]{16,255})(?![A-Za-z0-9])"
+    r"|(?<![A-Za-z0-9])(?P<g>gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,})(?![A-Za-z0-9])"
+    r"|(?<![A-Za-z0-9])(?P<s>xox[abeoprs]-[A-Za-z0-9-]{16,})(?![A-Za-z0-9])"
     rf"|(?P<p>-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----{_HEAD}(?=[A-Za-z0-9+/]{{16}}))"
 )
 _KEY_EDGE = re.compile(r"-----(?:END (?:[A-Z0-9]+ )*(?P<end>PRIVATE KEY(?: BLOCK)?-----)|END|BEGIN)")
 _BLANK = re.compile(r"\n[ \t\r]*\n")
 _KIND = {"a": KINDS[0], "p": KINDS[1], "g": KINDS[2], "s": KINDS[3]}
 
-# A line that names a secret. Each word stands alone between case changes, digits or signs.
+# What names a secret, in English and by the usual words of the corpus's other languages. Each word stands alone between case changes, digits or signs.
 _B, _E = r"(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))", r"(?:(?![A-Za-z])|(?<=[a-z])(?=[A-Z]))"
-_WORD = r"(?:[Pp]assword|PASSWORD|[Pp]asswd|PASSWD|[Pp]assphrase|PASSPHRASE|[Pp]ass|PASS|[Pp]wd|PWD|[Pp]w|PW|[Ss]ecrets?|SECRETS?|[Tt]oken|TOKEN|[Cc]redentials?|CREDENTIALS?|[Bb]earer|BEARER|(?:[Aa]pi|API|[Aa]ccess|ACCESS|[Pp]rivate|PRIVATE|[Ss]igning|SIGNING|[Ee]ncryption|ENCRYPTION|[Ss]ervice|SERVICE|[Aa]uth|AUTH|[Mm]aster|MASTER)[_\-. ]?(?:[Kk]ey|KEY)|[Aa]uth|AUTH|[Aa]uthorization|AUTHORIZATION)"
+_WORD = r"(?:[Pp]assword|PASSWORD|[Pp]asswd|PASSWD|[Pp]assphrase|PASSPHRASE|[Pp]ass|PASS|[Pp]wd|PWD|[Pp]w|PW|[Ss]ecrets?|SECRETS?|[Tt]oken|TOKEN|[Cc]redentials?|CREDENTIALS?|[Bb]earer|BEARER|(?:[Aa]pi|API|[Aa]ccess|ACCESS|[Pp]rivate|PRIVATE|[Ss]igning|SIGNING|[Ee]ncryption|ENCRYPTION|[Ss]ervice|SERVICE|[Aa]uth|AUTH|[Mm]aster|MASTER)[_\-. ]?(?:[Kk]ey|KEY)|[Aa]uth|AUTH|[Aa]uthorization|AUTHORIZATION|[Cc]ontrase[ñn]a|CONTRASE[ÑN]A|[Pp]asswort|PASSWORT|[Kk]ennwort|KENNWORT|[Mm]ot_?[Dd]e_?[Pp]asse|MOT_?DE_?PASSE|[Ss]ecreto|[Gg]eheimnis)"
 _SECRET = re.compile(_B + _WORD + _E)
 _LOGIN = re.compile(r"(?i)(?:open_?session|log_?in|sign_?in|authenticate|connect|basic_?auth)\w*\s*\(|\bidentified\s+by\b|\b(?:curl|psql|mysql)\b.*\s-(?:u|p)")
 # Names of settings about secrets, or of where they are kept.
@@ -51,7 +52,7 @@ _HASHED = re.compile(r"(?i)(?:^|[_\-.]|(?<=[a-z]))(?:e_?tag|checksum|revision|co
 _PUBLIC = re.compile(r"(?i)public")
 
 _QUOTED = re.compile(r"""(?P<q>["'`])(?P<v>(?:(?!(?P=q))[^\\\n]|\\.)*)(?P=q)""")
-_NAMED = re.compile(r"""(?P<n>[A-Za-z_][\w.\-]*)["'`\]]*\s*(?::\s*[&\w<>\[\]*' ]+?=|=>|:=|=|:)\s*(?P<b>[^\s"'`,;(){}<>\[\]#]{6,}|(?=["'`]))""")
+_NAMED = re.compile(r"""(?P<n>[^\W\d][\w.\-]*)["'`\]]*\s*(?::\s*[&\w<>\[\]*' ]+?=|=>|:=|=|:)\s*(?P<b>[^\s"'`,;(){}<>\[\]#]{6,}|(?=["'`]))""")
 _URL = re.compile(r"[A-Za-z][\w+.\-]*://(?P<u>[^\s:/@\"'`<>{}$]*):(?P<v>[^\s@\"'`<>]+)@[\w.\-]+")
 _PARAM = re.compile(r"(?i)[?&](?:access_|auth_|api_|refresh_)?(?:token|key|apikey|secret|password|passwd|pwd|sig)=(?P<v>[^\s&\"'`<>#]{8,})")
 _BEARER = re.compile(r"\b(?:Bearer|Basic|Token|bearer|basic)\s+(?P<v>[A-Za-z0-9+/_=.\-~!#%]{12,})")
@@ -122,6 +123,45 @@ def looks_secret(s: str) -> bool:
     return any(c.isalpha() for c in s) and entropy(s) >= _threshold(s)
 
 
+# Strings and tokens long enough to be told by their entropy alone.
+LONG = 20
+_LONG = re.compile(r"""(?<![\w+/.~%-])[A-Za-z0-9+/_.~%-]{20,}={0,2}(?![\w+/=.~%-])""")
+# Names of what is random but no secret.
+_ID = re.compile(r"(?i)(?:^|[_\-.]|(?<=[a-z]))(?:ids?|uid|nonce|salt|iv|cursor|ref|slug|build|version|sri|fixture|snapshot|data|payload|blob|image|icon|font|cert(?:ificate)?|pem|signature|sig|table|chunk|sample)(?:[_\-]?\d+)?$")
+# Names of several words, which change between cases as often as keys do.
+_WORDY = re.compile(r"[A-Z]?[a-z]{2,}")
+# Literals and signs only, as lists of data have them.
+_BARE_LINE = re.compile(r"""^[\s\[({,]*["'`]?[A-Za-z0-9+/_=.~%-]+["'`]?[\s\])},;+\\]*$""")
+
+
+def stands_out(s: str) -> bool:
+    """Whether a string is told a secret by its entropy alone: a part of it is random for its alphabet and length."""
+    if len(s) < LONG or _PLACEHOLDER.search(s) or _ELSEWHERE.search(s) or _UUID.match(s) or _HEX.match(s.strip("=")) or _NAME.match(s):
+        return False
+    if _CODE.match(s) and s.lower() != s and 5 * sum(len(x) for x in _WORDY.findall(s) if len(x) > 2) >= 3 * len(s):
+        return False
+    parts = [x for x in re.split(r"[./~%]", s) if x]
+    if len(parts) > 3 and "/" in s and not any(len(x) >= LONG and _random_part(x) for x in parts):
+        return False
+    return any(len(x) >= MIXED_PART[0] and _random_part(x) for x in parts) and entropy(s) >= _threshold(s)
+
+
+def _by_entropy(line: str) -> list[tuple[int, int]]:
+    """Spans of the line that stand out by their entropy and are not called a hash, an id or data."""
+    found = [m.span() for m in _LONG.finditer(line) if line[m.end() : m.end() + 1] != "(" and stands_out(m[0].rstrip("=."))]
+    if len(found) > 2:  # a list of such strings is data
+        return []
+    out = []
+    for a, b in found:
+        before = line[:a]
+        name = re.search(r"""([^\W\d][\w.\-]*)["'`\]]*\s*(?:=>|:=|[=:(,])[\s"'`(\[{]*(?:\w+\()?["'`]?$""", before)
+        called = name[1] if name else ""
+        if _HASHED.search(called) or _PUBLIC.search(before) or _ID.search(called) or (_ABOUT.search(called) and not _SECRET.search(called)) or re.search(r"(?:data:[\w/+.-]+;base64,|sha\d+-|\$\d\w?\$)$", before):
+            continue
+        out.append((a, b))
+    return out
+
+
 def _known(text: str) -> Iterator[tuple[int, int, str]]:
     """Start, end and group of each literal of a well-known form.
 
@@ -148,30 +188,19 @@ def _known_is_real(kind: str, s: str) -> bool:
     return not _PLACEHOLDER.search(s) and not re.search("EXAMPLE|SAMPLE|TEST", s) and entropy(body) >= 0.6 * math.log2(min(len(body), 36))
 
 
-# Words of which a line must hold one to be looked at, in lower case.
-_HINTS = ("pass", "pwd", "pw", "secret", "token", "credential", "bearer", "auth", "key", "session", "login", "log_in", "signin", "sign_in", "connect", "identified", "://", " -u ")
 _KNOWN_HINTS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "xox", "PRIVATE KEY")
-_LITERAL = re.compile(r"""["'`][^"'`\s]{8}|[:=][ \t]*[^\s"'`(){};]{8}|://|\s-u\s|(?:Bearer|Basic|Token|bearer|basic)\s+\S{12}""")
+_LITERAL = re.compile(r"""["'`][^"'`\s]{8}|[:=][ \t]*[^\s"'`(){};]{8}|://|\s-u\s|(?:Bearer|Basic|Token|bearer|basic)\s+\S{12}|[A-Za-z0-9+/_=.~%-]{20}""")
 
 
 def _lines_to_see(text: str) -> list[tuple[int, int]]:
-    """Start and end of each line that holds a hint and a literal, in order."""
-    low = text.lower()
-    if len(low) != len(text):
-        low = text.translate({c: c + 32 for c in range(65, 91)})
-    starts: set[int] = set()
-    for w in _HINTS:
-        at = low.find(w)
-        while at >= 0:
-            starts.add(low.rfind("\n", 0, at) + 1)
-            end = low.find("\n", at)
-            at = low.find(w, end) if end >= 0 else -1
-    out = []
-    for a in sorted(starts):
-        b = text.find("\n", a)
+    """Start and end of each line that holds a candidate, in order."""
+    out, at = [], 0
+    while m := _LITERAL.search(text, at):
+        a = text.rfind("\n", 0, m.start()) + 1
+        b = text.find("\n", m.start() + 1)
         b = b if b >= 0 else len(text)
-        if _LITERAL.search(text, a, b):
-            out.append((a, b))
+        out.append((a, b))
+        at = b
     return out
 
 
@@ -192,13 +221,25 @@ def _joined(text: str) -> tuple[str, list[int], list[int]]:
     return "".join(out), at_new, at_old
 
 
-def _in_line(line: str) -> list[tuple[int, int]]:
+def _in_run(text: str, a: int, b: int) -> bool:
+    """Whether the line holds a literal only, as encoded data are laid out: one of several such lines, or one without a key's dots."""
+    if not _BARE_LINE.match(text[a:b]):
+        return False
+    if text.count(".", a, b) < 2:
+        return True
+    before, after = text[text.rfind("\n", 0, max(a - 1, 0)) + 1 : max(a - 1, 0)], text[b + 1 : (text.find("\n", b + 1) + 1 or len(text) + 1) - 1]
+    return any(len(x.strip()) >= MIN_LENGTH and _BARE_LINE.match(x) for x in (before, after))
+
+
+def _in_line(line: str, in_run: bool = False) -> list[tuple[int, int]]:
     """Spans of the line that hold a secret of no well-known form."""
     found = []
     for p in (_URL, _PARAM, _BEARER, _FLAG, _USERPW):
         for m in p.finditer(line):
             if looks_secret(m["v"]):
                 found.append(m.span("v"))
+    if not in_run:
+        found += _by_entropy(line)
     login, secret = _LOGIN.search(line), _SECRET.search(line)
     if not (login or secret):
         return found
@@ -259,7 +300,7 @@ def find_credentials(text: str | None) -> list[tuple[int, str, list[tuple[int, i
     for a, b in _lines_to_see(masked):
         line = masked[a:b]
         taken: list[tuple[int, int]] = []
-        for x, y in sorted(set(_in_line(line))):
+        for x, y in sorted(set(_in_line(line, _in_run(masked, a, b)))):
             if not any(x < q and p < y for p, q in taken):
                 taken.append((x, y))
                 hits.append((a + x, a + y, KINDS[4]))
@@ -272,12 +313,12 @@ def find_credentials(text: str | None) -> list[tuple[int, str, list[tuple[int, i
     return out
 
 
-def redact(text: str | None) -> str | None:
-    """The text with every credential's characters as `*`; line breaks, escapes and all else stay, as does the length."""
+def redact(text: str | None, found: list | None = None) -> str | None:
+    """The text with every credential's characters as `*`; line breaks, escapes and all else stay, as does the length. found: what `find_credentials` says of it, if known."""
     if text is None:
         return None
     chars = None
-    for _, _, spans in find_credentials(text):
+    for _, _, spans in find_credentials(text) if found is None else found:
         chars = chars or list(text)
         for a, b in spans:
             for m in re.finditer(r"\\[nr]|[\s\"'`+\\]+|(.)", text[a:b]):
@@ -306,8 +347,8 @@ def redacted(texts: DataFrame) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            counts = [len(find_credentials(t)) for t in pdf["text"]]
-            rows = [(f, redact(t), n) for f, t, n in zip(pdf["file"], pdf["text"], counts, strict=True) if n]
+            found = map(find_credentials, pdf["text"])
+            rows = [(f, redact(t, x), len(x)) for f, t, x in zip(pdf["file"], pdf["text"], found, strict=True) if x]
             yield pd.DataFrame(rows, columns=["file", "text", "hidden"])
 
     return texts.select("file", "text").mapInPandas(run, "file string, text string, hidden int")

@@ -116,6 +116,38 @@ def test_long_and_dotted_keys(text):
     assert JWT not in redact(text) and LONG not in redact(text) and redact(text) != text
 
 
+RANDOM = "q7ZkW3mXv9TgB2nYd5LcR8sHj4PfE6aU"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        f'Stripe("sk_live_{RANDOM}")', f'stripe.setKey("sk_live_{RANDOM}");', f'maps("AIza{RANDOM}")', JWT, f'x = "{JWT}"', 'contraseña = "k9!vTz4Lw2Qp"', 'Passwort: "Fuchs!Wald-7712"', f"curl -u someone:'{RANDOM}' https://a.invalid",
+        f'api_key = "{base64.b64encode(bytes.fromhex("".join(KEY_LINES[:7])))[:300].decode()}"',
+    ],
+)
+def test_told_by_entropy_without_a_word_for_it(text):
+    assert [(n, k) for n, k, _ in find_credentials("a\n" + text + "\nb")] == [(2, "suspicious-assignment")]
+    assert not find_credentials(redact("a\n" + text + "\nb"))
+
+
+def test_tokens_of_any_length_are_hidden_whole():
+    body = "".join(c for c in LONG if c.isalnum()) * 3
+    for text, kind in ((f"ghp_{body}", "github-token"), (f"xoxb-{body}", "slack-token")):
+        assert [k for _, k, _ in find_credentials(text)] == [kind] and set(redact(text)) == {"*"}
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        f'h = "{KEY_LINES[0]}"', f'integrity: "sha512-{LONG}"', f'img = "data:image/png;base64,{LONG}"', 'getUserById2FromCacheWithV2Fallback("x")', 'path = "src/main/java/com/acme/util/StringUtils2.java"', f'"{LONG[:60]}",\n"{LONG[60:120]}",\n"{LONG[120:180]}",',
+        f'a = ["{LONG[:40]}", "{LONG[40:80]}", "{LONG[80:120]}"]', f'request_id = "{RANDOM}"', f'commit = "{RANDOM}"', f'public_key = "{LONG}"',
+    ],
+)
+def test_random_but_no_secret(text):
+    assert find_credentials(text) == []
+
+
 @pytest.mark.parametrize("value", ["db-prod-eu1-replica02.internal.net", "mydb.c9akciq32xyz.us-east-1.rds.amazonaws.com:5432", "config.OAuth2ClientSecretV2.value", "web-7d9f8c6b5x.default.svc.cluster.local", "app.settings.SecretsManagerTokenProvider2"])
 def test_hosts_and_members_are_no_keys(value):
     assert find_credentials(f'token = "{value}"\nsecret: {value}\n') == []
