@@ -4,17 +4,19 @@ Each text becomes a token sequence (identifiers, numbers and strings by class; k
 they are), and a Re-Pair grammar is inferred for it: digrams that repeat are replaced by rules until none
 repeats, all locally most frequent digrams of a round at once. A grammar far smaller than its text, for the
 text's length, means that a few rules are used over and over, as in generated tables and accessors. Literals that
-make up most of a text yet hardly compress are data. A text without line ends among its tokens is minified.
+make up most of a text, and whose compressed size comes close to what their alphabet allows, are data. A text without line ends among its tokens is minified.
 
 Copies of outside libraries are found by rules shared across repositories. Re-Pair's rules depend on the whole
 text, so that a notice put before a copy could change them all; for this purpose rules are formed at places that
 the tokens themselves choose (hash minima), level by level, and are named by a hash of what they expand to.
-A notice at the head of the file that names the tool or the library decides where the grammar is silent.
+A notice at the head of the file that names the tool or the library, or the library's directory, decides only where the grammar is silent.
 """
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -35,7 +37,7 @@ MIN_TOKENS = 60
 # A grammar this small against its text, falling with the text's length as grammars of written code do.
 REUSE_AT, REUSE_LENGTH, REUSE_POWER = 0.29, 200, -0.22
 NAMED_REUSE = 1.25  # the same, by this factor, where the file's name says generated
-LITERAL_SHARE, LITERAL_CHARS, LITERAL_RATIO = 0.6, 300, 0.5
+LITERAL_SHARE, LITERAL_CHARS, LITERAL_DENSITY = 0.6, 300, 0.75
 DATA_WORDS, DATA_WORD_SHARE = 12, 0.2  # a data file has no more words outside its literals than one of these
 LAYOUT_SHARE, LINE_CHARS = 0.012, 250
 RULE_LEVELS, RULE_TOKENS = 3, 8
@@ -222,31 +224,41 @@ def measure(repos: list[str], texts: list[str]) -> pd.DataFrame:
         text_chars = np.bincount(doc, weights=shape, minlength=n)
         lit_chars = np.bincount(doc, weights=shape * literal, minlength=n)
         lines = np.bincount(doc, weights=line, minlength=n)
-        # Distinct literals against all: a data file's hardly repeat.
-        pairs = np.unique(doc[literal] * (len(words) + 1) + ids[literal]) // (len(words) + 1)
-        distinct = np.bincount(pairs.astype(np.int64), weights=None, minlength=n)
-        lits = np.bincount(doc[literal], minlength=n)
+        dense = np.zeros(n)
+        edges = np.searchsorted(doc, np.arange(n + 1))
+        for t in np.flatnonzero((lit_chars >= LITERAL_CHARS) & (lit_chars >= LITERAL_SHARE * text_chars)):
+            own = ids[edges[t] : edges[t + 1]][literal[edges[t] : edges[t + 1]]]
+            dense[t] = density([words[k] for k in own])
         words_in = np.bincount(doc[~literal & ((kind[ids] == len(words) + 2) | np.array([w[0].isalpha() for w in words])[ids])], minlength=n)
         solid = ~line
         own, odoc = names[ids[solid]], doc[solid]
         found = shared_rules(own, odoc, n)
     else:
-        left = rules = lits = distinct = words_in = np.zeros(n, dtype=np.int64)
-        text_chars = lit_chars = lines = np.zeros(n)
+        left = rules = words_in = np.zeros(n, dtype=np.int64)
+        text_chars = lit_chars = lines = dense = np.zeros(n)
         found = [np.array([], dtype=np.int64)] * n
     said = [notice(r or "", t) for r, t in zip(repos, texts, strict=True)]
     longest = np.array([len(t) / (t.count("\n") + 1) for t in texts])
     return pd.DataFrame(
         {
             "tokens": size, "words": words_in, "grammar": left + 2 * rules, "literal_share": lit_chars / np.maximum(text_chars, 1), "literal_chars": lit_chars.astype(np.int64),
-            "literal_ratio": distinct / np.maximum(lits, 1), "layout_share": lines / np.maximum(size, 1), "line_chars": longest,
+            "literal_density": dense, "layout_share": lines / np.maximum(size, 1), "line_chars": longest,
             "says_generated": [a for a, _ in said], "says_foreign": [b for _, b in said], "rules": [list(map(int, x)) for x in found],
         }
     )
 
 
+def density(literals: list[str]) -> float:
+    """Compressed bits a character of the literals, against those that their alphabet could hold; 0 without literals."""
+    joined = "".join(x.strip("\"'`") for x in literals)
+    alphabet = len(set(joined))
+    if alphabet < 2:
+        return 0.0
+    return 8 * len(zlib.compress(joined.encode("utf-8", "surrogatepass"), 6)) / len(joined) / math.log2(alphabet)
+
+
 MEASURES = (
-    "tokens long, words long, grammar long, literal_share double, literal_chars long, literal_ratio double, layout_share double, line_chars double, "
+    "tokens long, words long, grammar long, literal_share double, literal_chars long, literal_density double, layout_share double, line_chars double, "
     "says_generated boolean, says_foreign boolean, rules array<long>"
 )
 
@@ -268,7 +280,7 @@ def measures(texts: DataFrame) -> DataFrame:
 
 
 def verdicts(spark: SparkSession, texts: DataFrame) -> DataFrame:
-    """(file, repo, generated, minified, vendored, data): what each text (file, repo, text) is, by the grammar and the file's name.
+    """(file, repo, generated, minified, vendored, data, signals): what each text (file, repo, text) is, and what tells it.
 
     NULL texts are left out; empty texts and those of fewer than MIN_TOKENS tokens are judged by their notice and
     literals only. Repeated rows give repeated rows. A rule counts as shared once two repos hold it; rows of a
@@ -286,16 +298,17 @@ def verdicts(spark: SparkSession, texts: DataFrame) -> DataFrame:
     named = name.rlike(_GENERATED_NAME.pattern)
     reuse = F.col("grammar") / size
     library = F.regexp_extract("file", _LIBRARY_PATH.pattern, 1)
-    blob = (F.col("literal_share") >= LITERAL_SHARE) & (F.col("literal_chars") >= LITERAL_CHARS) & (F.col("literal_ratio") >= LITERAL_RATIO) & (F.col("words") <= F.greatest(F.lit(DATA_WORDS), size * DATA_WORD_SHARE))
+    blob = (F.col("literal_share") >= LITERAL_SHARE) & (F.col("literal_chars") >= LITERAL_CHARS) & (F.col("literal_density") >= LITERAL_DENSITY) & (F.col("words") <= F.greatest(F.lit(DATA_WORDS), size * DATA_WORD_SHARE))
+    signals = {
+        "grammar": (F.col("tokens") >= MIN_TOKENS) & (reuse < F.when(named, limit * NAMED_REUSE).otherwise(limit)), "layout": (F.col("tokens") >= MIN_TOKENS) & (F.col("layout_share") < LAYOUT_SHARE) & (F.col("line_chars") > LINE_CHARS),
+        "literals": blob, "shared rules": (F.coalesce("shared", F.lit(0)) >= MIN_SHARED) & (F.coalesce("shared", F.lit(0)) >= SHARED * F.size("rules")),
+        "tool's notice": F.col("says_generated"), "library's notice": F.col("says_foreign"), "library's path": (library != "") & ~library.isin(*_GENERIC_DIRS),
+    }
+    m = m.select("file", "repo", *[F.coalesce(v, F.lit(False)).alias(k) for k, v in signals.items()])
     return m.select(
-        "file", "repo",
-        (F.col("says_generated") | ((F.col("tokens") >= MIN_TOKENS) & (reuse < F.when(named, limit * NAMED_REUSE).otherwise(limit)))).alias("generated"),
-        ((F.col("tokens") >= MIN_TOKENS) & (F.col("layout_share") < LAYOUT_SHARE) & (F.col("line_chars") > LINE_CHARS)).alias("minified"),
-        (
-            F.col("says_foreign") | ((library != "") & ~library.isin(*_GENERIC_DIRS))
-            | ((F.coalesce("shared", F.lit(0)) >= MIN_SHARED) & (F.coalesce("shared", F.lit(0)) >= SHARED * F.size("rules")))
-        ).alias("vendored"),
-        blob.alias("data"),
+        "file", "repo", (F.col("grammar") | F.col("tool's notice")).alias("generated"), F.col("layout").alias("minified"),
+        (F.col("shared rules") | F.col("library's notice") | F.col("library's path")).alias("vendored"), F.col("literals").alias("data"),
+        F.array_join(F.filter(F.array(*[F.when(F.col(k), F.lit(k)) for k in signals]), lambda x: x.isNotNull()), ", ").alias("signals"),
     )
 
 

@@ -4,7 +4,7 @@ import hashlib
 import pytest
 
 from codestrata.llm.credentials import credentials, entropy, find_credentials, looks_secret, redact
-from codestrata.llm.provenance import measure, notice, repair, shared_rules, tokenize, verdicts
+from codestrata.llm.provenance import density, measure, notice, repair, shared_rules, tokenize, verdicts
 from codestrata.llm.syntax import defect, syntax_defects
 
 VALID = {
@@ -212,8 +212,13 @@ def test_notices():
     assert notice("r", "x = 1\n# Code generated by tool v1. DO NOT EDIT.\n") == (False, False)
 
 
+def test_density_of_literals():
+    encoded, words_ = [LONG[k : k + 76] for k in range(0, len(LONG), 76)], ['"the size of the row"', '"the size of the list"'] * 40
+    assert density(encoded) > 0.9 and density([f"0x{x[:2]}" for x in KEY_LINES]) > 0.75 and density(words_) < 0.3 and density([]) == density(["1"]) == 0
+
+
 def test_verdicts(spark):
-    table = "const unsigned char t[99] = {" + ", ".join(f"0x{i * 37 % 256:02x}" for i in range(300)) + "};\n"
+    table = "const unsigned char t[99] = {" + ", ".join(f"0x{KEY_LINES[i][:2]}" for i in range(300)) + "};\n"
     accessors = "".join(f"int get_field_{i}(struct m *m) {{ return m->f[{i}]; }}\n" for i in range(40))
     hand = "int f(int a) {\n    if (a > 3) {\n        return g(a);\n    }\n    return a * 2;\n}\n"
     rows = [("r/t.c", "r", table), ("r/acc.c", "r", accessors), ("r/hand.c", "r", hand), ("r/hand.c", "r", hand), ("r/null.c", "r", None), ("r/empty.c", "r", ""), ("r/third_party/zlib/zlib.c", "r", hand)]
@@ -222,6 +227,6 @@ def test_verdicts(spark):
     df = spark.createDataFrame([(*x, 1) for x in rows], "file string, repo string, text string, tokens int")
     got = {r.file: r for r in verdicts(spark, df).collect()}
     assert got["r/acc.c"].generated and (got["r/t.c"].data or got["r/t.c"].generated)
-    assert not any(got["r/hand.c"][2:]) and not any(got["r/empty.c"][2:]) and "r/null.c" not in got
+    assert not any(got["r/hand.c"][2:]) and not any(got["r/empty.c"][2:]) and "shared rules" in got["q/y.c"].signals and "literals" in got["r/t.c"].signals and "r/null.c" not in got
     assert got["r/third_party/zlib/zlib.c"].vendored and got["r/x.c"].vendored and got["q/y.c"].vendored
     assert verdicts(spark, df.limit(0)).count() == 0
