@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import ast
 import re
+import unicodedata
 import warnings
 
 import numpy as np
@@ -25,31 +26,176 @@ LANGUAGES = ("C", "Go", "Java", "JavaScript", "Python", "Rust", "SQL", "Shell",
 
 _LINE, _BLOCK = r"//[^\n]*", r"/\*[\s\S]*?\*/"
 _DQ, _SQ = r'"(?:[^"\\\n]|\\[\s\S])*+"', r"'(?:[^'\\\n]|\\[\s\S])*+'"
-# What stands before a regular expression literal of JavaScript.
-_RE_LIT = r"(?<=[=(,:;!&|?{}\[\n])[ \t]*+/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*+"
-_TEMPLATE = r"`(?:[^`\\]|\\[\s\S])*+`"
 # Groups: 1 a comment, 2 a literal, 3 what opens a literal or comment that has no end.
 _LEXERS = {
-    "C": rf'({_LINE}|{_BLOCK})|({_DQ}|{_SQ})|("|\'|/\*)',
+    "C": rf"({_LINE}|{_BLOCK})|((?<![\w'])\d[\w.]*(?:'[\w.]+)++|{_DQ}|{_SQ})|(\"|'|/\*)",
     "Java": rf'({_LINE}|{_BLOCK})|("""[\s\S]*?"""|{_DQ}|{_SQ})|("|\'|/\*)',
     "Go": rf"({_LINE}|{_BLOCK})|({_DQ}|{_SQ}|`[^`]*+`)|(\"|'|`|/\*)",
-    "Rust": rf"""({_LINE}|/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*[\s\S]*?\*/)*+\*/)|(b?r(\#*)"[\s\S]*?"\3|b?"(?:[^"\\]|\\[\s\S])*+"|b?'(?:[^'\\\n]|\\[^\n]{{1,8}}?)')|("|/\*)""",
-    "JavaScript": rf"({_LINE}|{_BLOCK})|({_DQ}|{_SQ}|{_TEMPLATE}|{_RE_LIT})|(\"|'|`|/\*)",
+    "Rust": rf"""({_LINE}|{_BLOCK})|(b?r(\#*)"[\s\S]*?"\3|b?"(?:[^"\\]|\\[\s\S])*+"|b?'(?:[^'\\\n]|\\[^\n]{{1,8}}?)')|("|/\*)""",
     "SQL": rf"(--[^\n]*|{_BLOCK})|('(?:[^']|'')*+'|\"[^\"\n]*+\"|\$(\w*)\$[\s\S]*?\$\3\$)|('|\"|/\*)",
-    "Shell": r"""((?:(?<=[\s;(])|^)\#[^\n]*)|(<<-?[ ]*+(['"]?)(\w+)\3[^\n]*\n(?:[\s\S]*?\n)??[ \t]*\4(?=\n|$)|\\[\s\S]|"(?:[^"\\]|\\[\s\S])*+"|'[^']*+')|("|'|<<-?[ ]*+['"]?\w+)""",
+    "Shell": r"""((?:(?<=[\s;(])|^)\#[^\n]*)|(\$?\(\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*+\)\)|<<<|<<-?[ ]*+(['"]?)(\w+)\3[^\n]*\n(?:[\s\S]*?\n)??[ \t]*\4(?=\n|$)|\\[\s\S]|"(?:[^"\\]|\\[\s\S])*+"|\$'(?:[^'\\]|\\[\s\S])*+'|'[^']*+')|("|'|<<-?[ ]*+['"]?\w+)""",
     "Python": rf'(\#[^\n]*)|("""(?:[^"\\]|\\[\s\S]|"(?!""))*+"""|\'\'\'(?:[^\'\\]|\\[\s\S]|\'(?!\'\'))*+\'\'\'|{_DQ}|{_SQ})|("|\')',
 }
-_LEXERS["TypeScript"] = _LEXERS["JavaScript"]
 _LEXERS = {k: re.compile(p) for k, p in _LEXERS.items()}
 
 _MARKER = re.compile(r"^(?:<{7}|>{7}|\|{7})(?: |$)|^={7}$|^@@ -\d+(?:,\d+)? \+\d+|^\+\+\+ b/|^--- a/", re.M)
 _STRAY = re.compile("[\x00-\x08\x0b\x0e-\x1f\x7f�]")
+_NON_ASCII = re.compile(r"[^\x00-\x7f]")
 _PAIR = {")": "(", "]": "[", "}": "{"}
 _BRACKET = re.compile(r"[()\[\]{}]")
 
 
+# JavaScript: comments, strings, what opens a template or a block, and a slash, which begins a regular expression or divides.
+_JS_TOKEN = re.compile(rf"{_LINE}|{_BLOCK}|/\*|{_DQ}|{_SQ}|[\"'`{{}}/]")
+_JS_TEMPLATE = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*+(`|\$\{)")
+_JS_REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*+")
+_JS_BEFORE_REGEX = re.compile(r"(?:^|[=(,:;!&|?{}\[+\-*%<>~^]|(?<![\w$.])(?:return|typeof|case|in|of|delete|void|throw|new|else|do|await|yield|instanceof))$")
+_JSX_TEXT = re.compile(r"(?:^|[\s(>{}&?:,])<(?:[A-Za-z][\w.]*(?:\s[^<>]*)?)?>[^<>{}()=;`\"]*$")
+
+
+def _blank_js(text: str) -> tuple[str, str | None]:
+    """As `_blank`, with a stack of the templates that are open: what stands in `${}` is code again, to any depth."""
+    out: list[str] = []
+    open_: list[int] = []  # for each template, the braces open in its code
+    at, tail = 0, ""
+    markup = "</" in text or "/>" in text
+
+    def template(start: int) -> int:
+        """The end of the template's text from here on: of the whole template, or where code begins; -1 if it has no end."""
+        m = _JS_TEMPLATE.match(text, start)
+        if not m:
+            return -1
+        if m[1] == "`":
+            out.append('""')
+        else:
+            open_.append(0)
+            out.append('"" + (')
+        return m.end()
+
+    while m := _JS_TOKEN.search(text, at):
+        before, t, c = text[at : m.start()], m[0], m[0][0]
+        out.append(before)
+        tail = before.rstrip()[-24:] or tail
+        at = m.end()
+        if c in "\"'":
+            if c == "'" and markup and _JSX_TEXT.search(text, text.rfind("\n", 0, m.start()) + 1, m.start()):
+                at = m.start() + 1  # an apostrophe in the text of an element
+                continue
+            if len(t) == 1:
+                return "".join(out), "unterminated"
+            out.append('""')
+            tail = '"'
+        elif t[:2] in ("//", "/*") and c == "/" and len(t) > 1:
+            if t == "/*":
+                return "".join(out), "unterminated"
+            out.append("\n" if "\n" in t else " ")
+        elif c == "`" or c == "}" and open_ and not open_[-1]:
+            if c == "}":
+                open_.pop()
+                out.append(") + ")
+            at = template(at)
+            if at < 0:
+                return "".join(out), "unterminated"
+            tail = "(" if out[-1].endswith("(") else '"'
+        elif c == "/":
+            regex = _JS_REGEX.match(text, m.start())
+            quotes = regex and sum(map(regex[0].count, "\"'`")) % 2
+            if regex and text[m.start() - 1 : m.start()] != "<" and text[at : at + 1] != ">" and (_JS_BEFORE_REGEX.search(tail) or tail.endswith(")") and quotes):
+                out.append('""')
+                at, tail = regex.end(), '"'
+            else:
+                out.append("/")
+                tail = "/"
+        else:
+            if open_:
+                open_[-1] += 1 if c == "{" else -1
+            out.append(c)
+            tail = c
+    out.append(text[at:])
+    return "".join(out), "unterminated" if open_ else None
+
+
+_DIRECTIVE = re.compile(r"[ \t]*#[ \t]*(include|define|undef|ifn?def|if|elif(?:n?def)?|else|endif|pragma|error|warning|line|embed)\b[ \t]*(\S*)")
+_C_OPENS = re.compile(rf"//|/\*|{_DQ}|{_SQ}")
+
+
+def _branches(text: str) -> tuple[str, str | None]:
+    """The C text without its directives and with one branch of each conditional: the first, or the next one after `#if 0`; and what is wrong with the conditionals."""
+    if "#" not in text:
+        return text, None
+    out, stack = [], []  # for each open conditional, whether its branch is kept and whether one was
+    comment = more = False
+    for line in text.split("\n"):
+        directive = None if comment or more else _DIRECTIVE.match(line)
+        if directive or more:
+            more = line.endswith("\\")
+            word = directive[1] if directive else ""
+            if word in ("if", "ifdef", "ifndef"):
+                stack.append([directive[2] != "0"] * 2)
+            elif word.startswith("el") or word == "endif":
+                if not stack:
+                    return text, "unbalanced"
+                if word == "endif":
+                    stack.pop()
+                else:
+                    stack[-1] = [not stack[-1][1], True]
+            opened = word in ("define", "include", "undef", "endif", "else") and _opens(line, False)
+            out.append("/*" if opened else "")
+            comment = comment or opened
+        elif all(k for k, _ in stack) or comment:
+            out.append(line)
+            comment = _opens(line, comment)
+        else:
+            out.append("")
+    return "\n".join(out), "premature end" if stack else None
+
+
+def _opens(line: str, comment: bool) -> bool:
+    """Whether a block comment is open at the end of a line, given whether one is at its start."""
+    at = 0
+    while True:
+        if comment:
+            at = line.find("*/", at) + 2
+            if at < 2:
+                return True
+            comment = False
+        m = _C_OPENS.search(line, at)
+        if not m or m[0] == "//":
+            return False
+        at, comment = m.end(), m[0] == "/*"
+
+
+_RUST_TOKEN = re.compile(rf"""b?r(\#*)"[\s\S]*?"\1|b?"(?:[^"\\]|\\[\s\S])*+"|b?'(?:[^'\\\n]|\\[^\n]{{1,8}}?)'|{_LINE}|/\*""")
+_NESTED = re.compile(r"/\*|\*/")
+
+
+def _flat_comments(text: str) -> str:
+    """The Rust text with block comments, which nest to any depth, as spaces; one without an end stays."""
+    if "/*" not in text:
+        return text
+    out, at, start = [], 0, 0
+    while m := _RUST_TOKEN.search(text, at):
+        at = m.end()
+        if m[0] != "/*":
+            continue
+        depth = 1
+        while depth:
+            n = _NESTED.search(text, at)
+            if not n:
+                return "".join(out) + text[start : m.start()] + "/*"
+            depth += 1 if n[0] == "/*" else -1
+            at = n.end()
+        out += [text[start : m.start()], "\n" if "\n" in text[m.start() : at] else " "]
+        start = at
+    return "".join(out) + text[start:]
+
+
 def _blank(text: str, language: str) -> tuple[str, str | None]:
     """The code with each literal as `""` and each comment as a space; and why it ends here, if it does."""
+    if language in ("JavaScript", "TypeScript"):
+        return _blank_js(text)
+    if language == "Rust":
+        text = _flat_comments(text)
     bad = []
 
     def one(m: re.Match) -> str:
@@ -64,6 +210,18 @@ def _blank(text: str, language: str) -> tuple[str, str | None]:
     return code, "unterminated" if bad else None
 
 
+def _stray(code: str, language: str) -> bool:
+    """Whether the code holds bytes, or signs beyond ASCII such as typographic quotes, that no token of the language begins with.
+
+    Letters may stand in names. Shell and SQL take any sign for part of a word; so does the text of an element in markup.
+    """
+    if _STRAY.search(code):
+        return True
+    if language in ("Shell", "SQL") or language in ("JavaScript", "TypeScript") and ("</" in code or "/>" in code):
+        return False
+    return any(unicodedata.category(c)[0] not in "LMNZ" and unicodedata.category(c) not in ("Pc", "Cf") for c in set(_NON_ASCII.findall(code)))
+
+
 def _skeleton(code: str) -> tuple[str, str | None]:
     """The code outside all brackets, each outermost pair kept as an empty one; and what is wrong with the nesting."""
     stack: list[str] = []
@@ -88,6 +246,9 @@ def _skeleton(code: str) -> tuple[str, str | None]:
 _GO = re.compile(r"(?:package|import|func|type|var|const)\b|[)}]")
 _GO_OPEN = re.compile(r"(?:[-+*/%&|^=<,.(!]|&&|\|\||:=|\b(?:func|type|var|const|import|package))$")
 _JAVA = re.compile(r"(?:package|import|public|private|protected|final|abstract|static|class|interface|enum|record|sealed|non-sealed|strictfp)\b|@")
+_JAVA_MODULE = re.compile(r"(?:open\s+)?module\s+[\w.]+\s*\{\}$")
+_JAVA_MAIN = re.compile(r"\bvoid\s+main\s*\(\)")  # a file of methods and fields without a class needs one
+_JAVA_MEMBER = re.compile(r"(?:<>\s*)?[A-Za-z_][\w.]*(?:<.*>)?(?:\[\])*\s+\w+\s*(?:\(\)[\w\s,.]*\{\}|=.*|(?:\[\])*)$", re.S)
 _JAVA_IMPORT = re.compile(r"(?:package|import(?: static)?) [\w.]+(?:\.\*)?$")
 _JAVA_TYPE = re.compile(r"\b(?:class|interface|enum|record|@interface)\s+\w+")
 _RUST = re.compile(
@@ -151,7 +312,10 @@ def _statements(s: str) -> tuple[list[str], str]:
 
 def _java(s: str) -> str | None:
     done, rest = _statements(s)
+    compact = bool(_JAVA_MAIN.search(s))
     for x in done:
+        if compact and _JAVA_MEMBER.match(x) or _JAVA_MODULE.match(x):
+            continue
         if not _JAVA.match(x) or x.startswith(("package", "import")) and not _JAVA_IMPORT.match(x):
             return "foreign top level"
         if x.endswith("{}") and not _JAVA_TYPE.search(x) or x.startswith("import static ") and " " in x[14:]:
@@ -256,7 +420,11 @@ def _python(code: str, text: str) -> str | None:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
+    except (RecursionError, MemoryError):
+        return None  # too deep for the parser, which says nothing of the text
+    except SyntaxError as e:
+        return None if str(e.msg).startswith("too many nested") else "parser"
+    except ValueError:
         return "parser"
     return None
 
@@ -266,15 +434,19 @@ def defect(language: str | None, text: str | None) -> str | None:
 
     NULL text or language, languages without a lexer, blank text and text of comments only are valid.
     """
-    if text is None or language not in _LEXERS:
+    if text is None or language not in LANGUAGES:
         return None
     text = text.lstrip("﻿").replace("\r\n", "\n")
     code, why = _blank(text, language)
+    if language == "C" and not _MARKER.search(code):
+        branch, unended = _branches(text)
+        code, why = _blank(branch, language)
+        why = why or unended
     if not code.strip() and not why:
         return None
     if _MARKER.search(code):
         return "conflict marker"
-    if _STRAY.search(code):
+    if _stray(code, language):
         return "stray bytes"
     if why:
         return why

@@ -19,6 +19,19 @@ VALID = {
     "SQL": ["CREATE TABLE a (\n    b INT -- (\n);\nINSERT INTO a VALUES ('it''s (');\n"],
     "Other": ["((("],
 }
+for _k, _v in {
+    "Shell": ["echo $((1<<3))\n", "cat <<< hello\n", 'read a b <<< "x y"\n', "echo $'it\\'s'\n", "(( x = 1 << 2 ))\necho “a”\n"],
+    "C": [
+        "#ifndef A\n#error You can't\n#endif\nint a;\n", "#if 0\nit doesn't {\n#endif\nint a;\n", "#ifdef A\nint f(int a) {\n#else\nint f(long a) {\n#endif\n    return a;\n}\n", "long n = 1'000'000;\nchar c = 'x';\n",
+        "#define OPEN {\n#define TWO(a) \\\n    do { it's(a)\nint a; /* #if */\n", "/*\n#if 0\n*/\nint a;\n",
+    ],
+    "JavaScript": [
+        'function f(s) {\n    return /"/.test(s);\n}\n', "const a = (b) => b / 2 / c;\nconst d = `x${f(`y${g('}')}`)}z`;\n", "const e = <p>Don't {name}</p>;\n", "const r = [/[/\"]/, /a\\/b/g];\nif (x) /'/.test(y);\n", "const größe = 1;\n", "const t = <p>one — “two”</p>;\n",
+    ],
+    "TypeScript": ["const a: string = `x${b ? `y${c}` : ''}`;\n"], "Java": ["module a.b {\n    requires c;\n}\n", "open module a { }\n", "void main() {\n    IO.println(\"x\");\n}\n", "int n = 1;\n\nString f(int a) {\n    return \"\" + a;\n}\n\nvoid main() { f(n); }\n"],
+    "Rust": ["/* a /* b /* c */ d */ \" */\nfn f() {}\n", "fn f() -> char { '\"' }\n/* ' */\n"], "Python": ["x = " + "(" * 250 + "1" + ")" * 250 + "\n", "x = " + "-" * 20000 + "1\n"],
+}.items():
+    VALID[_k] += _v
 INVALID = {
     "Go": ["package a\nfunc f() {\n", "package a\nvar s = \"x\n", "func f() {}\n", "package a\n<<<<<<< ours\nfunc f() {}\n", "package a;\n\nimport x.y.Z;\n\npublic class A {}\n"],
     "C": ["int f(int a {\n}\n", "int a = 1;\n=======\nint b;\n", "package a\n\nfunc f() {\n}\n", "{\n  \"a\": 1\n}\n", "int f() {}\nstatic int"],
@@ -30,6 +43,11 @@ INVALID = {
     "Shell": ["f() {\n    if [ 1 ]; then\n        echo\n}\n", "static int f(int a) {\n    return a;\n}\n", "x='a\n"],
     "SQL": ["CREATE TABLE a (\n    b INT\n", "id,name\n0,a\n", "SELECT a FROM b WHERE (a > 1;\n"],
 }
+for _k, _v in {
+    "C": ["#ifdef A\nint a;\n", "int a;\n#endif\n", "const char *s = “x”;\n", "#if 0\n#else\nint f( {\n}\n#endif\n"], "Go": ["package a\n\nvar s = “x”\n"], "Java": ["class A {\n    String s = “x”;\n}\n"], "Rust": ["/* a /* b */\nfn f() {}\n", "fn f() {\n    let s = “x”;\n}\n"],
+    "JavaScript": ["const a = `x${b`;\n", "const a = “x”;\n", "const a = /x;\nconst b = \"y;\n"], "TypeScript": ["const a: string = `x${f(`y`}`;\n"], "Shell": ["cat <<EOF\nx\n"], "Python": ["x = “a”\n"],
+}.items():
+    INVALID[_k] += _v
 
 
 @pytest.mark.parametrize("language,text", [(k, t) for k, v in VALID.items() for t in v])
