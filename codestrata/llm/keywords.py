@@ -5,11 +5,17 @@ tags, code, numbers and signs. Class sequences of N tokens are counted over all
 as sentences and hold function words), which gives a model of at most 16**N entries whatever the corpus. A unit of
 text whose perplexity lies outside the range that prose units keep to, above or below, is abnormal, and a page
 with more words and links in abnormal units than in others is flagged.
+
+The function words known are those of four languages. Sentences of another language lack them and are improbable
+to the model, so that their shape excuses them: a capital or a script without capitals, few commas, words that do
+not repeat, an end. It excuses nothing on a page whose content words repeat far more than a text's of its length
+do; there function words strewn among the keywords do not excuse them either.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,7 +51,7 @@ for _c, _w in _WORDS.items():
 
 # Code in back quotes, links, tags, words, numbers, words with digits, sentence ends, and signs; a stop within a word is none of them.
 _TOKEN = re.compile(
-    r"`[^`\n]+`|(?:https?|ftp)://[^\s<>\"')\]]+|www\.[^\s<>\"')\]]+|[\w.+-]+@[\w-]+\.[\w.]+|[#@][^\W\d_][\w-]*|[^\W\d_]+(?:['’-][^\W\d_]+)*(?![\w])|\d+(?:[.,:]\d+)*(?![\w])|\w+|[.!?]+(?=[\s\"')\]]|$)|[^\w\s.!?]"
+    r"`[^`\n]+`|(?:https?|ftp)://[^\s<>\"')\]]+|www\.[^\s<>\"')\]]+|[\w.+-]+@[\w-]+\.[\w.]+|[#@][^\W\d_][\w-]*|[^\W\d_]+(?:['’-][^\W\d_]+)*(?![\w])|\d+(?:[.,:]\d+)*(?![\w])|\w+|[.!?]+(?=[\s\"')\]]|$)|[。！？।؟۔]+|[^\w\s.!?]"
 )
 _OPEN_TAG = re.compile(r"<a\s[^<>]*?href\s*=\s*[\"']?([^\"'\s>]+)[^<>]*>", re.I)
 _HTML = re.compile(r"</?[A-Za-z][^<>]*>")
@@ -80,7 +86,7 @@ class _Classes(dict):
         c = t[0]
         if c == "`" and len(t) > 2:
             k = CODE
-        elif c in ".!?":
+        elif c in ".!?。！？।؟۔":
             k = STOP
         elif c in "#@" and len(t) > 1:
             k = TAG
@@ -108,6 +114,28 @@ class _Classes(dict):
 _class_of = _Classes()
 
 
+# A text of n content words has some REPEAT_SCALE * n ** REPEAT_POWER different ones; with less than REPEAT_SHARE of that it repeats itself.
+REPEAT_SCALE, REPEAT_POWER, REPEAT_SHARE, REPEAT_WORDS = 3.0, 0.72, 0.4, 30
+
+
+def _tokens(line: str) -> tuple[list[int], list[str]]:
+    found = _TOKEN.findall(line)
+    return [_class_of[t] for t in found], found
+
+
+def _is_sentence(seq: list[int], tokens: list[str]) -> bool:
+    """Whether a piece has the shape of a sentence, in whatever language."""
+    if not seq or seq[-1] != STOP or LINK in seq or TAG in seq:
+        return False
+    words = [t for c, t in zip(seq, tokens, strict=True) if c in _WORD_CLASSES]
+    if not words or words[0][0].islower():
+        return False
+    if sum(map(len, words)) >= 5 and all(not x[0].islower() and not x[0].isupper() for x in words):
+        return True  # a script without capitals, which may not part words either
+    few = len(words) >= MIN_TRAIN_WORDS and sum(x[0].isupper() for x in words[1:]) * 2 <= len(words)
+    return few and tokens.count(",") * 3 <= len(words) and len({x.lower() for x in words}) * 4 >= len(words) * 3
+
+
 def _classes(line: str) -> list[int]:
     return [_class_of[t] for t in _TOKEN.findall(line)]
 
@@ -162,37 +190,42 @@ def _lines(text: str) -> Iterator[str]:
     yield from over()
 
 
-def classify(text: str) -> list[list[list[int]]]:
-    """Units of the text as pieces (sentences, or lines without one) of class sequences; code, numbers and rules are left out.
+def classify(text: str) -> tuple[list[list[list[int]]], list[bool], tuple[int, int]]:
+    """Units of the text as pieces (sentences, or lines without one) of class sequences; whether each has the shape of sentences; and the content words, all and different ones.
 
-    A line that goes on in lower case is joined to the one before unless that ended a sentence. A link that is
-    attached to a sentence is left out; a line that has links but no sentence keeps them. A piece of UNIT tokens
-    is cut; neighbouring pieces of less than LEAST_UNIT tokens are put together.
+    Code, numbers and rules are left out. A line that goes on in lower case is joined to the one before unless that
+    ended a sentence. A link that is attached to a sentence is left out; a line that has links but no sentence keeps
+    them. A piece of UNIT tokens is cut; neighbouring pieces of less than LEAST_UNIT tokens are put together.
     """
     t = _OPEN_TAG.sub(r" \1 ", text) if "<" in text else text
     t = _HTML.sub(" ", t) if "<" in t else t
-    lines: list[list[int]] = []
+    lines: list[tuple[list[int], list[str]]] = []
     after = False  # whether the next line may go on with the last one
     for line in _lines(t):
         if not line:
             after = False
             continue
         line = _MARK.sub("", line)
-        seq = _classes(line)
+        seq, tokens = _tokens(line)
         if LINK in seq:
-            bare = _classes(_ATTACHED.sub(" ", line))
+            bare, rest = _tokens(_ATTACHED.sub(" ", line))
             words = [c for c in bare if c in _WORD_CLASSES]
             if len(words) >= MIN_TRAIN_WORDS and sum(c in _FUNCTION_CLASSES for c in words) >= max(MIN_TRAIN_FUNCTION, FUNCTION_SHARE * len(words)):
-                seq = [c for c in bare if c != LINK]
+                seq, tokens = [c for c in bare if c != LINK], [x for c, x in zip(bare, rest, strict=True) if c != LINK]
         if after and line.lstrip()[:1].islower() and seq:
-            lines[-1] += seq
+            lines[-1][0].extend(seq)
+            lines[-1][1].extend(tokens)
         elif seq:
-            lines.append(seq)
+            lines.append((seq, tokens))
         after = bool(seq) and seq[-1] != STOP
     units: list[list[list[int]]] = []
+    shapes: list[bool] = []
     unit: list[list[int]] = []
-    held = 0
-    for seq in lines:
+    shaped, held, content, different = True, 0, 0, set()
+    for seq, tokens in lines:
+        own = [x.lower() for c, x in zip(seq, tokens, strict=True) if c in _CONTENT_CLASSES]
+        content += len(own)
+        different.update(own)
         at = 0
         while at < len(seq):
             end = at + UNIT
@@ -200,23 +233,28 @@ def classify(text: str) -> list[list[list[int]]]:
                 if seq[k] == STOP:
                     end = k + 1
                     break
-            piece = seq[at:end]
+            piece, shape = seq[at:end], _is_sentence(seq[at:end], tokens[at:end])
             at = end
             if unit and len(piece) >= LEAST_UNIT:
                 units.append(unit)
-                unit, held = [], 0
+                shapes.append(shaped)
+                unit, shaped, held = [], True, 0
             unit.append(piece)
+            shaped = shaped and shape
             held += len(piece)
             if held >= LEAST_UNIT:
                 units.append(unit)
-                unit, held = [], 0
+                shapes.append(shaped)
+                unit, shaped, held = [], True, 0
     if unit:
         units.append(unit)
-    return units
+        shapes.append(shaped)
+    return units, shapes, (content, len(different))
 
 
 _WORD_CLASSES = frozenset({DET, PREP, CONJ, PRON, AUX, ADV, LOWER, UPPER, MIXED, TAG})
 _FUNCTION_CLASSES = frozenset({DET, PREP, CONJ, PRON, AUX, ADV})
+_CONTENT_CLASSES = frozenset({LOWER, UPPER, MIXED, TAG})
 # What a token adds to a page's words; a link stands for the words of its host and path.
 _WEIGHT = np.zeros(A, dtype=np.int64)
 _FUNCTION = np.zeros(A, dtype=bool)
@@ -245,22 +283,28 @@ def _is_prose(s: list[int]) -> bool:
     return s[-1] == STOP and words >= MIN_TRAIN_WORDS and function >= max(MIN_TRAIN_FUNCTION, FUNCTION_SHARE * words) and LINK not in s and TAG not in s
 
 
-PIECE, UNIT_END = 255, 254
+PIECE, UNIT_END, SENTENCES_END = 255, 254, 253
+_HEAD = struct.Struct("<QQ")
 
 
 def encode(text: str) -> bytes:
-    """The text's units as a byte for each token, PIECE after each piece and UNIT_END after each unit."""
-    out = bytearray()
-    for u in classify(text):
+    """The counts of the text's content words, then its units as a byte for each token, PIECE after each piece and UNIT_END, or SENTENCES_END, after each unit."""
+    units, shapes, counts = classify(text)
+    out = bytearray(_HEAD.pack(*counts))
+    for u, shape in zip(units, shapes, strict=True):
         for piece in u:
             out += bytes(piece)
             out.append(PIECE)
-        out.append(UNIT_END)
+        out.append(SENTENCES_END if shape else UNIT_END)
     return bytes(out)
 
 
-def decode(code: bytes) -> list[list[list[int]]]:
-    return [[list(p) for p in u.split(bytes([PIECE]))[:-1]] for u in code.split(bytes([UNIT_END]))[:-1]]
+def decode(code: bytes) -> tuple[list[list[list[int]]], list[bool], tuple[int, int]]:
+    """What `classify` gave."""
+    body = code[_HEAD.size :]
+    ends = [c == SENTENCES_END for c in body if c in (UNIT_END, SENTENCES_END)]
+    units = body.replace(bytes([SENTENCES_END]), bytes([UNIT_END])).split(bytes([UNIT_END]))[:-1]
+    return [[list(p) for p in u.split(bytes([PIECE]))[:-1]] for u in units], ends, _HEAD.unpack_from(code)
 
 
 def encoded(docs: DataFrame) -> DataFrame:
@@ -279,7 +323,7 @@ def prose_counts(codes: DataFrame) -> DataFrame:
     def run(batches):
         for pdf in batches:
             for at in range(0, len(pdf), BATCH_ROWS):
-                seqs = [s for c in pdf["code"].iloc[at : at + BATCH_ROWS] for u in decode(c) for s in u if _is_prose(s)]
+                seqs = [s for c in pdf["code"].iloc[at : at + BATCH_ROWS] for u in decode(c)[0] for s in u if _is_prose(s)]
                 code, _ = _codes(seqs)
                 found, n = np.unique(code, return_counts=True)
                 yield pd.DataFrame({"code": found, "n": n.astype("int64")})
@@ -311,9 +355,12 @@ def model(counts: pd.DataFrame) -> tuple[np.ndarray, float, float]:
 
 def shares(codes: list[bytes], bits: np.ndarray, mean: float, spread: float) -> list[tuple[int, int]]:
     """Per encoded text: words and links in abnormal units, and in all units that count."""
-    pieces, unit, owner = [], [], []
+    pieces, unit, owner, shaped, repeats = [], [], [], [], []
     for i, c in enumerate(codes):
-        for u in decode(c):
+        units, shapes, (content, different) = decode(c)
+        shaped += shapes
+        repeats += [content >= REPEAT_WORDS and different < REPEAT_SHARE * REPEAT_SCALE * content**REPEAT_POWER] * len(units)
+        for u in units:
             pieces += u
             unit += [len(owner)] * len(u)
             owner.append(i)
@@ -324,10 +371,12 @@ def shares(codes: list[bytes], bits: np.ndarray, mean: float, spread: float) ->
     of, n = np.array(unit)[piece], len(owner)
     size = np.bincount(of, minlength=n)
     entropy = np.bincount(of, weights=bits[code], minlength=n) / np.maximum(size, 1)
-    odd = ((entropy > mean + HIGH * spread) | (entropy < mean - LOW * spread)) & (size >= MIN_UNIT)
+    high, low = entropy > mean + HIGH * spread, entropy < mean - LOW * spread
     words = np.bincount(of, weights=_WEIGHT[code % A], minlength=n).astype(np.int64)
-    # Odd sentences are sentences still: shouted, cut off or in a list, they keep their function words.
-    odd &= np.bincount(of, weights=_FUNCTION[code % A], minlength=n) < FUNCTION_SHARE * words
+    lacking = np.bincount(of, weights=_FUNCTION[code % A], minlength=n) < FUNCTION_SHARE * words
+    repeated, sentences = np.array(repeats), np.array(shaped)
+    # Odd sentences are sentences still: shouted, cut off or in a list, they keep their function words, and those of other languages their shape.
+    odd = (size >= MIN_UNIT) & np.where(repeated, high | (low & lacking), (high | low) & lacking & ~sentences)
     np.add.at(out, (np.array(owner), 0), words * odd)
     np.add.at(out, (np.array(owner), 1), words)
     return [tuple(map(int, x)) for x in out]

@@ -174,12 +174,31 @@ def test_pages_laid_out_otherwise(spark):
     assert all(got[k][1] >= 60 for k in spam)
 
 
+OTHER_LANGUAGES = [
+    "W zeszłym tygodniu zespół postanowił przenieść wszystkie dane do nowej bazy, ponieważ stara nie nadążała za ruchem. Nikt nie był pewien, czy to się uda bez przerwy. Po kilku próbach okazało się jednak, że wystarczy zmienić kolejność kroków.",
+    "На прошлой неделе команда решила перенести все данные в новую базу, потому что старая не справлялась с нагрузкой. Никто не был уверен, что это получится без остановки. После нескольких попыток выяснилось, что достаточно изменить порядок шагов.",
+    "上周团队决定把所有数据迁移到新的数据库，因为旧的已经无法承受流量。没有人确定这能否在不中断服务的情况下完成。经过几次尝试，发现只需要改变步骤的顺序。文档已经补充，测试也一次通过。",
+    "Viime viikolla tiimi päätti siirtää kaikki tiedot uuteen tietokantaan, koska vanha ei enää kestänyt kuormaa. Kukaan ei ollut varma, onnistuuko se ilman katkosta palvelussa. Muutaman yrityksen jälkeen huomattiin, että riittää muuttaa vaiheiden järjestystä.",
+    "Geçen hafta ekip, eski veritabanı yükü kaldıramadığı için bütün verileri yenisine taşımaya karar verdi. Kimse bunun hizmet kesilmeden yapılabileceğinden emin değildi. Birkaç denemeden sonra adımların sırasını değiştirmenin yeterli olduğu anlaşıldı.",
+]
+
+
+def test_other_languages_and_salted_keywords(spark):
+    goods = "shoes cheap discount online store widget buy sale best price deal offer review laptop camera".split()
+    salted = " ".join(x for _ in range(200) for x in ([R.choice(goods), R.choice(["the", "for", "and", "of"])] if R.random() < 0.4 else [R.choice(goods)]))
+    posing = " ".join(f"The {' '.join(R.choice(goods) for _ in range(6))} for {R.choice(goods)} and {R.choice(goods)}." for _ in range(20))
+    spam = {900: salted, 901: posing, 902: ". ".join(" ".join(R.choice(goods).capitalize() for _ in range(7)) for _ in range(20)) + "."}
+    docs = [(i, prose(6)) for i in range(200)] + list(spam.items()) + [(950 + k, t) for k, t in enumerate(OTHER_LANGUAGES)]
+    got = {r.doc_id: (r.abnormal, r.words) for r in page_shares(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {k for k, (a, n) in got.items() if 2 * a > n} == set(spam)
+
+
 def test_model_is_a_distribution():
     counts = pd.DataFrame({"code": [5, 6, A**2 + 5], "n": [3, 1, 2]})
     bits, mean, spread = model(counts)
     p = np.exp2(-bits.astype(float)).reshape(-1, A).sum(axis=1)
     assert bits.shape == (A**N,) and np.allclose(p, 1, atol=1e-4) and mean > 0
-    assert classify("") == []
+    assert classify("") == ([], [], (0, 0))
 
 
 def test_packer():
