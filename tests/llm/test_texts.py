@@ -186,7 +186,7 @@ OTHER_LANGUAGES = [
 def test_other_languages_and_salted_keywords(spark):
     goods = "shoes cheap discount online store widget buy sale best price deal offer review laptop camera".split()
     salted = " ".join(x for _ in range(200) for x in ([R.choice(goods), R.choice(["the", "for", "and", "of"])] if R.random() < 0.4 else [R.choice(goods)]))
-    posing = " ".join(f"The {' '.join(R.choice(goods) for _ in range(6))} for {R.choice(goods)} and {R.choice(goods)}." for _ in range(20))
+    posing = " ".join(f"The {' '.join(R.choice(goods) for _ in range(12))} for {R.choice(goods)} and {R.choice(goods)}." for _ in range(20))
     spam = {900: salted, 901: posing, 902: ". ".join(" ".join(R.choice(goods).capitalize() for _ in range(7)) for _ in range(20)) + "."}
     docs = [(i, prose(6)) for i in range(200)] + list(spam.items()) + [(950 + k, t) for k, t in enumerate(OTHER_LANGUAGES)]
     got = {r.doc_id: (r.abnormal, r.words) for r in page_shares(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()}
