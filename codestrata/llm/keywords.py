@@ -276,6 +276,10 @@ def _codes(pieces: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return code[real], piece[real]
 
 
+def _repeats(content: int, different: int) -> bool:
+    return content >= REPEAT_WORDS and different < REPEAT_SHARE * REPEAT_SCALE * content**REPEAT_POWER
+
+
 def _is_prose(s: list[int]) -> bool:
     """A sentence to learn from."""
     words = sum(c in _WORD_CLASSES for c in s)
@@ -318,12 +322,13 @@ def encoded(docs: DataFrame) -> DataFrame:
 
 
 def prose_counts(codes: DataFrame) -> DataFrame:
-    """(code, n): how often each sequence of N classes occurs in the prose of all texts. At most 16**N rows."""
+    """(code, n): how often each sequence of N classes occurs in the prose of all texts but those that repeat themselves. At most 16**N rows."""
 
     def run(batches):
         for pdf in batches:
             for at in range(0, len(pdf), BATCH_ROWS):
-                seqs = [s for c in pdf["code"].iloc[at : at + BATCH_ROWS] for u in decode(c)[0] for s in u if _is_prose(s)]
+                pages = [decode(c) for c in pdf["code"].iloc[at : at + BATCH_ROWS]]
+                seqs = [s for units, _, counts in pages if not _repeats(*counts) for u in units for s in u if _is_prose(s)]
                 code, _ = _codes(seqs)
                 found, n = np.unique(code, return_counts=True)
                 yield pd.DataFrame({"code": found, "n": n.astype("int64")})
@@ -359,7 +364,7 @@ def shares(codes: list[bytes], bits: np.ndarray, mean: float, spread: float) ->
     for i, c in enumerate(codes):
         units, shapes, (content, different) = decode(c)
         shaped += shapes
-        repeats += [content >= REPEAT_WORDS and different < REPEAT_SHARE * REPEAT_SCALE * content**REPEAT_POWER] * len(units)
+        repeats += [_repeats(content, different)] * len(units)
         for u in units:
             pieces += u
             unit += [len(owner)] * len(u)
