@@ -114,6 +114,19 @@ class _Classes(dict):
 _class_of = _Classes()
 
 
+class _Content(dict):
+    """Each token in lower case if it is a content word, else ""; as `_Classes`."""
+
+    def __missing__(self, t: str) -> str:
+        if len(self) > 500_000:
+            self.clear()
+        self[t] = w = t.lower() if _class_of[t] in _CONTENT_CLASSES else ""
+        return w
+
+
+_content_of = _Content()
+
+
 # A text of n content words has some REPEAT_SCALE * n ** REPEAT_POWER different ones; with less than REPEAT_SHARE of that it repeats itself.
 REPEAT_SCALE, REPEAT_POWER, REPEAT_SHARE, REPEAT_WORDS = 3.0, 0.72, 0.4, 30
 
@@ -125,8 +138,10 @@ def _tokens(line: str) -> tuple[list[int], list[str]]:
 
 def _is_sentence(seq: list[int], tokens: list[str]) -> bool:
     """Whether a piece has the shape of a sentence, in whatever language."""
-    if not seq or seq[-1] != STOP or LINK in seq or TAG in seq:
+    if seq[-1] != STOP or LINK in seq or TAG in seq:
         return False
+    if len(_FUNCTION_CLASSES.intersection(seq)) > 2:
+        return True  # its function words are known
     words = [t for c, t in zip(seq, tokens, strict=True) if c in _WORD_CLASSES]
     if not words or words[0][0].islower():
         return False
@@ -223,7 +238,7 @@ def classify(text: str) -> tuple[list[list[list[int]]], list[bool], tuple[int, i
     unit: list[list[int]] = []
     shaped, held, content, different = True, 0, 0, set()
     for seq, tokens in lines:
-        own = [x.lower() for c, x in zip(seq, tokens, strict=True) if c in _CONTENT_CLASSES]
+        own = [w for w in map(_content_of.__getitem__, tokens) if w]
         content += len(own)
         different.update(own)
         at = 0
