@@ -10,7 +10,10 @@ import re
 
 import xxhash
 
+from codestrata.extract import markers as M
+
 _STRINGS = r'"(?:[^"\\\n]|\\.)*+"|\'(?:[^\'\\\n]|\\.)*+\'|`[^`]*+`'
+_LITERAL = re.compile(_STRINGS)
 _SLASH = re.compile(rf"//[^\n]*|/\*[\s\S]*?\*/|({_STRINGS})")
 _HASH = re.compile(rf"(?<!\$)\#[^\n]*|({_STRINGS})")
 _DASH = re.compile(r"--[^\n]*|/\*[\s\S]*?\*/|('(?:[^']|'')*+')")
@@ -133,6 +136,13 @@ def extract(language: str, file: str, text: str) -> dict[str, list[tuple]] | Non
             flat = " ".join(" ".join(lines[start:end]).split())
             m = (*_metrics(body, words), len(params), prim, xxhash.xxh64_intdigest(flat) - (1 << 63) if end - start >= 3 else None)
             funcs.append((a, b, sid))
+            if language in M.RULES and "{" in body:
+                paren = code.find("(", a, b)
+                open_ = code.find("{", M.closing(code, paren) if 0 <= paren < code.find("{", a) else a, b)
+                if open_ >= 0:
+                    head = code[code.rfind("\n", 0, a) + 1 : open_]
+                    literals = [(x.start() - open_, x[0][1:-1]) for x in _LITERAL.finditer(text, open_, b) if code[x.start()] == x[0][0] and code[x.end() - 1] == x[0][-1]]
+                    out["markers"] += [(sid, k, line_of(open_ + at), n) for k, at, n in M.markers(language, head, code[open_:b], literals)]
             if language == "Go":
                 for loop in re.finditer(r"\bfor\b[^{\n]*\{", body):
                     inner = body[loop.end() : _end(body, loop.end() - 1, language)]

@@ -81,6 +81,96 @@ def test_lexical():
     assert lexical.extract("Other", "f", "x") is None
 
 
+RS = '''use std::fs;
+
+async fn go(items: &Vec<u32>, names: Vec<String>) -> u32 {
+    let mut seen = Vec::new();
+    let text = fs::read_to_string("a").await;
+    fs::write("a", "b");
+    if a && b && c || d {
+        return 1;
+    }
+    for x in items.iter() {
+        for y in items {
+            file.read_line(&mut buf);
+        }
+        if seen.contains(x) { continue; }
+        seen.insert(0, x);
+        out.push_str("x");
+        total += 1;
+        let c = Client::new();
+        let re = Regex::new("x");
+        let v: u32 = serde_json::from_str("1");
+        state.lock();
+        fetch(x).await;
+        join_all(x).await;
+        let f = |z| { file.recv() };
+    }
+    let guard = m.lock().unwrap();
+    db.execute("SELECT * FROM a, b, c WHERE a.x = b.x");
+    4
+}
+
+fn quiet(xs: Vec<u32>) -> u32 {
+    let set = HashSet::new();
+    for x in xs { set.contains(x); }
+    // for y in xs { file.read_line() }
+    0
+}
+'''
+TS = '''export async function go(items: string[]): Promise<number> {
+    const known = ["a"];
+    const open = new Set(known);
+    for (const x of items) {
+        if (known.includes(x) || open.has(x)) continue;
+        const y = JSON.parse(x);
+        const p = new Pool(3);
+        const r = new RegExp(x);
+        text += x;
+        await fetch(x);
+        await Promise.all(x);
+        lock.acquire();
+        while (a && b && c && d) {
+            db.query("select 1 from t1, t2");
+        }
+        items.forEach((q) => { readFile(q); });
+    }
+    for (let i = 0; i < 3; i++) for (const z of items) { n = n + 1; }
+    do { step(); } while (open);
+    readFileSync("x");
+    return items.reduce((acc, x) => [...acc, x], []);
+}
+
+function quiet(xs) {
+    return xs.reduce((acc, x) => acc.concat(x), []).filter((x) => x > 1);
+}
+'''
+
+
+def test_markers_of_rust_and_scripts():
+    def of(language, text):
+        rows = lexical.extract(language, "f", text)["markers"]
+        assert not [r for r in rows if "quiet" in r[0]], rows
+        return sorted((k, ln, n) for _, k, ln, n in rows)
+
+    assert of("Rust", RS) == sorted(
+        [
+            ("complex-conditional", 7, "3"), ("blocking-sync-in-async", 6, "fs::write"), ("nested-loop-quadratic", 11, "items"), ("io-in-loop", 12, "read_line"), ("nested-loop-with-io", 12, "read_line"),
+            ("membership-test-in-loop", 14, "seen"), ("list-insert-zero-in-loop", 15, "seen"), ("string-concat-in-loop", 16, "out"), ("string-concat-in-loop", 17, "total"), ("resource-construction-in-loop", 18, "Client::new"),
+            ("regex-compile-in-loop", 19, "Regex::new"), ("json-parse-in-loop", 20, "serde_json::from_str"), ("lock-in-loop", 21, "state.lock"), ("serial-await-in-loop", 22, "fetch"), ("blocking-io-under-lock", 27, "execute"),
+            ("sql-cartesian-join", 27, "a,b,c"), ("sync-io", 5, "read_to_string"), ("sync-io", 12, "read_line"), ("sync-io", 27, "execute"),
+        ]
+    )
+    for language in ("TypeScript", "JavaScript"):
+        assert of(language, TS) == sorted(
+            [
+                ("membership-test-in-loop", 5, "known"), ("json-parse-in-loop", 6, "JSON.parse"), ("resource-construction-in-loop", 7, "Pool"), ("regex-compile-in-loop", 8, "RegExp"), ("string-concat-in-loop", 9, "text"),
+                ("serial-await-in-loop", 10, "fetch"), ("io-in-loop", 10, "fetch"), ("sync-io", 10, "fetch"), ("lock-in-loop", 12, "lock.acquire"), ("complex-conditional", 13, "3"), ("io-in-loop", 14, "query"),
+                ("nested-loop-with-io", 14, "query"), ("sync-io", 14, "query"), ("sql-cartesian-join", 14, "t1,t2"), ("string-concat-in-loop", 18, "n"), ("sync-io", 20, "readFileSync"), ("array-spread-in-reduce", 21, "acc"),
+            ]
+        ), language
+
+
 def test_frames(spark):
     rows = [("r/a.py", "Python", PY), ("r/b.py", "Python", "def ("), ("r/c.txt", "Other", "x"), ("r/d.go", "Go", None), ("r/e.hs", "Haskell", "import qualified Data.Map as M\n")]
     df = spark.createDataFrame(rows, "file string, language string, text string")
