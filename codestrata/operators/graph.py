@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import warnings
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codestrata.session import Scratch
 
 FAN_OUT = 6
-MAX_ROUNDS = 200
 
 
 def call_edges(calls: DataFrame, symbols: DataFrame, fan_out: int = FAN_OUT) -> DataFrame:
-    """(src, dst): an edge for each call and each symbol it may reach; parallel edges are kept.
+    """(src, dst, sites): the symbols that a symbol's calls may reach, and how many calls do.
 
     A call reaches the functions and methods of its own file that bear the callee's name; if there is none, the
     first `fan_out` of that name elsewhere, in the order of files and symbols. Calls from unknown symbols and calls to oneself are dropped.
@@ -32,12 +32,12 @@ def call_edges(calls: DataFrame, symbols: DataFrame, fan_out: int = FAN_OUT) ->
     first = target.withColumn("rank", rank).where(F.col("rank") <= fan_out).select(F.col("name").alias("callee_name"), F.col("id").alias("dst"))
     other = rest.join(first, "callee_name")
     both = same.select("caller", "dst", "n").unionByName(other.select("caller", "dst", "n")).where("caller <> dst")
-    return both.select(F.col("caller").alias("src"), "dst", F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int"))).alias("_")).drop("_")
+    return both.groupBy(F.col("caller").alias("src"), "dst").agg(F.sum("n").alias("sites"))
 
 
 def in_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, n): how many edges arrive at each node; parallel edges count."""
-    n = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
+    """(id, n): how many calls (src, dst, sites) arrive at each node."""
+    n = edges.groupBy(F.col("dst").alias("id")).agg(F.sum("sites").alias("n"))
     return nodes.select("id").join(n, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -56,19 +56,21 @@ def dead_code(symbols: DataFrame, calls_to: DataFrame, files: DataFrame, unresol
 
 
 HOPS = 12  # hops of a value between two writes
+LOCAL_EDGES = 500_000  # a graph of no more edges is finished in one task
 
 
-def strongly_connected(scratch: Scratch, edges: DataFrame) -> DataFrame:
+def strongly_connected(scratch: Scratch, edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(id, component): for each node on a cycle, the smallest id of its strongly connected component.
 
     A round finds the smallest id that reaches each node and the smallest one that it reaches. Where both are the
     same, the node is of that id's component. No component crosses an edge whose ends differ in either, so that
-    such edges go, as do those of nodes without a way in or out, before the next round. Each step is joins and map-side combined minima on
-    written tables.
+    such edges go, as do those of nodes without a way in or out, before the next round; every round ends at least one
+    component, and rounds go on until no edge is left. Each step is joins and map-side combined minima on written tables.
+    Once `local_edges` edges or fewer are left, one task finishes them, with the same result.
     """
     edges = scratch.write(edges.select("src", "dst").distinct(), "edges")
-    done: DataFrame | None = None
-    for _ in range(MAX_ROUNDS):
+    done: list[DataFrame] = []
+    while (left := edges.count()) > local_edges:
         edges = _trim(scratch, edges)
         if edges.isEmpty():
             break
@@ -76,14 +78,84 @@ def strongly_connected(scratch: Scratch, edges: DataFrame) -> DataFrame:
         down = _flow(scratch, edges, nodes, "src", "dst").withColumnRenamed("value", "f")
         up = _flow(scratch, edges, nodes, "dst", "src").withColumnRenamed("value", "b")
         both = scratch.write(down.join(up, "id"), "both")
-        done = both.where("f = b").select("id", F.col("f").alias("component")) if done is None else done.unionByName(both.where("f = b").select("id", F.col("f").alias("component")))
+        done.append(both.where("f = b").select("id", F.col("f").alias("component")))
         open_ = both.where("f <> b")
         one, two = open_.select(F.col("id").alias("src"), "f", "b"), open_.select(F.col("id").alias("dst"), F.col("f").alias("f2"), F.col("b").alias("b2"))
         edges = scratch.write(edges.join(one, "src").join(two, "dst").where("f = f2 AND b = b2").select("src", "dst"), "edges")
-    if done is None:
+    if left and left <= local_edges:
+        done.append(edges.repartition(1).mapInPandas(_in_one_task(_components), "id string, component string"))
+    if not done:
         return edges.select(F.col("src").alias("id"), F.col("src").alias("component"))
-    big = done.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
-    return done.join(big, "component", "left_semi").select("id", "component")
+    if len(done) > 1:
+        done = [_union(done)]
+    big = done[0].groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    return done[0].join(big, "component", "left_semi").select("id", "component")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _in_one_task(solve):
+    """A function for mapInPandas that gives `solve` all rows (src, dst) of its one partition, as lists."""
+
+    def run(batches):
+        src: list[str] = []
+        dst: list[str] = []
+        for pdf in batches:
+            src += pdf["src"].tolist()
+            dst += pdf["dst"].tolist()
+        yield solve(src, dst)
+
+    return run
+
+
+def _components(src: list[str], dst: list[str]) -> pd.DataFrame:
+    """(id, component) of the strongly connected components of two nodes or more, found by one depth-first pass."""
+    after: dict[str, list[str]] = {}
+    for a, b in zip(src, dst, strict=True):
+        after.setdefault(a, []).append(b)
+    number: dict[str, int] = {}
+    low: dict[str, int] = {}
+    held: list[str] = []
+    on: set[str] = set()
+    rows = []
+    for root in after:
+        if root in number:
+            continue
+        path = [(root, iter(after[root]))]
+        number[root] = low[root] = len(number)
+        held.append(root)
+        on.add(root)
+        while path:
+            node, rest = path[-1]
+            for x in rest:
+                if x not in number:
+                    number[x] = low[x] = len(number)
+                    held.append(x)
+                    on.add(x)
+                    path.append((x, iter(after.get(x, ()))))
+                    break
+                if x in on:
+                    low[node] = min(low[node], number[x])
+            else:
+                path.pop()
+                if path:
+                    low[path[-1][0]] = min(low[path[-1][0]], low[node])
+                if low[node] == number[node]:
+                    members = []
+                    while True:
+                        members.append(held.pop())
+                        on.discard(members[-1])
+                        if members[-1] == node:
+                            break
+                    if len(members) > 1:
+                        first = min(members)
+                        rows += [(m, first) for m in members]
+    return pd.DataFrame(rows, columns=["id", "component"], dtype=object)
 
 
 def _trim(scratch: Scratch, edges: DataFrame, rounds: int = 3) -> DataFrame:
@@ -121,17 +193,25 @@ def _flow(scratch: Scratch, edges: DataFrame, values: DataFrame, start: str, end
             return held
 
 
-def reachable(scratch: Scratch, edges: DataFrame, start: DataFrame, depth: int = MAX_ROUNDS) -> DataFrame:
-    """(id, hops): nodes that the start nodes (id) reach, with the fewest hops; the start has 0."""
-    seen = scratch.write(start.select("id").distinct().withColumn("hops", F.lit(0)), "seen")
-    front = seen
-    for hop in range(1, depth + 1):
+MERGE = 40  # hops between two writes of all nodes seen so far
+
+
+def reachable(scratch: Scratch, edges: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
+    """(id, hops): nodes that the start nodes (id) reach, with the fewest hops; the start has 0. depth: the most hops, if there shall be any such limit."""
+    front = scratch.write(start.select("id").distinct().withColumn("hops", F.lit(0)), "seen")
+    parts = [front]
+    hop = 0
+    while depth is None or hop < depth:
+        hop += 1
+        seen = _union(parts)
         step = edges.join(front.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
         front = scratch.write(step.join(seen.select("id"), "id", "left_anti").withColumn("hops", F.lit(hop)), "front")
         if front.isEmpty():
             break
-        seen = scratch.write(seen.unionByName(front), "seen")
-    return seen
+        parts.append(front)
+        if len(parts) > MERGE:
+            parts = [scratch.write(_union(parts), "seen")]
+    return _union(parts)
 
 
 def closure(scratch: Scratch, edges: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codestrata.operators.graph import strongly_connected
+from codestrata.operators.graph import LOCAL_EDGES, _in_one_task, strongly_connected
 from codestrata.session import Scratch
 
 
@@ -49,37 +50,20 @@ def select(steps: DataFrame, group: str, n: int) -> DataFrame:
     return x.where(chosen).withColumn("step", F.row_number().over(w)).select(*steps.columns, "step")
 
 
-def layers(scratch: Scratch, nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(id, layer): 0 for nodes that depend on nothing left, then level by level; edges (src depends on dst). What lies on or above a cycle that stays comes last, together."""
-    left = scratch.write(nodes.select("id").distinct(), "left")
-    rest = scratch.write(edges.join(left.select(F.col("id").alias("src")), "src", "left_semi").join(left.select(F.col("id").alias("dst")), "dst", "left_semi").where("src <> dst").select("src", "dst").distinct(), "rest")
-    done = None
-    for layer in range(rounds):
-        free = left.join(rest.select(F.col("src").alias("id")).distinct(), "id", "left_anti")
-        free = scratch.write(free.withColumn("layer", F.lit(layer)), "free")
-        if free.isEmpty():
-            break
-        done = free if done is None else done.unionByName(free)
-        left = scratch.write(left.join(free.select("id"), "id", "left_anti"), "left")
-        rest = scratch.write(rest.join(free.select(F.col("id").alias("dst")), "dst", "left_anti"), "rest")
-    stuck = left.withColumn("layer", F.lit(rounds))
-    return stuck if done is None else done.unionByName(stuck)
-
-
 MERGE = 40  # layers between two writes of those found so far
 
 
-def condensed_layers(scratch: Scratch, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def condensed_layers(scratch: Scratch, nodes: DataFrame, edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(id, layer): 0 for nodes that depend on nothing, then one more than the highest layer depended on; edges (src depends on dst).
 
     A strongly connected component counts as one node, so that its members share a layer and whatever lies above a
-    cycle keeps its place. The condensed graph is peeled until nothing is left, however deep it is. Ends that are
-    not in `nodes` are ignored.
+    cycle keeps its place. The condensed graph is peeled until nothing is left, however deep it is; once `local_edges`
+    edges or fewer are left, one task finishes them, with the same result. Ends that are not in `nodes` are ignored.
     """
     known = nodes.select("id").distinct()
     inner = edges.join(known.select(F.col("id").alias("src")), "src", "left_semi").join(known.select(F.col("id").alias("dst")), "dst", "left_semi")
     inner = scratch.write(inner.where("src <> dst").select("src", "dst").distinct(), "inner")
-    group = known.join(strongly_connected(scratch, inner), "id", "left").select("id", F.coalesce("component", "id").alias("group"))
+    group = known.join(strongly_connected(scratch, inner, local_edges), "id", "left").select("id", F.coalesce("component", "id").alias("group"))
     group = scratch.write(group, "group")
     end = lambda e: group.select(F.col("id").alias(e), F.col("group").alias(f"{e}_group"))
     rest = inner.join(end("src"), "src").join(end("dst"), "dst").where("src_group <> dst_group").select(F.col("src_group").alias("src"), F.col("dst_group").alias("dst")).distinct()
@@ -88,6 +72,10 @@ def condensed_layers(scratch: Scratch, nodes: DataFrame, edges: DataFrame) -> Da
     found: list[DataFrame] = []
     layer = 0
     while not left.isEmpty():
+        if rest.count() <= local_edges:
+            above = rest.repartition(1).mapInPandas(_in_one_task(_depths), "id string, depth int")
+            found.append(left.join(above, "id", "left").select("id", (F.coalesce("depth", F.lit(0)) + layer).alias("layer")))
+            break
         free = scratch.write(left.join(rest.select(F.col("src").alias("id")), "id", "left_anti").withColumn("layer", F.lit(layer)), "free")
         if free.isEmpty():
             raise RuntimeError("a cycle is left in the condensed graph")
@@ -105,6 +93,27 @@ def condensed_layers(scratch: Scratch, nodes: DataFrame, edges: DataFrame) -> Da
     return group.join(_merged(scratch, found).withColumnRenamed("id", "group"), "group").select("id", "layer")
 
 
+def _depths(src: list[str], dst: list[str]) -> pd.DataFrame:
+    """(id, depth) of the nodes that depend on another: the most edges from each to a node that depends on none."""
+    waits: dict[str, int] = {}
+    users: dict[str, list[str]] = {}
+    for a, b in zip(src, dst, strict=True):
+        waits[a] = waits.get(a, 0) + 1
+        users.setdefault(b, []).append(a)
+    depth: dict[str, int] = {}
+    ready = [x for x in users if x not in waits]
+    while ready:
+        x = ready.pop()
+        for u in users.get(x, ()):
+            depth[u] = max(depth.get(u, 0), depth.get(x, 0) + 1)
+            waits[u] -= 1
+            if not waits[u]:
+                ready.append(u)
+    if any(waits.values()):
+        raise RuntimeError("a cycle is left in the condensed graph")
+    return pd.DataFrame({"id": pd.Series(list(depth), dtype=object), "depth": pd.Series(list(depth.values()), dtype="int32")})
+
+
 def _merged(scratch: Scratch, parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:

@@ -22,7 +22,7 @@ def edge_totals(spark, sf_dir):
     """Edges of each kind; call sites count one by one."""
     one = lambda df, kind: df.agg(F.count("*").alias("edges")).select(F.lit(kind).alias("kind"), "edges")
     contains = M.symbols(spark, sf_dir).join(M.files(spark, sf_dir).select("file"), "file", "left_semi")
-    return one(contains, "contains").unionByName(one(M.import_edges(spark, sf_dir), "imports")).unionByName(one(_calls(spark, sf_dir), "calls"))
+    return one(contains, "contains").unionByName(one(M.import_edges(spark, sf_dir), "imports")).unionByName(_calls(spark, sf_dir).agg(F.coalesce(F.sum("sites"), F.lit(0)).alias("edges")).select(F.lit("calls").alias("kind"), "edges"))
 
 
 def dependencies_of(spark, sf_dir):
@@ -43,6 +43,7 @@ def _nodes(spark, sf_dir):
     return M.symbols(spark, sf_dir).join(M.files(spark, sf_dir).select("file", "file_ord"), "file")
 
 
+@M.once
 def _calls(spark, sf_dir):
     calls = table(spark, sf_dir, "calls").select("file", "caller", "callee_name", "line").distinct()
     return G.call_edges(calls, _nodes(spark, sf_dir))
@@ -168,7 +169,7 @@ def exact_duplicate_pairs(spark, sf_dir):
 
 
 def call_edges(spark, sf_dir):
-    return _calls(spark, sf_dir).groupBy("src", "dst").agg(F.count("*").alias("sites"))
+    return _calls(spark, sf_dir)
 
 
 def cross_repo_imports(spark, sf_dir):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions.paths import month, normal_path
 from codestrata.operators.orphans import orphan_report, reference_orphans
+from codestrata.plans.model import plain_path_sql
 from codestrata.session import table
 
 
@@ -35,11 +36,7 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _orphan_sql() -> str:
-    path = r"replace(resolved_file, '\', '/')"
-    # Collapses the segments as the operator does, for up to three `..`.
-    plain = f"trim(regexp_replace(regexp_replace({path}, '(^|/)(\\./|/)+', '\\1', 'g'), '/\\.(/|$)', '\\1', 'g'), '/')"
-    for _ in range(3):
-        plain = f"regexp_replace({plain}, '(^|/)([^/.][^/]*|\\.[^/.][^/]*)/\\.\\.(/|$)', '\\1')"
+    plain = plain_path_sql("resolved_file")
     return f"""
 WITH refs AS (
   SELECT 'imports' AS table_name, seen_at, file, line, resolved_file AS ref, {plain} AS key FROM imports

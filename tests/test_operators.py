@@ -1,4 +1,5 @@
 import math
+import random
 from datetime import datetime
 
 import pytest
@@ -55,7 +56,7 @@ def test_calls_and_dead_code(spark):
     symbols = spark.createDataFrame(s, SYMBOL)
     calls = spark.createDataFrame([("a", "a::f", "g"), ("a", "a::f", "g"), ("b", "b::h", "n"), ("b", "b::h", "h"), ("b", "gone", "g"), ("b", None, "g")], "file string, caller string, callee_name string")
     e = graph.call_edges(calls, symbols)
-    assert sorted(tuple(r) for r in e.collect()) == [("a::f", "a::g")] * 2 + [("b::h", f"m{i}::n") for i in range(6)]
+    assert sorted(tuple(r) for r in e.collect()) == [("a::f", "a::g", 2)] + [("b::h", f"m{i}::n", 1) for i in range(6)]
     assert {r.id: r.n for r in graph.in_degree(symbols, e).collect()}["a::g"] == 2
     files = spark.createDataFrame([("a", "Go"), ("b", "Go"), ("s.sh", "Shell")], "file string, language string")
     stems = spark.createDataFrame([("a",)], "stem string")
@@ -66,31 +67,53 @@ def edges(spark, text):
     return spark.createDataFrame([tuple(x.split(">")) for x in text.split()], "src string, dst string")
 
 
-def test_cycles(spark):
+@pytest.mark.parametrize("local", [0, graph.LOCAL_EDGES])
+def test_cycles(spark, local):
+    """Rounds over tables and one task give the same."""
     s = Scratch(spark, "t")
-    got = {tuple(r) for r in graph.strongly_connected(s, edges(spark, "a>b b>c c>a c>d d>e e>f f>d x>a f>y p>q")).collect()}
-    assert got == {("a", "a"), ("b", "a"), ("c", "a"), ("d", "d"), ("e", "d"), ("f", "d")}
-    assert graph.strongly_connected(s, edges(spark, "a>b b>c")).count() == 0
-    long = " ".join(f"n{i:02}>n{i + 1:02}" for i in range(40)) + " n40>n00"
-    assert graph.strongly_connected(s, edges(spark, long)).select("component").distinct().collect()[0].component == "n00"
-
-
-def test_reach_closure_layers(spark):
+    cyc = lambda text: {tuple(r) for r in graph.strongly_connected(s, edges(spark, text), local).collect()}
+    assert cyc("a>b b>c c>a c>d d>e e>f f>d x>a f>y p>q q>q") == {("a", "a"), ("b", "a"), ("c", "a"), ("d", "d"), ("e", "d"), ("f", "d")}
+    assert cyc("a>b b>c") == set()
+    assert graph.strongly_connected(s, edges(spark, "a>b").limit(0), local).count() == 0
+    n = 41 if local == 0 else 3000
+    assert cyc(" ".join(f"n{i:04}>n{(i + 1) % n:04}" for i in range(n))) == {(f"n{i:04}", "n0000") for i in range(n)}
+
+
+def test_components_of_random_graphs():
+    rng = random.Random(7)
+    for _ in range(30):
+        n = rng.randrange(2, 12)
+        pairs = [(f"{rng.randrange(n)}", f"{rng.randrange(n)}") for _ in range(rng.randrange(1, 25))]
+        reach = {(a, b) for a, b in pairs}
+        while more := {(a, d) for a, b in reach for c, d in pairs if b == c} - reach:
+            reach |= more
+        want = {(a, min(x for x in {q for p in pairs for q in p} if x == a or (a, x) in reach and (x, a) in reach)) for a, b in reach if a != b and (b, a) in reach}
+        assert set(graph._components(*map(list, zip(*pairs, strict=True))).itertuples(index=False, name=None)) == want
+
+
+def test_reach_and_closure(spark):
     s = Scratch(spark, "t")
     e = edges(spark, "a>b b>c c>b c>d")
-    assert {tuple(r) for r in graph.reachable(s, e, spark.createDataFrame([("a",)], "id string")).collect()} == {("a", 0), ("b", 1), ("c", 2), ("d", 3)}
+    start = spark.createDataFrame([("a",)], "id string")
+    assert {tuple(r) for r in graph.reachable(s, e, start).collect()} == {("a", 0), ("b", 1), ("c", 2), ("d", 3)}
+    assert {tuple(r) for r in graph.reachable(s, e, start, 1).collect()} == {("a", 0), ("b", 1)}
     assert graph.closure(s, e).count() == 4 + 3 + 3 + 1
-    nodes = spark.createDataFrame([(x,) for x in "abcdz"], "id string")
-    assert {r.id: r.layer for r in tour.layers(s, nodes, edges(spark, "a>b b>c a>c")).collect()} == {"a": 2, "b": 1, "c": 0, "d": 0, "z": 0}
-    assert {r.id: r.layer for r in tour.layers(s, nodes, e).collect()} == {"a": 100, "b": 100, "c": 100, "d": 0, "z": 0}
 
 
-def test_layers_over_cycles(spark):
+def test_reach_has_no_last_hop(spark):
+    n = graph.MERGE + 5
+    chain = edges(spark, " ".join(f"n{i:03}>n{i + 1:03}" for i in range(n))).coalesce(1)
+    got = graph.reachable(Scratch(spark, "t"), chain, spark.createDataFrame([("n000",)], "id string").coalesce(1))
+    assert {r.id: r.hops for r in got.collect()} == {f"n{i:03}": i for i in range(n + 1)}
+
+
+@pytest.mark.parametrize("local", [0, graph.LOCAL_EDGES])
+def test_layers_over_cycles(spark, local):
     s = Scratch(spark, "t")
     nodes = spark.createDataFrame([(x,) for x in "abcdefz"], "id string")
-    got = tour.condensed_layers(s, nodes, edges(spark, "a>b b>c c>b c>d e>a f>d f>f f>gone"))
+    got = tour.condensed_layers(s, nodes, edges(spark, "a>b b>c c>b c>d e>a f>d f>f f>gone"), local)
     assert sorted(tuple(r) for r in got.collect()) == [("a", 2), ("b", 1), ("c", 1), ("d", 0), ("e", 3), ("f", 1), ("z", 0)]
-    assert tour.condensed_layers(s, nodes.limit(0), edges(spark, "a>b")).count() == 0
+    assert tour.condensed_layers(s, nodes.limit(0), edges(spark, "a>b"), local).count() == 0
 
 
 def test_tour_order_keeps_places_above_a_cycle(spark, tmp_path):
@@ -100,11 +123,12 @@ def test_tour_order_keeps_places_above_a_cycle(spark, tmp_path):
     assert {tuple(r) for r in views.tour_order(spark, str(tmp_path)).collect()} == {("r/d", 0), ("r/b", 1), ("r/c", 1), ("r/a", 2)}
 
 
-def test_layers_deeper_than_a_hundred(spark):
-    nodes = spark.createDataFrame([(f"n{i:03}",) for i in range(105)], "id string").coalesce(1)
-    chain = edges(spark, " ".join(f"n{i + 1:03}>n{i:03}" for i in range(104))).coalesce(1)
-    got = tour.condensed_layers(Scratch(spark, "t"), nodes, chain)
-    assert {r.id: r.layer for r in got.collect()} == {f"n{i:03}": i for i in range(105)}
+def test_layers_of_any_depth(spark):
+    for n, local in ((1000, graph.LOCAL_EDGES), (45, 0)):
+        nodes = spark.createDataFrame([(f"n{i:03}",) for i in range(n)], "id string").coalesce(1)
+        chain = edges(spark, " ".join(f"n{i + 1:03}>n{i:03}" for i in range(n - 1))).coalesce(1)
+        got = tour.condensed_layers(Scratch(spark, "t"), nodes, chain, local)
+        assert {r.id: r.layer for r in got.collect()} == {f"n{i:03}": i for i in range(n)}
 
 
 def test_cohesion_and_communities(spark):
