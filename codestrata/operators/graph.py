@@ -228,13 +228,22 @@ def closure(scratch: Scratch, edges: DataFrame) -> DataFrame:
         n = now
 
 
-def cohesion(scratch: Scratch, accesses: DataFrame, methods: DataFrame) -> DataFrame:
+def cohesion(scratch: Scratch, accesses: DataFrame, methods: DataFrame, local_rows: int = LOCAL_EDGES) -> DataFrame:
     """(parent, methods, components): classes whose methods fall into two or more groups that share no field.
 
     accesses: method, field_name; methods: id, parent. The smallest method id flows through shared fields to a
-    fixpoint, for all classes at once. Methods without field accesses are not tracked.
+    fixpoint, for all classes at once; `local_rows` accesses or fewer are grouped in one task, with the same result.
+    Methods without field accesses are not tracked.
     """
     used = scratch.write(accesses.join(methods.where("parent IS NOT NULL").select(F.col("id").alias("method"), "parent"), "method").select("parent", "method", "field_name").distinct(), "used")
+    if used.count() <= local_rows:
+        labels = used.repartition(1).mapInPandas(_grouped, "parent string, method string, label string")
+    else:
+        labels = _label_flow(scratch, used)
+    return labels.groupBy("parent").agg(F.count("*").alias("methods"), F.countDistinct("label").alias("components")).where("methods >= 2 AND components >= 2")
+
+
+def _label_flow(scratch: Scratch, used: DataFrame) -> DataFrame:
     labels = scratch.write(used.select("parent", "method").distinct().withColumn("label", F.col("method")), "labels")
     while True:
         field = used.join(labels, ["parent", "method"]).groupBy("parent", "field_name").agg(F.min("label").alias("f"))
@@ -244,8 +253,27 @@ def cohesion(scratch: Scratch, accesses: DataFrame, methods: DataFrame) -> DataF
         scratch.drop(labels)
         labels = new
         if not moving:
-            break
-    return labels.groupBy("parent").agg(F.count("*").alias("methods"), F.countDistinct("label").alias("components")).where("methods >= 2 AND components >= 2")
+            return labels
+
+
+def _grouped(batches):
+    """(parent, method, label) of the accesses of one partition: the smallest method that shared fields lead to."""
+    up: dict[tuple[str, str], tuple[str, str]] = {}
+
+    def root(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    first: dict[tuple[str, str], tuple[str, str]] = {}
+    for pdf in batches:
+        for parent, method, name in pdf[["parent", "method", "field_name"]].itertuples(index=False):
+            x = (parent, method)
+            up.setdefault(x, x)
+            a, b = root(x), root(first.setdefault((parent, name), x))
+            up[max(a, b)] = min(a, b)
+    yield pd.DataFrame([(*x, root(x)[1]) for x in up], columns=["parent", "method", "label"], dtype=object)
 
 
 def communities(scratch: Scratch, edges: DataFrame, levels: int = 50, rounds: int = 200) -> DataFrame:

@@ -70,6 +70,14 @@ def coverage_markers(coverage: DataFrame, hot: DataFrame, dependents: DataFrame,
     return x.select("file", F.lit(None).cast("string").alias("symbol"), F.lit(None).cast("int").alias("line"), "kind", "detail")
 
 
+def text_markers(markers: DataFrame, hot: DataFrame) -> DataFrame:
+    """Findings of the markers (symbol_id, kind, line, name) that extraction emits; a synchronous call is one only in a file of `hot` (file). Kinds without a penalty fire nothing."""
+    x = markers.withColumn("file", F.regexp_extract("symbol_id", "^(.*?)::", 1)).join(hot.select("file", F.lit(True).alias("hot")).distinct(), "file", "left")
+    kind = F.when(F.col("kind") != "sync-io", F.col("kind")).when(F.col("hot"), F.lit("hot-path-sync-io"))
+    x = x.select("file", F.col("symbol_id").alias("symbol"), F.col("line").cast("int").alias("line"), kind.alias("kind"), F.col("name").alias("detail"))
+    return x.where(F.col("kind").isin(*PENALTIES))
+
+
 def score_files(files: DataFrame, findings: DataFrame, penalties: DataFrame) -> DataFrame:
     """(file, score, findings): ten less the penalties of a file's findings, within 0 and 10. Findings of unknown kinds cost nothing."""
     cost = findings.join(F.broadcast(penalties), "kind", "left").groupBy("file").agg(F.sum(F.coalesce("penalty", F.lit(0.0))).alias("cost"), F.count("*").alias("findings"))  # a row per kind of finding

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from codestrata.extract.run import extracted, table_of
 from codestrata.operators import coverage as C
 from codestrata.operators import health as H
-from codestrata.plans import graph, history
+from codestrata.plans import extraction, graph, history, known
 from codestrata.plans import model as M
 from codestrata.session import table
 
@@ -53,12 +54,17 @@ def coverage_report(spark, sf_dir):
 
 
 def coverage_markers(spark, sf_dir):
-    dependents = graph.dependents_of(spark, sf_dir).select("file", F.size(F.split("dependents", ",")).alias("dependents"))
+    dependents = M.import_edges(spark, sf_dir).groupBy(F.col("dst").alias("file")).agg(F.count("*").alias("dependents"))
     return _flat(H.coverage_markers(coverage_ratio(spark, sf_dir), history.hot_paths(spark, sf_dir), dependents, {"dependents": 1}))
 
 
 def findings(spark, sf_dir):
-    """All findings of the kinds that these tables can show."""
+    """All findings of the kinds that the model tables can show. What several branches of the plan read is written once."""
+    with M.shared(spark):
+        return _findings(spark, sf_dir)
+
+
+def _findings(spark, sf_dir):
     s = M.symbols(spark, sf_dir)
     dead = graph.dead_code(spark, sf_dir).join(s.select("id", "file", F.col("start_line").alias("line")), "id")
     dup = graph.duplicate_code(spark, sf_dir).join(s.select("id", "file", F.col("start_line").alias("line")), "id")
@@ -81,6 +87,28 @@ def findings_by_kind(spark, sf_dir):
     return findings(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("findings"))
 
 
+def text_findings(spark, sf_dir):
+    """Findings that the texts themselves show: loops, locks, asynchronous code, queries, reduce; and synchronous calls on the hot path."""
+    return H.text_markers(extraction.extract_markers(spark, sf_dir), history.hot_paths(spark, sf_dir))
+
+
+def findings_with_texts(spark, sf_dir):
+    """Findings of all kinds."""
+    return findings(spark, sf_dir).unionByName(_flat(text_findings(spark, sf_dir)))
+
+
+def health_with_texts(spark, sf_dir):
+    """Scores over findings of all kinds."""
+    return H.score_files(M.files(spark, sf_dir), findings_with_texts(spark, sf_dir), H.weights(spark)).select("file", "score", "findings")
+
+
+def known_markers(spark, sf_dir):
+    """Findings in the texts of `known`, of which one file is on the hot path."""
+    texts = spark.createDataFrame(known.TEXTS, "file string, language string, text string")
+    hot = spark.createDataFrame([(known.HOT,)], "file string")
+    return _flat(H.text_markers(table_of(extracted(texts), "markers"), hot))
+
+
 def health_score(spark, sf_dir):
     return H.score_files(M.files(spark, sf_dir), findings(spark, sf_dir), H.weights(spark)).select("file", "score", "findings")
 
@@ -127,7 +155,7 @@ found AS (SELECT * FROM fm UNION ALL SELECT * FROM om UNION ALL SELECT * FROM nm
 _W = "w(kind, penalty) AS (VALUES " + ", ".join(f"('{k}', CAST({v} AS DOUBLE))" for k, v in H.PENALTIES.items()) + ")"
 _SCORES = "sc AS (SELECT f.file, f.lines, round(greatest(0.0, least(10.0, 10.0 - coalesce(cost, 0.0))), 6) AS score, coalesce(n, 0) AS findings FROM files_now f LEFT JOIN (SELECT file, sum(coalesce(penalty, 0)) AS cost, count(*) AS n FROM found LEFT JOIN w USING (kind) GROUP BY file) USING (file))"
 
-QUERIES = {f.__name__: f for f in (function_markers, org_markers, near_duplicate_markers, coverage_ratio, coverage_report, coverage_markers, findings, findings_by_kind, health_score, health_report, score_weights, worst_files)}
+QUERIES = {f.__name__: f for f in (function_markers, org_markers, near_duplicate_markers, coverage_ratio, coverage_report, coverage_markers, findings, findings_by_kind, text_findings, findings_with_texts, health_with_texts, known_markers, health_score, health_report, score_weights, worst_files)}
 SQL = {
     "function_markers": M.sql("SELECT * FROM fm", _FN),
     "org_markers": M.sql("SELECT * FROM om", *history.HISTORY_SQL, _ORGM),
@@ -139,6 +167,7 @@ SQL = {
     "findings_by_kind": M.sql("SELECT kind, count(*) AS findings FROM found GROUP BY 1", *_ALL),
     "health_score": M.sql("SELECT file, score, findings FROM sc", *_ALL, _W, _SCORES),
     "health_report": M.sql("SELECT count(*) AS files, round(coalesce(avg(score), 10), 6) AS average, round(CASE WHEN sum(lines) > 0 THEN sum(score * lines) / sum(lines) ELSE avg(score) END, 6) AS by_lines FROM sc", *_ALL, _W, _SCORES),
+    "known_markers": "SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{s}', {ln}, '{k}', '{d}')" for f, s, ln, k, d in known.FINDINGS) + ") AS t(file, symbol, line, kind, detail)",
     "score_weights": f"WITH {_W} SELECT * FROM w",
     "worst_files": M.sql("SELECT file, score, findings FROM sc ORDER BY score, findings DESC, file LIMIT 50", *_ALL, _W, _SCORES),
 }

@@ -13,9 +13,19 @@ def _both(spark, sf_dir):
     return M.commits(spark, sf_dir), M.commit_files(spark, sf_dir)
 
 
+@M.once
+def _history(spark, sf_dir):
+    return H.file_history(*_both(spark, sf_dir), M.NOW)
+
+
+@M.once
+def _pairs(spark, sf_dir):
+    """Pairs of files that change together three times or more."""
+    return H.co_changes(M.commit_files(spark, sf_dir), 3)
+
+
 def churn_by_file(spark, sf_dir):
-    h = H.file_history(*_both(spark, sf_dir), M.NOW)
-    return h.select("file", "churn", F.round("decayed_churn", 6).alias("decayed_churn"), "fixes", "authors")
+    return _history(spark, sf_dir).select("file", "churn", F.round("decayed_churn", 6).alias("decayed_churn"), "fixes", "authors")
 
 
 def last_touch(spark, sf_dir):
@@ -27,7 +37,7 @@ def _complexity(spark, sf_dir):
 
 
 def _hotspots(spark, sf_dir):
-    h = H.file_history(*_both(spark, sf_dir), M.NOW)
+    h = _history(spark, sf_dir)
     live = M.files(spark, sf_dir).select("repo", "file")
     x = live.join(h, "file").join(_complexity(spark, sf_dir), "file", "left").withColumn("complexity", F.coalesce("complexity", F.lit(0)))
     return x.select("repo", "file", "churn", "complexity", (F.col("churn") * F.col("complexity")).alias("score"), F.round(F.col("decayed_churn") * F.col("complexity"), 4).alias("decayed_score"))
@@ -51,7 +61,7 @@ def hot_paths(spark, sf_dir):
 
 def cochange_pairs(spark, sf_dir):
     """The 100 pairs that change together most often, three times at least."""
-    return H.co_changes(M.commit_files(spark, sf_dir), 3).orderBy(F.col("count").desc(), "file_a", "file_b").limit(100)
+    return _pairs(spark, sf_dir).orderBy(F.col("count").desc(), "file_a", "file_b").limit(100)
 
 
 def workspace_cochanges(spark, sf_dir):
@@ -72,14 +82,14 @@ def coupled_files(spark, sf_dir):
 
 
 def cochange_partner_count(spark, sf_dir):
-    return H.both_ways(H.co_changes(M.commit_files(spark, sf_dir), 3)).groupBy("file").agg(F.count("*").alias("partners"))
+    return H.both_ways(_pairs(spark, sf_dir)).groupBy("file").agg(F.count("*").alias("partners"))
 
 
 def hidden_coupling(spark, sf_dir):
     """Pairs that change together three times or more though neither imports the other."""
     edges = M.import_edges(spark, sf_dir)
     linked = edges.select(F.least("src", "dst").alias("file_a"), F.greatest("src", "dst").alias("file_b")).distinct()
-    return H.co_changes(M.commit_files(spark, sf_dir), 3).join(linked, ["file_a", "file_b"], "left_anti")
+    return _pairs(spark, sf_dir).join(linked, ["file_a", "file_b"], "left_anti")
 
 
 def ownership_share(spark, sf_dir):
@@ -110,8 +120,7 @@ def recent_authors(spark, sf_dir):
 
 def org_signals(spark, sf_dir):
     """Per file: churn, fixes, bus factor, partners and recent authors; 0 where there is none."""
-    commits, touched = _both(spark, sf_dir)
-    x = H.file_history(commits, touched, M.NOW).select("file", "churn", "fixes")
+    x = _history(spark, sf_dir).select("file", "churn", "fixes")
     for other, column in ((bus_factor(spark, sf_dir), "bus_factor"), (cochange_partner_count(spark, sf_dir), "partners"), (recent_authors(spark, sf_dir), "recent_authors")):
         x = x.join(other, "file", "left").withColumn(column, F.coalesce(column, F.lit(0)))
     return x

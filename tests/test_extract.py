@@ -3,48 +3,9 @@ from pyspark.sql import functions as F
 from codestrata.extract import lexical, python
 from codestrata.extract import manifests as M
 from codestrata.extract.run import extracted, light_imports, table_of
+from codestrata.plans import known
 
-PY = '''import os
-from . import sib
-import pandas as pd
-
-class A:
-    def m(self, a: int, b: str, c: bool):
-        """doc"""
-        self.x = a
-        if a and b and c or os.sep:
-            for i in b:
-                for j in b:
-                    print(self.x)
-        return helper(a)
-
-def helper(a, *rest, k=1):
-    out = ""
-    seen = []
-    for r in rest:
-        out += r
-        if r in seen:
-            continue
-        f.read()
-        x = json.loads(r)
-        re.compile(r)
-        seen.insert(0, r)
-        df = pd.concat([df, r])
-        pool = Pool(3)
-        while lock.acquire():
-            f.write(r)
-    with my_lock:
-        f.readline()
-    sql = "SELECT * FROM a, b, c WHERE a.x = b.x"
-    return out
-
-async def go(xs):
-    time.sleep(1)
-    for x in xs:
-        await fetch(x)
-    for x in xs:
-        await gather(x)
-'''
+PY = known.PYTHON
 
 
 def test_python():
@@ -81,70 +42,7 @@ def test_lexical():
     assert lexical.extract("Other", "f", "x") is None
 
 
-RS = '''use std::fs;
-
-async fn go(items: &Vec<u32>, names: Vec<String>) -> u32 {
-    let mut seen = Vec::new();
-    let text = fs::read_to_string("a").await;
-    fs::write("a", "b");
-    if a && b && c || d {
-        return 1;
-    }
-    for x in items.iter() {
-        for y in items {
-            file.read_line(&mut buf);
-        }
-        if seen.contains(x) { continue; }
-        seen.insert(0, x);
-        out.push_str("x");
-        total += 1;
-        let c = Client::new();
-        let re = Regex::new("x");
-        let v: u32 = serde_json::from_str("1");
-        state.lock();
-        fetch(x).await;
-        join_all(x).await;
-        let f = |z| { file.recv() };
-    }
-    let guard = m.lock().unwrap();
-    db.execute("SELECT * FROM a, b, c WHERE a.x = b.x");
-    4
-}
-
-fn quiet(xs: Vec<u32>) -> u32 {
-    let set = HashSet::new();
-    for x in xs { set.contains(x); }
-    // for y in xs { file.read_line() }
-    0
-}
-'''
-TS = '''export async function go(items: string[]): Promise<number> {
-    const known = ["a"];
-    const open = new Set(known);
-    for (const x of items) {
-        if (known.includes(x) || open.has(x)) continue;
-        const y = JSON.parse(x);
-        const p = new Pool(3);
-        const r = new RegExp(x);
-        text += x;
-        await fetch(x);
-        await Promise.all(x);
-        lock.acquire();
-        while (a && b && c && d) {
-            db.query("select 1 from t1, t2");
-        }
-        items.forEach((q) => { readFile(q); });
-    }
-    for (let i = 0; i < 3; i++) for (const z of items) { n = n + 1; }
-    do { step(); } while (open);
-    readFileSync("x");
-    return items.reduce((acc, x) => [...acc, x], []);
-}
-
-function quiet(xs) {
-    return xs.reduce((acc, x) => acc.concat(x), []).filter((x) => x > 1);
-}
-'''
+RS, TS = known.RUST, known.TYPESCRIPT
 
 
 def test_markers_of_rust_and_scripts():

@@ -135,7 +135,7 @@ def test_cohesion_and_communities(spark):
     s = Scratch(spark, "t")
     acc = spark.createDataFrame([("m1", "x"), ("m2", "x"), ("m2", "y"), ("m3", "y"), ("m4", "z"), ("n1", "q"), ("n2", "q")], "method string, field_name string")
     meth = spark.createDataFrame([(m, "A" if m[0] == "m" else "B") for m in ("m1", "m2", "m3", "m4", "n1", "n2")], "id string, parent string")
-    assert [tuple(r) for r in graph.cohesion(s, acc, meth).collect()] == [("A", 4, 2)]
+    assert [tuple(r) for local in (0, 100) for r in graph.cohesion(s, acc, meth, local).collect()] == [("A", 4, 2)] * 2
     two = edges(spark, "a>b b>c c>a x>y y>z z>x a>x")
     got = {r.id: r.community for r in graph.communities(s, two).collect()}
     assert got == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x", "z": "x"}
