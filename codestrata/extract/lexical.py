@@ -46,6 +46,9 @@ _NO_CALL = frozenset("if for while switch catch return function func fn def size
 _SHELL_CALL = re.compile(r"(?m)^[ \t]*([A-Za-z_][\w-]*)(?=[ \t]|$)")
 _SHELL_WORDS = frozenset("if then else elif fi for while until do done case esac in function return local export set echo exit shift read cd printf test".split())
 _FIELD = re.compile(r"\b(?:this|self|s)\.(\w+)\b(?!\s*\()")
+# A parameter whose whole type is a primitive one, references aside.
+_PRIMITIVE = r"(?:int|long|short|char|float|double|bool|boolean|string|String|str|number|byte|usize|isize|[iuf](?:8|16|32|64|128))"
+_BARE = re.compile(rf"(?:mut\s+)?\w+\s*\??:\s*(?:&\s*(?:'\w+\s+)?(?:mut\s+)?)?{_PRIMITIVE}(?:\s*=.*)?|(?:(?:final|const|unsigned|signed)\s+)*{_PRIMITIVE}\s+\w+|\w+\s+{_PRIMITIVE}", re.S)
 _DEFER, _SPAWN = re.compile(r"\bdefer\s+([\w.]+)"), re.compile(r"\bgo\s+(func\b|[\w.]+)")
 CONTAINERS = ("Class", "Struct", "Interface", "Trait", "Impl", "Enum")
 
@@ -132,7 +135,7 @@ def extract(language: str, file: str, text: str) -> dict[str, list[tuple]] | Non
             body = code[a:b]
             head = re.search(r"\(([^)]*)\)", body[: body.find("{") if "{" in body else None])
             params = [p for p in (head[1].split(",") if head else []) if p.strip() and p.strip().lstrip("&").replace("mut ", "") not in ("self", "void")]
-            prim = sum(bool(re.search(r"\b(?:int|long|short|char|float|double|bool|boolean|string|String|str|number|usize|[iu](?:8|16|32|64|128))\b", p)) for p in params)
+            prim = sum(bool(_BARE.fullmatch(p.strip())) for p in params)
             flat = " ".join(" ".join(lines[start:end]).split())
             m = (*_metrics(body, words), len(params), prim, xxhash.xxh64_intdigest(flat) - (1 << 63) if end - start >= 3 else None)
             funcs.append((a, b, sid))

@@ -159,27 +159,53 @@ def dbt_lineage(file: str, text: str) -> list[tuple]:
 METHODS = ("get", "put", "post", "delete", "options", "head", "patch", "trace")
 
 
+_YAML_PAIR = re.compile(r"""^(['"]?)((?:(?!\1)[^:]|:(?=\S))+?|[^'"]+?)\1\s*:(?:\s+(.*?)|)\s*$""")
+
+
 def _yaml(text: str):
-    """Mappings, plain scalars and lists of scalars by indentation, which is what service descriptions need here."""
-    root: dict = {}
-    stack = [(-1, root)]
+    """Mappings, lists and plain scalars by indentation, which is what service descriptions need here."""
+    lines = []
     for x in text.splitlines():
-        if not x.strip() or x.lstrip().startswith(("#", "- ", "---")):
-            continue
-        m = re.match(r"^(\s*)(['\"]?)([^'\":]+|[^'\"]+?)\2\s*:\s*(.*?)\s*$", x)
-        if not m:
-            continue
-        depth = len(m[1])
-        while stack[-1][0] >= depth:
-            stack.pop()
-        value = m[4].strip("'\"")
-        if m[4]:
-            stack[-1][1][m[3]] = value
-        else:
-            child: dict = {}
-            stack[-1][1][m[3]] = child
-            stack.append((depth, child))
-    return root
+        body = re.sub(r"\s+#.*$", "", x).rstrip()
+        if body.strip() and not body.lstrip().startswith(("#", "---")):
+            lines.append((len(body) - len(body.lstrip()), body.strip()))
+
+    def plain(v: str):
+        return v.strip("'\"")
+
+    def block(at: int, depth: int):
+        """The value that begins at a line of some depth, and the line behind it."""
+        out = [] if lines[at][1] == "-" or lines[at][1].startswith("- ") else {}
+        while at < len(lines) and lines[at][0] == depth:
+            body = lines[at][1]
+            is_item = body == "-" or body.startswith("- ")
+            if is_item != isinstance(out, list):
+                break
+            if is_item:
+                rest = body[1:].lstrip()
+                if _YAML_PAIR.match(rest):  # a mapping whose first pair stands behind the hyphen
+                    lines[at] = (depth + len(body) - len(rest), rest)
+                    value, at = block(at, lines[at][0])
+                else:
+                    at += 1
+                    value = plain(rest)
+                    if not rest and at < len(lines) and lines[at][0] > depth:
+                        value, at = block(at, lines[at][0])
+                out.append(value)
+                continue
+            m = _YAML_PAIR.match(body)
+            at += 1
+            if not m:
+                continue
+            value = plain(m[3] or "")
+            if not m[3] and at < len(lines) and (lines[at][0] > depth or lines[at][0] == depth and lines[at][1].startswith("-")):
+                value, at = block(at, lines[at][0])
+            out[plain(m[2])] = value if m[3] or not isinstance(value, str) else {}
+        while at < len(lines) and lines[at][0] > depth:
+            at += 1  # deeper lines that belong to nothing
+        return out, at
+
+    return block(0, lines[0][0])[0] if lines else {}
 
 
 def openapi(file: str, text: str) -> list[tuple]:

@@ -56,9 +56,16 @@ def assign(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     return x.where("ties = 1").select("repo", "file", "term", "weight")
 
 
-def containers(files: DataFrame) -> DataFrame:
-    """(repo, dir, files, share): top directories that hold nearly all of a repo's files."""
+def containers(files: DataFrame, least: float = CONTAINER_SHARE) -> DataFrame:
+    """(repo, depth, dir, files, share): the leading directories that nearly all of a repo's files are in.
+
+    At each depth, from 0, the most frequent directory name counts (ties: the smaller one) if its share of all files is
+    `least` or more; the first depth without one ends the peeling.
+    """
     inner = F.regexp_replace("file", r"^[^/]*/", "")
-    top = files.where(F.contains(inner, F.lit("/"))).select("repo", F.substring_index(inner, "/", 1).alias("dir"))
-    n = top.groupBy("repo", "dir").agg(F.count("*").alias("files")).join(files.groupBy("repo").agg(F.count("*").alias("all")), "repo")
-    return n.select("repo", "dir", "files", (F.col("files") / F.col("all")).alias("share"))
+    parts = F.split(inner, "/")
+    dirs = files.select("repo", F.posexplode(F.slice(parts, F.lit(1), F.size(parts) - 1)).alias("depth", "dir")).groupBy("repo", "depth", "dir").agg(F.count("*").alias("files"))
+    most = dirs.groupBy("repo", "depth").agg(F.min(F.struct((-F.col("files")).alias("n"), "dir")).alias("m")).select("repo", "depth", F.col("m.dir").alias("dir"), (-F.col("m.n")).alias("files"))
+    x = most.join(files.groupBy("repo").agg(F.count("*").alias("all")), "repo").withColumn("share", F.col("files") / F.col("all")).where(F.col("share") >= least)
+    chain = F.row_number().over(Window.partitionBy("repo").orderBy("depth")) - 1  # a row per depth of a path
+    return x.withColumn("chain", chain).where("chain = depth").select("repo", "depth", "dir", "files", "share")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tomllib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,11 @@ def weights(spark: SparkSession, overrides: dict[str, float] | None = None) -> D
     return spark.createDataFrame(list((PENALTIES | overrides).items()), "kind string, penalty double")
 
 
+def weights_from_toml(spark: SparkSession, text: str) -> DataFrame:
+    """(kind, penalty) with the overrides of a TOML text of `kind = penalty` lines, hyphens or underscores in kinds."""
+    return weights(spark, {k.replace("_", "-"): float(v) for k, v in tomllib.loads(text).items()})
+
+
 def finding(df: DataFrame, kind: str, file="file", symbol=None, line=None, detail=None) -> DataFrame:
     nothing = lambda t: F.lit(None).cast(t)
     return df.select(

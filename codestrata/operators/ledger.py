@@ -2,22 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codestrata.operators.ranking import positions
+from codestrata.session import Scratch
+
 AHEAD = 3
 
 
-def fumbles(runs: DataFrame, who: str, least: int = 1) -> DataFrame:
-    """(program, fumbles): failed runs that the same program made good within its user's next AHEAD runs.
+RUNS = ("distilled", "ran")  # kinds of records that are runs
+
+
+def observed(records: DataFrame) -> DataFrame:
+    """One row: how many records (kind, exit_code) are runs whose end is known."""
+    return records.agg(F.count_if(F.col("kind").isin(*RUNS) & F.col("exit_code").isNotNull()).alias("runs"))
+
+
+def fumbles(scratch: Scratch, runs: DataFrame, who: str, least: int = 1) -> DataFrame:
+    """(program, fumbles, exit_codes): failed runs that the same program made good within its user's next AHEAD runs, and the sorted codes they ended with.
 
-    runs: who, at, program, exit_code, ord; a NULL exit code is unknown: neither failed nor good. ord tells rows of a time apart.
+    runs: who, at, program, exit_code, ord, and kind if not all are runs; a NULL exit code is unknown: neither failed nor good. ord
+    tells rows of a time apart. A run's place among its user's comes from a range-partitioned sort, so that one user may hold any share of the
+    runs; failures are joined with the good runs of the next places.
     """
-    w = Window.partitionBy(who).orderBy("at", "ord").rowsBetween(1, AHEAD)
-    ahead = F.collect_list(F.struct("program", "exit_code")).over(w)
-    x = runs.withColumn("ahead", ahead).where("exit_code IS NOT NULL AND exit_code <> 0")
-    good = F.exists("ahead", lambda r: (r["program"] == F.col("program")) & (r["exit_code"] == 0))
-    return x.where(good).groupBy("program").agg(F.count("*").alias("fumbles")).where(F.col("fumbles") >= least)
+    x = runs.where(F.col("kind").isin(*RUNS)) if "kind" in runs.columns else runs
+    placed = scratch.write(positions(scratch, x.select(who, "at", "ord", "program", "exit_code"), who, [F.col("at").asc(), F.col("ord").asc()], "place"), "places")
+    bad = placed.where("exit_code IS NOT NULL AND exit_code <> 0")
+    next_ = bad.select(who, "program", "place", "exit_code", F.explode(F.sequence(F.col("place") + 1, F.col("place") + AHEAD)).alias("then"))
+    good = placed.where("exit_code = 0").select(who, "program", F.col("place").alias("then"))
+    made = next_.join(good, [who, "program", "then"], "left_semi").select(who, "program", "place", "exit_code").distinct()
+    return made.groupBy("program").agg(F.count("*").alias("fumbles"), F.array_sort(F.collect_set("exit_code")).alias("exit_codes")).where(F.col("fumbles") >= least)
 
 
 def savings(records: DataFrame, by: list[str]) -> DataFrame:

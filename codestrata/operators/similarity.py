@@ -99,3 +99,14 @@ def keyword_retrieval(docs: DataFrame, words: list[str], key: str, text: str = "
     for w in use:
         hit = hit | F.contains(F.lower(text), F.lit(w))
     return docs.where(hit).select(key).orderBy(key).limit(limit)
+
+
+def retrieve(docs: DataFrame, words: list[str], key: str, vectors: DataFrame | None = None, query: DataFrame | None = None, limit: int = 10) -> DataFrame:
+    """(key, rank, how): the nearest documents by vector (id, vec) to the one query (query_id, query_vec), or, where there are no vectors or no query, the first that hold a word.
+
+    `how` is `semantic` or `keyword`, so that a reader knows which search answered.
+    """
+    if vectors is not None and query is not None and not vectors.isEmpty() and not query.isEmpty():
+        return nearest(vectors, query, limit).select(F.col("id").alias(key), "rank", F.lit("semantic").alias("how"))
+    hits = keyword_retrieval(docs, words, key, limit=limit)
+    return hits.withColumn("rank", F.row_number().over(Window.orderBy(key))).withColumn("how", F.lit("keyword"))  # `limit` rows

@@ -133,14 +133,25 @@ def sections(texts: DataFrame, key: str, heading: str = r"^(#{1,6})\s+(.*\S)\s*$
 
 
 def decision_files(texts: DataFrame, key: str) -> DataFrame:
-    """(key, number, title, status, superseded_by): records of the form `# n. Title` with a last `Status:` line; titles in angle brackets are templates."""
+    """(key, number, title, status, date, superseded_by): records of the form `# n. Title` with a last `Status:` and a last `Date:` line; titles in angle brackets are templates."""
     head = r"(?m)^# *(?:ADR[- ]?)?(\d+)[.:]\s*(.*\S)\s*$"
     status = F.element_at(F.regexp_extract_all("text", F.lit(r"(?m)^Status: *(.*\S) *$"), F.lit(1)), -1)
-    x = texts.where(F.col("text").rlike(head)).select(key, F.regexp_extract("text", head, 1).cast("int").alias("number"), F.regexp_extract("text", head, 2).alias("title"), F.when(F.col("text").rlike(r"(?m)^Status: *\S"), status).alias("status"))
+    date = F.element_at(F.regexp_extract_all("text", F.lit(r"(?m)^Date: *(.*\S) *$"), F.lit(1)), -1)
+    x = texts.where(F.col("text").rlike(head)).select(key, F.regexp_extract("text", head, 1).cast("int").alias("number"), F.regexp_extract("text", head, 2).alias("title"), F.when(F.col("text").rlike(r"(?m)^Status: *\S"), status).alias("status"), F.when(F.col("text").rlike(r"(?m)^Date: *\S"), date).alias("date"))
     by = F.regexp_extract("status", r"(?i)superseded by[^0-9]*(\d+)", 1)
     return x.where("title NOT LIKE '<%'").withColumn("superseded_by", F.when(by != "", by.cast("int")))
 
 
+CHANGE_SECTIONS = ("changed", "removed", "deprecated", "security")  # fixed values: sections of a changelog that hold decisions
+
+
+def changelog_decisions(texts: DataFrame, key: str) -> DataFrame:
+    """(key, line, title, body): each section of a changelog, headed `### `, on what was changed, removed, deprecated or secured, down to the next heading."""
+    x = sections(texts, key).where((F.col("level") == 3) & F.lower("title").isin(*CHANGE_SECTIONS))
+    kept = F.filter(F.transform(F.split("body", "\n"), F.trim), lambda v: v != "")
+    return x.select(key, "line", F.concat(F.initcap("title"), F.lit(": "), F.coalesce(F.get(kept, F.lit(0)), F.lit(""))).alias("title"), F.array_join(kept, "\n").alias("body"))
+
+
 CONFIDENCE_ORDER = ("inferred", "readme", "comment", "changelog", "commit", "pull-request", "inline-marker", "manual", "decision-file")
 
 
@@ -152,10 +163,30 @@ def confidence(source: Column) -> Column:
     return out
 
 
-def link_decisions(decisions: DataFrame, names: DataFrame) -> DataFrame:
-    """(id, target): decisions (id, body) and the names (name, target) they mention as whole words of four letters or more.
+SOURCES = ("decision-file", "commit", "pull-request", "comment", "inline-marker", "changelog", "readme", "inferred", "manual")
+
+
+def decisions(mined: dict[str, DataFrame]) -> DataFrame:
+    """(id, title, source, confidence): the decisions (id, title) of each of SOURCES that is given, in that order."""
+    if unknown := set(mined) - set(SOURCES):
+        raise ValueError(f"no such sources: {sorted(unknown)}")
+    out = None
+    for source in (s for s in SOURCES if s in mined):
+        one = mined[source].select(F.col("id").cast("string").alias("id"), "title", F.lit(source).alias("source"), F.round(confidence(F.lit(source)), 4).alias("confidence"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def link_decisions(decisions: DataFrame, names: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+    """(id, target): decisions (id, body), the names (name, target) they mention as whole words of four letters or more, and the paths (path, target) of four or more that they hold.
 
-    Words are exploded and joined by equality; no text is compared with every name.
+    Words are exploded and joined by equality, a path by the first word of its last part, and only then looked for in
+    full; no text is compared with every name. A path without directories must begin a word.
     """
-    word = decisions.select("id", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"[\p{L}\p{N}_]{4,}"), F.lit(0)))).alias("name"))
-    return word.join(names.where(F.length("name") >= 4).select("name", "target"), "name").select("id", "target").distinct()
+    word = decisions.select("id", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("name"))
+    out = word.join(names.where(F.length("name") >= 4).select("name", "target"), "name").select("id", "target")
+    if paths is not None:
+        by = paths.where(F.length("path") > 3).select("path", "target", F.regexp_extract("path", r"([\p{L}\p{N}_]+)[^/]*$", 1).alias("name")).where("name <> ''")
+        near = word.join(by, "name").select("id", "path", "target").distinct()
+        out = out.unionByName(near.join(decisions.select("id", "body"), "id").where(F.contains("body", F.col("path"))).select("id", "target"))
+    return out.distinct()

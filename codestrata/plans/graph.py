@@ -26,13 +26,13 @@ def edge_totals(spark, sf_dir):
 
 
 def dependencies_of(spark, sf_dir):
-    """Files and how many distinct files they import."""
-    return M.import_edges(spark, sf_dir).groupBy(F.col("src").alias("file")).agg(F.count("*").alias("dependencies"))
+    """Files and each file they import."""
+    return M.import_edges(spark, sf_dir).select(F.col("src").alias("file"), F.col("dst").alias("dependency"))
 
 
 def dependents_of(spark, sf_dir):
-    """Files with the sorted list of those that import them."""
-    return M.import_edges(spark, sf_dir).groupBy(F.col("dst").alias("file")).agg(F.array_join(F.array_sort(F.collect_list("src")), ",").alias("dependents"))
+    """Files and each file that imports them; a popular target's may be any number."""
+    return M.import_edges(spark, sf_dir).select(F.col("dst").alias("file"), F.col("src").alias("dependent"))
 
 
 def top_depended(spark, sf_dir):
@@ -58,6 +58,13 @@ def dead_code(spark, sf_dir):
     return G.dead_code(_nodes(spark, sf_dir), _calls(spark, sf_dir), M.files(spark, sf_dir), loose)
 
 
+def dead_code_listing(spark, sf_dir):
+    """The first 100 findings of medium confidence or more, by file and symbol, each with how many there are in all."""
+    x = dead_code(spark, sf_dir).where("confidence <> 'low'")
+    total = x.agg(F.count("*").alias("n")).scalar()
+    return x.select(F.regexp_extract("id", "^(.*?)::", 1).alias("file"), "id", "confidence").orderBy("file", "id").limit(100).withColumn("total", total)
+
+
 def import_sccs(spark, sf_dir):
     return G.strongly_connected(Scratch(spark, "scc"), M.import_edges(spark, sf_dir))
 
@@ -141,9 +148,11 @@ def communities(spark, sf_dir):
 
 
 def community_rollup(spark, sf_dir):
-    """Files and lines of each community."""
+    """Files, lines, repos and the most frequent language (ties: the smaller name) of each community."""
     c = communities(spark, sf_dir).withColumnRenamed("id", "file")
-    return c.join(M.files(spark, sf_dir), "file").groupBy("community").agg(F.count("*").alias("files"), F.sum("lines").alias("lines"), F.countDistinct("repo").alias("repos"))
+    x = c.join(M.files(spark, sf_dir), "file")
+    langs = x.groupBy("community", "language").agg(F.count("*").alias("n")).groupBy("community").agg(F.min(F.struct((-F.col("n")).alias("n"), "language")).alias("m")).select("community", F.col("m.language").alias("language"))
+    return x.groupBy("community").agg(F.count("*").alias("files"), F.sum("lines").alias("lines"), F.countDistinct("repo").alias("repos")).join(langs, "community")
 
 
 def god_class(spark, sf_dir):
@@ -210,15 +219,15 @@ _STEM = "lower(regexp_extract(path, '([^/.:]+)$', 1))"
 
 QUERIES = {
     f.__name__: f
-    for f in (overview_counts, symbol_kinds, edge_totals, dependencies_of, dependents_of, top_depended, call_in_degree, call_edges, dead_code, import_sccs, dependency_closure, repo_edges, repo_closure, repo_cycles,
+    for f in (overview_counts, symbol_kinds, edge_totals, dependencies_of, dependents_of, top_depended, call_in_degree, call_edges, dead_code, dead_code_listing, import_sccs, dependency_closure, repo_edges, repo_closure, repo_cycles,
               workspace_metrics, blast_radius, module_rollup, module_nodes, file_graph_slice, communities, community_rollup, god_class, lcom4_components, duplicate_code, exact_duplicate_pairs, cross_repo_imports)
 }
 SQL = {
     "overview_counts": M.sql("SELECT language, count(*) AS files, CAST(sum(lines) AS BIGINT) AS lines FROM files_now GROUP BY 1"),
     "symbol_kinds": M.sql("SELECT kind, count(*) AS symbols FROM symbols_now GROUP BY 1"),
     "edge_totals": M.sql("SELECT 'contains' AS kind, count(*) AS edges FROM nodes UNION ALL SELECT 'imports', count(*) FROM import_pairs UNION ALL SELECT 'calls', count(*) FROM call_all", _CALLS),
-    "dependencies_of": M.sql("SELECT src AS file, count(*) AS dependencies FROM import_pairs GROUP BY 1"),
-    "dependents_of": M.sql("SELECT dst AS file, string_agg(src, ',' ORDER BY src) AS dependents FROM import_pairs GROUP BY 1"),
+    "dependencies_of": M.sql("SELECT src AS file, dst AS dependency FROM import_pairs"),
+    "dependents_of": M.sql("SELECT dst AS file, src AS dependent FROM import_pairs"),
     "top_depended": M.sql("SELECT dst AS file, count(*) AS dependents FROM import_pairs GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"),
     "call_in_degree": M.sql("SELECT dst AS id, count(*) AS n FROM call_all GROUP BY 1", _CALLS),
     "call_edges": M.sql("SELECT src, dst, count(*) AS sites FROM call_all GROUP BY ALL", _CALLS),
@@ -228,6 +237,13 @@ SQL = {
         JOIN (SELECT name, count(*) AS n FROM nodes GROUP BY 1) t USING (name)""",
         _CALLS, f"loose AS (SELECT DISTINCT {_STEM} AS s FROM imports WHERE resolved_file IS NULL)",
     ),
+    "dead_code_listing": M.sql(
+        f"""SELECT regexp_extract(id, '^(.*?)::', 1) AS file, id, confidence, (SELECT count(*) FROM dc WHERE confidence <> 'low') AS total FROM dc WHERE confidence <> 'low' ORDER BY file, id LIMIT 100""",
+        _CALLS, f"loose AS (SELECT DISTINCT {_STEM} AS s FROM imports WHERE resolved_file IS NULL)",
+        """dc AS (SELECT id, ['high', 'medium', 'low'][1 + CAST(n > 1 AS INTEGER) + CAST(stem IN (SELECT s FROM loose) AS INTEGER)] AS confidence
+        FROM (SELECT fn.id, name, lower(regexp_extract(file, '([^/]*?)(\\.[^./]*)?$', 1)) AS stem FROM fn JOIN files_now f USING (file) WHERE language <> 'Shell' AND id NOT IN (SELECT dst FROM call_all)) u
+        JOIN (SELECT name, count(*) AS n FROM nodes GROUP BY 1) t USING (name))""",
+    ),
     "import_sccs": M.sql(_SCC, _REACH),
     "dependency_closure": M.sql("SELECT id, min(hops) AS hops FROM walk GROUP BY 1", "walk AS (SELECT min(src) AS id, 0 AS hops FROM import_pairs UNION SELECT dst, hops + 1 FROM walk JOIN import_pairs ON src = id WHERE hops < 40)"),
     "repo_edges": M.sql("SELECT src AS from_repo, dst AS to_repo, edges FROM rg", _REPO),

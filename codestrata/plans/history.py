@@ -107,8 +107,9 @@ def bus_factor_histogram(spark, sf_dir):
 
 
 def contributors(spark, sf_dir):
-    """Lines and files per author, and the author's part of all lines."""
-    owned = ownership_share(spark, sf_dir)
+    """Lines and files per author in the 200 largest files, and the author's part of all their lines."""
+    largest = M.files(spark, sf_dir).orderBy(F.col("lines").desc(), "file").limit(200).select("file")
+    owned = ownership_share(spark, sf_dir).join(largest, "file", "left_semi")
     per = owned.groupBy("author").agg(F.sum("lines").alias("lines"), F.count("*").alias("files"))
     total = owned.agg(F.sum("lines").alias("t")).scalar()
     return per.select("author", "lines", "files", F.round(100.0 * F.col("lines") / total, 4).alias("percent"))
@@ -179,7 +180,7 @@ SQL = {
     "ownership_share": M.sql("SELECT file, author, lines, round(share, 6) AS share FROM own", _OWN),
     "bus_factor": M.sql("SELECT * FROM bus", _OWN),
     "bus_factor_histogram": M.sql("SELECT bus_factor, count(*) AS files FROM bus GROUP BY ALL", _OWN),
-    "contributors": M.sql("SELECT author, CAST(sum(lines) AS BIGINT) AS lines, count(*) AS files, round(100.0 * sum(lines) / (SELECT sum(lines) FROM own), 4) AS percent FROM own GROUP BY author", _OWN),
+    "contributors": M.sql("SELECT author, CAST(sum(lines) AS BIGINT) AS lines, count(*) AS files, round(100.0 * sum(lines) / (SELECT sum(lines) FROM top), 4) AS percent FROM top GROUP BY author", _OWN, "top AS (SELECT * FROM own WHERE file IN (SELECT file FROM files_now ORDER BY lines DESC, file LIMIT 200))"),
     "recent_authors": M.sql("SELECT * FROM rec", _REC),
     "org_signals": M.sql("SELECT * FROM org", *HISTORY_SQL),
     "change_risk": M.sql(

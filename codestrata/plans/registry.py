@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["orphans", "history", "graph", "health", "texts", "views", "extraction", "streams", "refactor"]
+MODULES = ["orphans", "history", "graph", "health", "texts", "views", "extraction", "streams", "refactor", "known"]
 
 QUERIES: dict = {}
 SQL: dict = {}

@@ -39,7 +39,7 @@ def distill_lines(spark, sf_dir):
 
 
 def distill_render(spark, sf_dir):
-    x = T.rendered(T.distill(_docs(spark, sf_dir, "log"), "doc_id", _timed), "doc_id")
+    x = T.rendered(T.distill(_docs(spark, sf_dir), "doc_id", _timed), "doc_id")
     return x.select("doc_id", F.md5("text").alias("digest"), T.approx_tokens(F.octet_length("text")).alias("tokens"))
 
 
@@ -100,16 +100,17 @@ def comment_decisions(spark, sf_dir):
 
 
 def decision_union(spark, sf_dir):
-    """All mined decisions, each with its source and confidence."""
-    rows = [
-        (decision_records(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), "title"), "decision-file"), (decision_commits(spark, sf_dir).select(F.col("hash").alias("id"), F.col("message").alias("title")), "commit"),
-        (readme_decisions(spark, sf_dir).select(F.concat_ws("#", "doc_id", "line").alias("id"), "title"), "readme"),
-    ]
-    out = None
-    for df, source in rows:
-        one = df.select("id", "title", F.lit(source).alias("source"), F.round(T.confidence(F.lit(source)), 4).alias("confidence"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """All mined decisions, each with its source and confidence. The tables hold no pull requests, proposals or decisions written by hand."""
+    texts = _texts(spark, sf_dir)
+    comments = T.comment_blocks(texts, M.symbols(spark, sf_dir)).where(T.is_decision(F.col("text")))
+    return T.decisions(
+        {
+            "decision-file": decision_records(spark, sf_dir).select(F.col("doc_id").alias("id"), "title"), "commit": decision_commits(spark, sf_dir).select(F.col("hash").alias("id"), F.col("message").alias("title")),
+            "comment": comments.select("id", F.col("text").alias("title")), "inline-marker": T.inline_markers(texts, "file").select(F.concat_ws("#", "file", "line").alias("id"), F.col("text").alias("title")),
+            "changelog": T.changelog_decisions(_docs(spark, sf_dir, "changelog").select("doc_id", "text"), "doc_id").select(F.concat_ws("#", "doc_id", "line").alias("id"), "title"),
+            "readme": readme_decisions(spark, sf_dir).select(F.concat_ws("#", "doc_id", "line").alias("id"), "title"),
+        }
+    )
 
 
 def decision_link(spark, sf_dir):
@@ -143,7 +144,7 @@ def _runs(spark, sf_dir):
 
 def fumbles(spark, sf_dir):
     """Failed runs made good; an event is a run, its error a failure, and the last digit of its property the program."""
-    return L.fumbles(_runs(spark, sf_dir), "user_id")
+    return L.fumbles(Scratch(spark, "runs"), _runs(spark, sf_dir), "user_id").select("program", "fumbles")
 
 
 def savings_by_day(spark, sf_dir):
@@ -187,6 +188,12 @@ _COS = "list_dot_product({0}, {1}) / (sqrt(list_dot_product({0}, {0})) * sqrt(li
 _EV = "e AS (SELECT user_id, ts, event_id, substr(props, -2, 1) AS program, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events)"
 _RANKS = " ".join(f"WHEN '{n}' THEN {min(0.4 + 0.5 * i / len(T.CONFIDENCE_ORDER), 0.99)!r}" for i, n in enumerate(T.CONFIDENCE_ORDER))
 _COMMENT = r"'^\s*(//|#|--|/?\*|\*/)'"
+_ABOVE = (
+    f"isl AS (SELECT *, line - row_number() OVER (PARTITION BY file ORDER BY line) AS g FROM fl WHERE regexp_matches(content, {_COMMENT}) AND NOT regexp_matches(content, '^\\s*#(include|!)'))",
+    """above AS (SELECT s.id, from_line, t FROM (SELECT file, min(line) AS from_line, max(line) AS to_line, string_agg(trim(regexp_replace(content, '^\\s*(//+|#+|--|/?\\*+/?)', '')), ' ' ORDER BY line) AS t FROM isl GROUP BY file, g)
+  JOIN (SELECT DISTINCT id, file, start_line FROM symbols_now) s USING (file) WHERE start_line = to_line + 1)""",
+)
+_MARK = _q(r"^\s*(?://+|#+|--|/?\*+|;+)\s*(" + "|".join(T.INLINE_MARKERS) + r"):\s*(.*\S)\s*$")
 
 QUERIES = {
     f.__name__: f
@@ -199,7 +206,7 @@ SQL = {
     "distill_lines": M.sql("SELECT doc_id, count(*) FILTER (kept) AS kept, count(*) FILTER (NOT kept) AS omitted FROM keepers GROUP BY 1", _DL, _KEEP),
     "distill_render": M.sql(
         """SELECT doc_id, md5(t) AS digest, CAST(strlen(t) // 4 AS BIGINT) AS tokens FROM (SELECT doc_id, CASE WHEN gone > 0 AND length(short) < length(whole) THEN short ELSE whole END AS t FROM (SELECT doc_id, count(*) FILTER (NOT kept) AS gone,
-        string_agg(content, chr(10) ORDER BY line) AS whole, coalesce(string_agg(content, chr(10) ORDER BY line) FILTER (kept), '') || chr(10) || '[' || count(*) FILTER (NOT kept) || ' lines left out]' AS short FROM keepers WHERE kind = 'log' GROUP BY doc_id))""", _DL, _KEEP,
+        string_agg(content, chr(10) ORDER BY line) AS whole, coalesce(string_agg(content, chr(10) ORDER BY line) FILTER (kept), '') || chr(10) || '[' || count(*) FILTER (NOT kept) || ' lines left out]' AS short FROM keepers GROUP BY doc_id))""", _DL, _KEEP,
     ),
     "exact_duplicates": M.sql("SELECT doc_id, rep FROM cls", _CLASS),
     "shingle_df": M.sql(
@@ -215,13 +222,13 @@ SQL = {
     "changelog_entries": M.sql("SELECT doc_id, line, length(regexp_extract(h, '^(#{1,6})', 1)) AS level, regexp_extract(h, '^#{1,6}\\s+(.*\\S)\\s*$', 1) AS title, length(body) AS chars FROM se WHERE kind = 'changelog'", _DL, _HEAD),
     "readme_decisions": M.sql(f"SELECT doc_id, line, regexp_extract(h, '^#{{1,6}}\\s+(.*\\S)\\s*$', 1) AS title FROM se WHERE kind <> 'changelog' AND regexp_matches(lower(body), {_DECIDE})", _DL, _HEAD),
     "comment_decisions": M.sql(
-        "SELECT s.id, from_line, md5(t) AS digest FROM (SELECT file, min(line) AS from_line, max(line) AS to_line, string_agg(trim(regexp_replace(content, '^\\s*(//+|#+|--|/?\\*+/?)', '')), ' ' ORDER BY line) AS t FROM isl GROUP BY file, g) JOIN s1 s USING (file) WHERE start_line = to_line + 1",
-        _LINES, f"isl AS (SELECT *, line - row_number() OVER (PARTITION BY file ORDER BY line) AS g FROM fl WHERE regexp_matches(content, {_COMMENT}) AND NOT regexp_matches(content, '^\\s*#(include|!)'))",
-        "s1 AS (SELECT DISTINCT id, file, start_line FROM symbols_now)",
+        "SELECT id, from_line, md5(t) AS digest FROM above", _LINES, *_ABOVE,
     ),
     "decision_union": M.sql(
-        f"SELECT id, title, source, round(CAST(CASE source {_RANKS} END AS DOUBLE), 4) AS confidence FROM (SELECT CAST(doc_id AS VARCHAR) AS id, title, 'decision-file' AS source FROM ({_ADR}) UNION ALL SELECT hash, message, 'commit' FROM commits_all WHERE regexp_matches(lower(message), {_DECIDE}) "
-        f"UNION ALL SELECT doc_id || '#' || line, regexp_extract(h, '^#{{1,6}}\\s+(.*\\S)\\s*$', 1), 'readme' FROM se WHERE kind <> 'changelog' AND regexp_matches(lower(body), {_DECIDE}))", _DL, _HEAD,
+        f"SELECT id, title, source, round(CAST(CASE source {_RANKS} END AS DOUBLE), 4) AS confidence FROM (SELECT CAST(doc_id AS VARCHAR) AS id, title, 'decision-file' AS source FROM ({_ADR}) UNION ALL SELECT hash, message, 'commit' FROM commits_all WHERE regexp_matches(lower(message), {_DECIDE}) UNION ALL SELECT id, t, 'comment' FROM above WHERE regexp_matches(lower(t), {_DECIDE}) "
+        f"UNION ALL SELECT file || '#' || line, regexp_extract(content, {_MARK}, 2), 'inline-marker' FROM fl WHERE regexp_matches(content, {_MARK}) "
+        f"UNION ALL SELECT doc_id || '#' || line, upper(title[1]) || lower(title[2:]) || ': ' || trim(split_part(trim(body, chr(10) || ' '), chr(10), 1)), 'changelog' FROM (SELECT doc_id, line, body, regexp_extract(h, '^#{{1,6}}\\s+(.*\\S)\\s*$', 1) AS title, h FROM se WHERE kind = 'changelog') WHERE h LIKE '### %' AND lower(title) IN ('changed', 'removed', 'deprecated', 'security') "
+        f"UNION ALL SELECT doc_id || '#' || line, regexp_extract(h, '^#{{1,6}}\\s+(.*\\S)\\s*$', 1), 'readme' FROM se WHERE kind <> 'changelog' AND regexp_matches(lower(body), {_DECIDE}))", _DL, _HEAD, _LINES, *_ABOVE,
     ),
     "decision_link": M.sql("SELECT DISTINCT d.id, s.file AS target FROM (SELECT doc_id AS id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]{4,}')) AS name FROM documents WHERE kind = 'adr') d JOIN symbols_now s ON s.name = d.name"),
     "keyword_retrieval": "SELECT doc_id FROM documents WHERE contains(lower(text), 'the') OR contains(lower(text), 'rollout') OR contains(lower(text), 'vendor') ORDER BY doc_id LIMIT 10",

@@ -13,6 +13,7 @@ from codestrata.plans import model as M
 from codestrata.session import Scratch, table
 
 QUERY = "token"
+CONTAINER_SHARE = 0.2
 
 
 def _inner():
@@ -31,6 +32,13 @@ def hybrid_search(spark, sf_dir):
     return S.hybrid(M.symbols(spark, sf_dir), M.files(spark, sf_dir), QUERY, _inner())
 
 
+def search_filtered(spark, sf_dir):
+    """The first 100 functions in implementation files whose name holds the query, over all repos, by name, file and repo."""
+    files = M.files(spark, sf_dir).select("repo", "file", S.role(_inner(), F.col("language")).alias("role")).where(F.col("role") == S.parse_kind("impl")).select("repo", "file")
+    hits = S.symbol_search(M.symbols(spark, sf_dir).where(F.col("kind") == S.parse_symbol_kind("function")), QUERY)
+    return hits.join(files, "file").select("name", "file", "repo", "id").orderBy("name", "file", "repo", "id").limit(100)
+
+
 def search_ranked(spark, sf_dir):
     """The 20 most called symbols of each repo whose name holds the query."""
     hits = S.symbol_search(M.symbols(spark, sf_dir), QUERY).withColumn("repo", F.substring_index("file", "/", 1))
@@ -73,7 +81,8 @@ def shared_prefixes(spark, sf_dir):
 
 
 def container_dirs(spark, sf_dir):
-    return D.containers(M.files(spark, sf_dir)).select("repo", "dir", "files", F.round("share", 6).alias("share"))
+    """With a share lowered to a fifth, which these tables reach."""
+    return D.containers(M.files(spark, sf_dir), CONTAINER_SHARE).select("repo", "depth", "dir", "files", F.round("share", 6).alias("share"))
 
 
 def _steps(spark, sf_dir):
@@ -163,7 +172,7 @@ WHEN p[-1] IN ('build.rs', 'conf.py', 'setup.py', 'gulpfile.js', 'webpack.config
 
 QUERIES = {
     f.__name__: f
-    for f in (symbol_search, path_search, hybrid_search, search_ranked, files_ranked, file_roles, files_view, symbols_listing, domain_vocabulary, domain_assignment, shared_prefixes, container_dirs, tour_roles, tour_rank,
+    for f in (symbol_search, path_search, hybrid_search, search_filtered, search_ranked, files_ranked, file_roles, files_view, symbols_listing, domain_vocabulary, domain_assignment, shared_prefixes, container_dirs, tour_roles, tour_rank,
               tour_selection, tour_order, url_path, contract_match, contract_unmatched_reason, contract_broken, orphan_producers)
 }
 _IN = "regexp_replace(file, '^[^/]*/', '')"
@@ -176,13 +185,22 @@ SQL = {
         graph._CALLS,
     ),
     "files_ranked": M.sql(f"SELECT repo, rank, file, n FROM (SELECT repo, file, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY repo ORDER BY coalesce(n, 0) DESC, file) AS rank FROM files_now LEFT JOIN (SELECT dst AS file, count(*) AS n FROM import_pairs GROUP BY 1) USING (file) WHERE contains(lower({_IN}), 'token')) WHERE rank <= 20"),
+    "search_filtered": M.sql(
+        f"SELECT s.name, s.file, r.repo, s.id FROM s1 s JOIN (SELECT repo, file, {_ROLE} AS role FROM (SELECT repo, file, language, string_split(lower({_IN}), '/') AS p FROM files_now)) r USING (file) WHERE s.kind = 'Function' AND contains(lower(s.name), 'token') AND role = 'implementation' ORDER BY s.name, s.file, r.repo, s.id LIMIT 100",
+        "s1 AS (SELECT DISTINCT ON (id) * FROM symbols_now ORDER BY id)",
+    ),
     "file_roles": M.sql(f"SELECT file, {_ROLE} AS role FROM (SELECT file, language, string_split(lower({_IN}), '/') AS p FROM files_now)"),
     "files_view": M.sql("SELECT file, language, lines FROM files_now ORDER BY lines DESC, file LIMIT 200"),
     "symbols_listing": M.sql("SELECT id, file, start_line, end_line FROM symbols_now WHERE kind = 'Class' ORDER BY id LIMIT 100"),
     "domain_vocabulary": M.sql("SELECT * FROM voc", _TERMS),
     "domain_assignment": M.sql("SELECT repo, file, term, weight FROM (SELECT *, count(*) OVER (PARTITION BY file) AS ties FROM (SELECT *, rank() OVER (PARTITION BY file ORDER BY weight DESC) AS r FROM (SELECT repo, file, term, CAST(sum(depth + 3) AS BIGINT) AS weight FROM terms JOIN voc USING (repo, term) GROUP BY ALL)) WHERE r = 1) WHERE ties = 1", _TERMS),
     "shared_prefixes": M.sql("SELECT * FROM sp", _TERMS),
-    "container_dirs": M.sql(f"SELECT repo, dir, files, round(files / n_all, 6) AS share FROM (SELECT repo, split_part({_IN}, '/', 1) AS dir, count(*) AS files FROM files_now WHERE contains({_IN}, '/') GROUP BY ALL) JOIN whole USING (repo)", _TERMS),
+    "container_dirs": M.sql(
+        "SELECT repo, CAST(depth AS INTEGER) AS depth, dir, files, round(share, 6) AS share FROM cc WHERE chain = depth", _TERMS,
+        f"ca AS (SELECT repo, unnest(range(0, len(p) - 1)) AS depth, p FROM (SELECT repo, string_split({_IN}, '/') AS p FROM files_now))",
+        "cb AS (SELECT *, row_number() OVER (PARTITION BY repo, depth ORDER BY files DESC, dir) AS r FROM (SELECT repo, depth, p[depth + 1] AS dir, count(*) AS files FROM ca GROUP BY ALL))",
+        f"cc AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY depth) - 1 AS chain FROM (SELECT cb.repo, depth, dir, files, files / n_all AS share FROM cb JOIN whole USING (repo) WHERE r = 1 AND files / n_all >= {CONTAINER_SHARE}))",
+    ),
     "tour_roles": M.sql("SELECT file, role FROM sr", _TOUR),
     "tour_rank": M.sql("SELECT repo, rank, file FROM rk WHERE rank <= 30", _TOUR),
     "tour_selection": M.sql(

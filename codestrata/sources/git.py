@@ -72,7 +72,7 @@ def parse_numstat(lines: DataFrame) -> DataFrame:
 
 def parse_blame(lines: DataFrame) -> DataFrame:
     """(file, author, lines, percentage) from line-porcelain lines (file, value), most lines first."""
-    per = lines.where(F.col("value").startswith("author ")).groupBy("file", F.substring("value", 8, 10_000).alias("author")).agg(F.count("*").alias("lines"))
+    per = lines.where(F.col("value").startswith("author ")).groupBy("file", F.substr("value", F.lit(8)).alias("author")).agg(F.count("*").alias("lines"))
     whole = F.sum("lines").over(Window.partitionBy("file"))
     return per.select("file", "author", "lines", (100.0 * F.col("lines") / whole).alias("percentage"))
 

@@ -14,8 +14,8 @@ def parse_lcov(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     w = Window.partitionBy("report").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     v = F.trim("value")
-    mark = F.when(v.startswith("SF:"), F.substring(v, 4, 10_000)).when(v == "end_of_record", F.lit(""))
-    x = lines.select("report", v.alias("v"), F.last(mark, True).over(w).alias("path"), F.last(F.when(v.startswith("TN:"), F.trim(F.substring(v, 4, 10_000))), True).over(w).alias("test"))
+    mark = F.when(v.startswith("SF:"), F.substr(v, F.lit(4))).when(v == "end_of_record", F.lit(""))
+    x = lines.select("report", v.alias("v"), F.last(mark, True).over(w).alias("path"), F.last(F.when(v.startswith("TN:"), F.trim(F.substr(v, F.lit(4)))), True).over(w).alias("test"))
     x = x.where(F.col("v").startswith("DA:"))
     bad = F.coalesce("path", F.lit("")) == ""
     ok = F.col("v").rlike(r"^DA:\d+,\d+(?:,\S+)?$")

@@ -51,7 +51,7 @@ def head_moved(before: Column, now: Column) -> Column:
 def relative(path: Column, root: str) -> Column:
     """A path below the root without it, the root itself as `.`; others as they are."""
     r = root.rstrip("/")
-    return F.when(path == r, ".").when(path.startswith(r + "/"), F.substring(path, len(r) + 2, 1_000_000)).otherwise(path)
+    return F.when(path == r, ".").when(path.startswith(r + "/"), F.substr(path, F.lit(len(r) + 2))).otherwise(path)
 
 
 def anchored(path: Column, root: str) -> Column:
@@ -104,25 +104,47 @@ def write_dependents(edges: DataFrame, path: str) -> None:
     x.withColumn("bucket", F.pmod(F.xxhash64("file"), F.lit(16))).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
-def dependents(spark: SparkSession, path: str, file: str) -> list[str]:
+def written_at(spark: SparkSession, path: str) -> int | None:
+    """When a table was last completed, in milliseconds; None if it never was."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.getFileStatus(p).getModificationTime() if fs.exists(p) else None
+
+
+def dependents(spark: SparkSession, path: str, file: str, index: str | None = None) -> list[str] | None:
+    """A file's importers; None if they were written before the index (a folder), or never."""
+    at = written_at(spark, path)
+    if at is None or index is not None and at < (written_at(spark, f"{index}/status") or 0):
+        return None
     rows = spark.read.parquet(path).where((F.col("bucket") == F.pmod(F.xxhash64(F.lit(file)), F.lit(16))) & (F.col("file") == file)).select("dependents").take(1)
     return rows[0][0] if rows else []
 
 
-def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(json) of each node with its sorted distinct edges."""
+def graph_json(nodes: DataFrame, edges: DataFrame, unresolved: DataFrame | None = None) -> DataFrame:
+    """(json) of each node with its sorted distinct edges and, if `unresolved` (id, n) is given, how many of its imports lead nowhere."""
     out = edges.groupBy("src").agg(F.array_sort(F.collect_set(F.struct("dst", "kind"))).alias("edges"))
-    return nodes.join(out, nodes.id == out.src, "left").select(F.to_json(F.struct("id", F.coalesce("edges", F.array().cast("array<struct<dst:string,kind:string>>")).alias("edges"))).alias("json"))
+    x = nodes.join(out, nodes.id == out.src, "left")
+    fields = ["id", F.coalesce("edges", F.array().cast("array<struct<dst:string,kind:string>>")).alias("edges")]
+    if unresolved is not None:
+        x = x.join(unresolved.select("id", F.col("n").alias("unresolved")), "id", "left")
+        fields.append(F.coalesce("unresolved", F.lit(0)).cast("long").alias("unresolved"))
+    return x.select(F.to_json(F.struct(*fields)).alias("json"))
 
 
-def wiki_pages(files: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
-    """(file, page, digest): a page for each file with its symbols and what it imports."""
+def wiki_pages(files: DataFrame, symbols: DataFrame, edges: DataFrame, findings: DataFrame | None = None) -> DataFrame:
+    """(file, page, digest): a page for each file with its symbols, what it imports, how many files import it, and its findings (file, kind, line), if given."""
     s = symbols.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("start_line", "kind", "name"))).alias("s"))
     d = edges.groupBy(F.col("src").alias("file")).agg(F.array_sort(F.collect_set("dst")).alias("d"))
-    x = files.join(s, "file", "left").join(d, "file", "left")
+    n = edges.select("src", F.col("dst").alias("file")).distinct().groupBy("file").agg(F.count("*").alias("used"))
+    x = files.join(s, "file", "left").join(d, "file", "left").join(n, "file", "left")
     items = F.transform(F.coalesce("s", F.array().cast("array<struct<start_line:int,kind:string,name:string>>")), lambda v: F.concat(F.lit("- "), v["kind"], F.lit(" `"), v["name"], F.lit("` at line "), v["start_line"].cast("string")))
     uses = F.transform(F.coalesce("d", F.array().cast("array<string>")), lambda v: F.concat(F.lit("- "), v))
-    page = F.concat_ws("\n", F.concat(F.lit("# "), F.col("file")), F.lit(""), F.concat(F.col("language"), F.lit(", "), F.col("lines").cast("string"), F.lit(" lines")), F.lit("\n## Symbols"), F.array_join(items, "\n"), F.lit("\n## Imports"), F.array_join(uses, "\n"))
+    page = F.concat_ws("\n", F.concat(F.lit("# "), F.col("file")), F.lit(""), F.concat(F.col("language"), F.lit(", "), F.col("lines").cast("string"), F.lit(" lines")), F.lit("\n## Symbols"), F.array_join(items, "\n"), F.lit("\n## Imports"), F.array_join(uses, "\n"), F.format_string("\nImported by %d files", F.coalesce("used", F.lit(0))))
+    if findings is not None:
+        found = findings.groupBy(F.col("file").alias("_f")).agg(F.array_sort(F.collect_list(F.struct("kind", "line"))).alias("found"))
+        x = x.join(found, F.col("file") == F.col("_f"), "left")
+        items = F.transform("found", lambda v: F.concat(F.lit("- "), v["kind"], F.coalesce(F.concat(F.lit(" at line "), v["line"].cast("string")), F.lit(""))))
+        page = F.concat_ws("\n", page, F.when(F.size("found") > 0, F.lit("\n## Findings")), F.when(F.size("found") > 0, F.array_join(items, "\n")))
     return x.select("file", page.alias("page")).withColumn("digest", F.sha2("page", 256))
 
 
@@ -132,6 +154,11 @@ def freshness(pages: DataFrame, held: DataFrame) -> DataFrame:
     return x.select("file", F.when(F.col("old").isNull(), "new").when(F.col("digest").isNull(), "missing").when(F.col("old") == F.col("digest"), "unchanged").otherwise("changed").alias("state"))
 
 
+def export_pages(pages: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Copy pages (file, page) out as text, a folder for each file; an export that is there already stops it unless `overwrite`."""
+    pages.select(F.col("page").alias("value"), "file").write.mode("overwrite" if overwrite else "error").partitionBy("file").option("lineSep", "\n").text(path)
+
+
 REF = 12
 TTL, ROOM = 7 * 86400, 50 * 1024 * 1024
 

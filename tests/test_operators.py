@@ -201,7 +201,7 @@ def test_text(spark):
     sym = spark.createDataFrame([("f::a", "f", 3)], "id string, file string, start_line int")
     assert [tuple(x) for x in text.comment_blocks(src, sym).collect()] == [("f::a", 1, "one two")]
     adr = spark.createDataFrame([("d", "# 0007. Use it\nStatus: proposed\nStatus: Superseded by ADR-9\n"), ("t", "# 1. <title>\n")], "doc_id string, text string")
-    assert [tuple(x) for x in text.decision_files(adr, "doc_id").collect()] == [("d", 7, "Use it", "Superseded by ADR-9", 9)]
+    assert [tuple(x) for x in text.decision_files(adr, "doc_id").collect()] == [("d", 7, "Use it", "Superseded by ADR-9", None, 9)]
 
 
 def test_similarity(spark):
@@ -218,10 +218,29 @@ def test_similarity(spark):
     assert {(r.symbol, r.other) for r in similarity.code_near_duplicates(code).collect()} == {("x", "y"), ("y", "x")}
 
 
+def test_retrieval_falls_back_to_words(spark):
+    docs = spark.createDataFrame([(1, "the queue"), (2, "a cache"), (3, "THE end")], "id int, text string")
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1])], "id int, vec array<double>")
+    q = spark.createDataFrame([(0, [1.0, 0.0])], "query_id int, query_vec array<double>")
+    got = lambda *a: [tuple(r) for r in similarity.retrieve(docs, ["the", "of"], "id", *a).orderBy("rank").collect()]
+    assert got(v, q) == [(1, 1, "semantic"), (2, 2, "semantic")]
+    assert got() == got(v.limit(0), q) == got(v, q.limit(0)) == [(1, 1, "keyword"), (3, 2, "keyword")]
+
+
+def test_text_markers_and_weights(spark):
+    rows = [("f::a@1", "sync-io", 2, "read"), ("g::b@1", "sync-io", 3, "read"), ("g::b@1", "io-in-loop", 3, "read"), ("g::b@1", "other", 4, "x")]
+    m = spark.createDataFrame(rows, "symbol_id string, kind string, line int, name string")
+    got = {tuple(r) for r in health.text_markers(m, spark.createDataFrame([("f",), ("f",)], "file string")).collect()}
+    assert got == {("f", "f::a@1", 2, "hot-path-sync-io", "read"), ("g", "g::b@1", 3, "io-in-loop", "read")}
+    with pytest.raises(ValueError):
+        health.weights_from_toml(spark, "no_such_kind = 1\n")
+
+
 def test_ledger(spark):
     rows = [("u", 1, "a", 1), ("u", 2, "b", 0), ("u", 3, "a", 0), ("v", 1, "a", 1), ("v", 2, "b", 0), ("v", 3, "b", 0), ("v", 4, "b", 0), ("v", 5, "a", 0), ("w", 1, "a", None), ("w", 2, "a", 0)]
     df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "who string, at int, program string, exit_code int, ord int")
-    assert [tuple(r) for r in ledger.fumbles(df, "who").collect()] == [("a", 1)]
+    assert [tuple(r) for r in ledger.fumbles(Scratch(spark, "t"), df, "who").collect()] == [("a", 1, [1])]
+    assert ledger.fumbles(Scratch(spark, "t"), df.limit(0), "who").count() == 0
     rec = spark.createDataFrame([("x", 10, 4), ("y", 1, 9)], "day string, raw_bytes long, kept_bytes long")
     assert {tuple(r) for r in ledger.savings(rec, ["day"]).collect()} == {("x", 1, 6, 1), ("y", 1, 0, 0), (None, 2, 6, 1)}
     ev = spark.createDataFrame([("u", datetime(2025, 1, 1, 0, 0, s)) for s in (0, 1, 5)], "who string, at timestamp")
@@ -244,7 +263,7 @@ def test_domains(spark):
     assert [tuple(r) for r in domains.shared_prefixes(files).collect()] == [("r", "order")]
     t = domains.path_terms(files)
     assert "order" not in {r.term for r in domains.vocabulary(files, t).collect()}
-    assert {(r.dir, r.share) for r in domains.containers(files).collect()} == {("app", 1.0)}
+    assert {(r.depth, r.dir, r.share) for r in domains.containers(files).collect()} == {(0, "app", 1.0)}
 
 
 def test_tour(spark):
@@ -265,5 +284,5 @@ def test_contracts(spark):
     assert [r.id for r in contracts.broken(pairs, pairs.where("id <> 'c1'")).collect()] == ["c1"] and contracts.broken(pairs.limit(0), pairs).count() == 0
     u = spark.createDataFrame([("https://a.b/c/d?e#f",), ("https://a.b",), ("/p?q",), ("p/q",)], "u string").select(contracts.path_of(F.col("u")).alias("p"))
     assert [r.p for r in u.collect()] == ["/c/d", "/", "/p", "p/q"]
-    src = spark.createDataFrame([("f", "app.get('/x/:id', h)\nfetch(\"https://h.io/x/1\")\nrouter.HandleFunc(\"/y\", g)\n")], "file string, text string")
-    assert {(r.side, r.method, r.path) for r in contracts.scan(src).collect()} == {("producer", "GET", "/x/:id"), ("producer", None, "/y"), ("consumer", None, "/x/1")}
+    src = spark.createDataFrame([("f", "app.get('/x/:id', h)\nfetch(\"https://h.io/x/1\")\nrouter.post(\"/y\", g)\n")], "file string, text string")
+    assert {(r.side, r.method, r.path) for r in contracts.scan(src).collect()} == {("producer", "GET", "/x/:id"), ("producer", "POST", "/y"), ("consumer", None, "/x/1")}

@@ -3,7 +3,7 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
-from codestrata.sources import git, reports, sinks
+from codestrata.sources import git, hosting, reports, sinks
 from codestrata.sources.languages import language, line_count
 from codestrata.sources.tree import indexed, read_tree, reindexable
 
@@ -84,6 +84,29 @@ def test_lcov(spark):
             reports.parse_lcov(bad)[0].collect()
 
 
+def test_stored_pages_of_a_host(spark, tmp_path):
+    (tmp_path / "p1.json").write_text('[{"number": 1, "title": "Migrate to rows", "body": null, "merged_at": "2024", "files": [{"filename": "a.c"}]}, {"number": 2, "title": "x", "merged_at": null}, {"title": "no number", "merged_at": "2024"}]')
+    (tmp_path / "p2.json").write_text('[{"number": 1, "title": "Migrate to rows", "body": null, "merged_at": "2024", "files": [{"filename": "a.c"}]}, {"number": 3, "title": "Typo", "body": "small", "merged_at": "2024", "other": 1}]')
+    got = hosting.merged_changes(spark, str(tmp_path))
+    assert {(r.number, tuple(r.files)) for r in got.collect()} == {(1, ("a.c",)), (3, ())}
+    assert [r.id for r in hosting.change_decisions(got).collect()] == ["pr:1"]
+    (tmp_path / "i").mkdir()
+    (tmp_path / "i" / "1.json").write_text('[{"number": 5, "state": "closed", "labels": [{"name": "Bug: core"}]}, {"number": 6, "state": "open", "labels": [{"name": "bug"}]}, {"number": 7, "state": "closed", "labels": []}, {"number": 8, "state": "closed"}]')
+    assert [r.number for r in hosting.closed_bugs(spark, str(tmp_path / "i")).collect()] == [5]
+    (tmp_path / "d.jsonl").write_text('{"id": "m1", "title": "t"}\n{"title": "no id"}\n')
+    assert [(r.id, r.title, r.body) for r in hosting.read_decisions(spark, str(tmp_path / "d.jsonl")).collect()] == [("m1", "t", None)]
+
+
+def test_pages_are_exported_once(spark, tmp_path):
+    pages = spark.createDataFrame([("a", "# a\n\nx"), ("b/c", "# b")], "file string, page string")
+    out = str(tmp_path / "out")
+    sinks.export_pages(pages, out)
+    with pytest.raises(Exception, match="(?i)exist"):
+        sinks.export_pages(pages, out)
+    sinks.export_pages(pages, out, overwrite=True)
+    assert {(r.file, r.value) for r in spark.read.text(out, wholetext=True).collect()} == {("a", "# a\n\nx\n"), ("b/c", "# b\n")}
+
+
 def test_ledger(spark, tmp_path):
     path = str(tmp_path / "ledger")
     rec = spark.createDataFrame([(1, "ran", "npm", 100, 10, "d", None), (2, "ran", "go", 5, 5, "", 1)], reports.LEDGER)
@@ -114,7 +137,9 @@ def test_dependents_pages_and_store(spark, tmp_path):
     edges = spark.createDataFrame([("b", "a", "imports"), ("c", "a", "imports"), ("b", "a", "imports")], "src string, dst string, kind string")
     p = str(tmp_path / "d")
     sinks.write_dependents(edges, p)
-    assert sinks.dependents(spark, p, "a") == ["b", "c"] and sinks.dependents(spark, p, "z") == []
+    assert sinks.dependents(spark, p, "a") == ["b", "c"] and sinks.dependents(spark, p, "z") == [] and sinks.dependents(spark, p + "x", "a") is None
+    sinks.write_index({"files": edges}, str(tmp_path / "new"))
+    assert sinks.dependents(spark, p, "a", str(tmp_path / "new")) is None and sinks.dependents(spark, p, "a", str(tmp_path / "none")) == ["b", "c"]
     files = spark.createDataFrame([("a", "Go", 3), ("b", "Go", 4)], "file string, language string, lines long")
     symbols = spark.createDataFrame([("b", 1, "Function", "f")], "file string, start_line int, kind string, name string")
     pages = sinks.wiki_pages(files, symbols, edges)
