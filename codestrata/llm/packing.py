@@ -1,6 +1,6 @@
 """Filling fixed-capacity containers with texts: online best-fit with a fixed number of open containers.
 
-Texts are measured once in tokens of a public tokenizer. They are then dealt to lanes of some LANE_TOKENS tokens
+Texts are measured once in tokens of a public tokenizer. They are then dealt to lanes of LANE_TOKENS tokens or more
 by a hash of their id, and each lane is packed as a stream: a text goes to the open container that it leaves
 fullest; if it fits into none, the fullest open container is closed and a new one opened. The open containers are
 found in a bitset keyed by free space. A text that alone exceeds the capacity fills containers of its own and only
@@ -83,18 +83,23 @@ class Packer:
         return self.made - 1
 
 
-def pack(spark: SparkSession, docs: DataFrame, budgets: DataFrame, tokenizer: str = TOKENIZER, open_bins: int = OPEN) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, budgets: DataFrame, tokenizer: str = TOKENIZER, open_bins: int = OPEN, lanes: int | None = None) -> DataFrame:
     """(budget_id, doc_id, part, container, tokens) for each budget (budget_id, capacity) and document (doc_id, text).
 
     `part` is 0 for a text in one piece, else counts from 1. `container` is unique within its budget. Empty and NULL
     texts take no room and are put into any container. Budgets with a NULL or non-positive capacity are left out, as
     are rows with a NULL id. Repeated rows are packed as often as they occur. No documents or no budgets: no rows.
-    The containers depend on ids and sizes alone, not on how the tables are partitioned.
+    The containers depend on ids, sizes and the number of lanes alone, not on how the tables are partitioned. `lanes`
+    fixes that number; else it is a power of two that doubles with the tokens, so that a lane's texts stay together
+    between doublings and part in two at one. A lane ends with up to `open_bins` containers that are not full.
     """
     scratch = Scratch(spark, "packing")
     sizes = scratch.write(token_sizes(docs.where("doc_id IS NOT NULL"), tokenizer), "sizes")
-    total = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    lanes = max(1, total // LANE_TOKENS)
+    if lanes is None:
+        total = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+        lanes = 1
+        while total >= 2 * lanes * LANE_TOKENS:
+            lanes *= 2
     caps = budgets.where("budget_id IS NOT NULL AND capacity > 0").select(F.col("budget_id").cast("long"), F.col("capacity").cast("long")).distinct()
     lane = F.pmod(F.xxhash64("doc_id"), F.lit(lanes))
     # One row of every text for each budget: the budgets are a table of settings, in the plan as an array of its rows.
@@ -134,5 +139,19 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p8_containers": p8_containers, "p8_fill": p8_fill}
-SQL: dict = {}
+LEAST_FILL = 0.95
+
+
+def p8_promises(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per budget what a packing must keep: documents placed, overfull containers, texts divided though they would fit, and whether LEAST_FILL of the room is used."""
+    docs, budgets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "context_budgets").select("budget_id", "capacity")
+    placed = Scratch(spark, "promises").write(pack(spark, docs, budgets), "placed")
+    bins = placed.groupBy("budget_id", "container").agg(F.sum("tokens").alias("used")).join(budgets, "budget_id")
+    bins = bins.groupBy("budget_id").agg(F.count_if(F.col("used") > F.col("capacity")).alias("overfull"), (F.sum("used") >= LEAST_FILL * F.sum("capacity")).alias("full"))
+    texts = placed.groupBy("budget_id", "doc_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("parts")).join(budgets, "budget_id")
+    texts = texts.groupBy("budget_id").agg(F.count("*").alias("documents"), F.count_if((F.col("parts") > 1) & (F.col("tokens") <= F.col("capacity"))).alias("divided"))
+    return texts.join(bins, "budget_id").select("budget_id", "documents", "overfull", "divided", "full")
+
+
+QUERIES = {"p8_containers": p8_containers, "p8_fill": p8_fill, "p8_promises": p8_promises}
+SQL = {"p8_promises": "SELECT budget_id, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS divided, TRUE AS \"full\" FROM context_budgets"}
