@@ -185,6 +185,12 @@ SQL = {
         graph._CALLS,
     ),
     "files_ranked": M.sql(f"SELECT repo, rank, file, n FROM (SELECT repo, file, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY repo ORDER BY coalesce(n, 0) DESC, file) AS rank FROM files_now LEFT JOIN (SELECT dst AS file, count(*) AS n FROM import_pairs GROUP BY 1) USING (file) WHERE contains(lower({_IN}), 'token')) WHERE rank <= 20"),
+    "tour_order": M.sql(
+        "SELECT id, max(layer) AS layer FROM grp JOIN lay USING (g) GROUP BY id", graph._REACH, f"comp AS ({graph._SCC})",
+        "grp AS (SELECT file AS id, coalesce(component, file) AS g FROM files_now LEFT JOIN comp ON comp.id = file)",
+        "ge AS (SELECT DISTINCT a.g AS src, b.g AS dst FROM import_pairs JOIN grp a ON src = a.id JOIN grp b ON dst = b.id WHERE a.g <> b.g)",
+        "lay AS (SELECT DISTINCT g, 0 AS layer FROM grp UNION SELECT ge.src, layer + 1 FROM lay JOIN ge ON ge.dst = lay.g)",
+    ),
     "search_filtered": M.sql(
         f"SELECT s.name, s.file, r.repo, s.id FROM s1 s JOIN (SELECT repo, file, {_ROLE} AS role FROM (SELECT repo, file, language, string_split(lower({_IN}), '/') AS p FROM files_now)) r USING (file) WHERE s.kind = 'Function' AND contains(lower(s.name), 'token') AND role = 'implementation' ORDER BY s.name, s.file, r.repo, s.id LIMIT 100",
         "s1 AS (SELECT DISTINCT ON (id) * FROM symbols_now ORDER BY id)",
