@@ -52,7 +52,7 @@ _HASHED = re.compile(r"(?i)(?:^|[_\-.]|(?<=[a-z]))(?:e_?tag|checksum|revision|co
 _PUBLIC = re.compile(r"(?i)public")
 
 _QUOTED = re.compile(r"""(?P<q>["'`])(?P<v>(?:(?!(?P=q))[^\\\n]|\\.)*)(?P=q)""")
-_NAMED = re.compile(r"""(?P<n>[^\W\d][\w.\-]*)["'`\]]*\s*(?::\s*[&\w<>\[\]*' ]+?=|=>|:=|=|:)\s*(?P<b>[^\s"'`,;(){}<>\[\]#]{6,}|(?=["'`]))""")
+_NAMED = re.compile(r"""(?P<n>[^\W\d][\w.\-]*)["'`\]]*\s*(?::\s*[&\w<>\[\]*' ]+?=|=>|:=|=|:)\s*(?P<b>[^\s"'`,;(){}<>\[\]#][^\s"'`,;(){}<>\[\]]{5,}|(?=["'`]))""")
 _URL = re.compile(r"[A-Za-z][\w+.\-]*://(?P<u>[^\s:/@\"'`<>{}$]*):(?P<v>[^\s@\"'`<>]+)@[\w.\-]+")
 _PARAM = re.compile(r"(?i)[?&](?:access_|auth_|api_|refresh_)?(?:token|key|apikey|secret|password|passwd|pwd|sig)=(?P<v>[^\s&\"'`<>#]{8,})")
 _BEARER = re.compile(r"\b(?:Bearer|Basic|Token|bearer|basic)\s+(?P<v>[A-Za-z0-9+/_=.\-~!#%]{12,})")
