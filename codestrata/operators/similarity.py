@@ -17,12 +17,13 @@ def shingles(tokens: Column, k: int) -> Column:
     return F.when(n >= k, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
-def shingle_table(texts: DataFrame, key: str, k: int, pattern: str = TOKEN) -> DataFrame:
-    """(key, shingle), distinct, over whole lower-cased texts."""
+def shingle_table(texts: DataFrame, key: str, k: int, pattern: str = TOKEN, hashed: bool = False) -> DataFrame:
+    """(key, shingle), distinct, over whole lower-cased texts; hashed: numbers of 64 bits in place of the shingles, a quarter of their size in every shuffle."""
     tokens = F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0))
     # The one-element explode keeps the optimizer from writing the tokenizer into the lambda, where it would run for every run of tokens.
     held = texts.where("text IS NOT NULL").select(key, F.explode(F.array(tokens)).alias("tokens"))
-    return held.select(key, F.explode(shingles(F.col("tokens"), k)).alias("shingle"))
+    runs = shingles(F.col("tokens"), k)
+    return held.select(key, F.explode(F.transform(runs, lambda s: F.xxhash64(s)) if hashed else runs).alias("shingle"))
 
 
 def overlap_pairs(sets: DataFrame, key: str, least: float, scratch: Scratch | None = None) -> DataFrame:
@@ -57,10 +58,22 @@ def copy_classes(texts: DataFrame, key: str) -> DataFrame:
     return plain.join(plain.groupBy("h").agg(F.min(key).alias("rep")), "h").select(key, "rep")
 
 
-def code_near_duplicates(functions: DataFrame, least: float = 0.5, k: int = 3) -> DataFrame:
+def function_texts(symbols: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, body_hash, text) of the functions and methods that have a body hash: their lines of their file's text (file, text).
+
+    A file's symbols are brought to its text, not the text to each of them.
+    """
+    eligible = symbols.where(F.col("kind").isin("Function", "Method") & F.col("body_hash").isNotNull())
+    per = eligible.groupBy("file").agg(F.collect_list(F.struct("id", "body_hash", "start_line", "end_line")).alias("s"))  # the symbols of one file
+    x = texts.where("text IS NOT NULL").join(per, "file").select("s", F.split(F.regexp_replace("text", "\r", ""), "\n").alias("lines"))
+    cut = lambda v: F.array_join(F.slice("lines", v["start_line"], F.greatest(v["end_line"] - v["start_line"] + 1, F.lit(0))), "\n")
+    return x.select(F.explode(F.transform("s", lambda v: F.struct(v["id"].alias("id"), v["body_hash"].alias("body_hash"), cut(v).alias("text")))).alias("r")).select("r.*")
+
+
+def code_near_duplicates(functions: DataFrame, least: float = 0.5, k: int = 3, scratch: Scratch | None = None) -> DataFrame:
     """(symbol, other, overlap) in both directions, for functions (id, text, body_hash) that overlap by `least` in runs of k tokens and differ in body hash."""
-    sets = shingle_table(functions, "id", k)
-    pairs = overlap_pairs(sets, "id", least)
+    sets = shingle_table(functions, "id", k, hashed=True)
+    pairs = overlap_pairs(sets, "id", least, scratch)
     h = functions.select("id", "body_hash")
     x = pairs.join(h.select(F.col("id").alias("a"), F.col("body_hash").alias("ha")), "a").join(h.select(F.col("id").alias("b"), F.col("body_hash").alias("hb")), "b").where("NOT (ha <=> hb)")
     return x.select(F.col("a").alias("symbol"), F.col("b").alias("other"), "overlap").union(x.select("b", "a", "overlap"))

@@ -57,7 +57,7 @@ def near_duplicates(spark, sf_dir):
     docs = _docs(spark, sf_dir).select("doc_id", "text")
     classes = S.copy_classes(docs, "doc_id")
     reps = docs.join(classes.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
-    pairs = S.overlap_pairs(S.shingle_table(reps, "doc_id", 5, r"[\p{L}\p{N}_]+"), "doc_id", 0.8, Scratch(spark, "near"))
+    pairs = S.overlap_pairs(S.shingle_table(reps, "doc_id", 5, r"[\p{L}\p{N}_]+", True), "doc_id", 0.8, Scratch(spark, "near"))
     links = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
     return classes.join(links, "rep", "left").select("doc_id", F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
@@ -67,7 +67,16 @@ def near_duplicate_pairs(spark, sf_dir):
     docs = _docs(spark, sf_dir).select("doc_id", "text")
     classes = S.copy_classes(docs, "doc_id")
     reps = docs.join(classes.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
-    return S.overlap_pairs(S.shingle_table(reps, "doc_id", 5, r"[\p{L}\p{N}_]+"), "doc_id", 0.8, Scratch(spark, "near")).select("a", "b", "shared", F.round("overlap", 6).alias("overlap"))
+    return S.overlap_pairs(S.shingle_table(reps, "doc_id", 5, r"[\p{L}\p{N}_]+", True), "doc_id", 0.8, Scratch(spark, "near")).select("a", "b", "shared", F.round("overlap", 6).alias("overlap"))
+
+
+def near_duplicate_functions(spark, sf_dir):
+    """Functions that overlap by half or more in runs of three tokens, in both directions; of those with one body hash only the first by id, whose copies `duplicate_code` lists."""
+    s = M.symbols(spark, sf_dir)
+    first = s.where("body_hash IS NOT NULL").groupBy("body_hash").agg(F.min("id").alias("id")).select("id")
+    scratch = Scratch(spark, "functions")
+    functions = scratch.write(S.function_texts(s.join(first, "id", "left_semi"), _texts(spark, sf_dir)), "functions")
+    return S.code_near_duplicates(functions, scratch=scratch).select("symbol", "other", F.round("overlap", 6).alias("overlap"))
 
 
 def decision_commits(spark, sf_dir):
@@ -197,7 +206,7 @@ _MARK = _q(r"^\s*(?://+|#+|--|/?\*+|;+)\s*(" + "|".join(T.INLINE_MARKERS) + r"):
 
 QUERIES = {
     f.__name__: f
-    for f in (security_scan, security_summary, distill_lines, distill_render, exact_duplicates, shingle_df, near_duplicates, near_duplicate_pairs, decision_commits, issue_refs, decision_records, changelog_entries,
+    for f in (security_scan, security_summary, distill_lines, distill_render, exact_duplicates, shingle_df, near_duplicates, near_duplicate_pairs, near_duplicate_functions, decision_commits, issue_refs, decision_records, changelog_entries,
               readme_decisions, comment_decisions, decision_union, decision_link, keyword_retrieval, semantic_topk, vector_centroid_match, fumbles, savings_by_day, debounce_sessions)
 }
 SQL = {
@@ -216,6 +225,17 @@ SQL = {
     ),
     "near_duplicates": M.sql("SELECT doc_id, cls.rep AS class_id, coalesce(n, 0) AS links FROM cls LEFT JOIN (SELECT rep, count(*) AS n FROM (SELECT a AS rep FROM nd UNION ALL SELECT b FROM nd) GROUP BY 1) l ON l.rep = cls.rep", _CLASS, _SH),
     "near_duplicate_pairs": M.sql("SELECT a, b, shared, round(overlap, 6) AS overlap FROM nd", _CLASS, _SH),
+    "near_duplicate_functions": M.sql(
+        "SELECT a AS symbol, b AS other, round(overlap, 6) AS overlap FROM fd UNION ALL SELECT b, a, round(overlap, 6) FROM fd",
+        "fs AS (SELECT DISTINCT ON (id) id, file, start_line, end_line FROM symbols_now WHERE kind IN ('Function', 'Method') AND id IN (SELECT min(id) FROM symbols_now WHERE body_hash IS NOT NULL GROUP BY body_hash) ORDER BY id)",
+        "ff AS (SELECT DISTINCT file, text FROM file_texts WHERE text IS NOT NULL)",
+        "fb AS (SELECT id, array_to_string(string_split(replace(text, chr(13), ''), chr(10))[start_line:end_line], chr(10)) AS body FROM fs JOIN ff USING (file))",
+        "fk AS (SELECT id, regexp_extract_all(lower(body), '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]') AS t FROM fb)",
+        "fh AS (SELECT DISTINCT id, list_aggregate(t[i:i + 2], 'string_agg', ' ') AS s FROM (SELECT id, t, unnest(range(1, len(t) - 1)) AS i FROM fk WHERE len(t) >= 3))",
+        "fz AS (SELECT id, count(*) AS n FROM fh GROUP BY 1)",
+        "fp AS (SELECT a.id AS a, b.id AS b, count(*) AS shared FROM fh a JOIN fh b ON a.s = b.s AND a.id < b.id GROUP BY ALL)",
+        "fd AS (SELECT a, b, shared / least(x.n, y.n) AS overlap FROM fp JOIN fz x ON x.id = a JOIN fz y ON y.id = b WHERE shared / least(x.n, y.n) >= 0.5 - 1e-12)",
+    ),
     "decision_commits": M.sql(f"SELECT hash, repo, message FROM commits_all WHERE regexp_matches(lower(message), {_DECIDE})"),
     "issue_refs": M.sql("SELECT DISTINCT hash, CAST(n AS BIGINT) AS issue FROM (SELECT hash, unnest(regexp_extract_all(' ' || replace(message, '#', '  #') || ' ', '[^\\p{L}\\p{N}]#(\\d+)', 1)) AS n, message FROM commits_all) WHERE regexp_matches(message, '(^|[^\\p{L}\\p{N}])#' || n || '($|[^\\p{L}\\p{N}])')"),
     "decision_records": _ADR,
