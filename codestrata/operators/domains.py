@@ -8,9 +8,17 @@ from pyspark.sql import functions as F
 MIN_FILES, MAX_SHARE = 3, 0.8
 MIN_SIBLINGS, PREFIX_SHARE, PREFIX_COVERAGE = 8, 0.6, 0.5
 CONTAINER_SHARE = 0.9
-# Words that name a layer of any program and no domain; a parameter, this is its default.
-LAYERS = ("src", "lib", "libs", "test", "tests", "spec", "main", "index", "init", "pkg", "internal", "dist", "build", "vendor", "cmd", "bin", "api", "model", "models", "view", "views", "service", "services", "handler",
-          "handlers", "util", "utils", "helper", "helpers", "common", "core", "base", "shared", "type", "types", "app", "apps", "config", "configs", "tools", "impl", "error", "errors")
+# Words that name a layer of any program and no domain.
+LAYERS = tuple(
+    """
+    src lib libs test tests spec specs main index init pkg internal node modules dist build target vendor packages crates cmd bin api rest graphql grpc proto
+    schema schemas model models view views controller controllers service services handler handlers util utils helper helpers common core base shared
+    mutation mutations query queries type types resolver resolvers migration migrations management command commands admin app apps setting settings config
+    configs conf url urls form forms serializer serializers dataloader dataloaders fixture fixtures conftest factory factories mixin mixins impl error errors
+    exception exceptions const constants enum enums interface interfaces dto bean repository dao entity entities component components route routes hook hooks
+    middleware middlewares context contexts styles assets scripts docs examples e2e benchmark benchmarks
+    """.split()
+)
 
 
 def words(s: Column) -> Column:

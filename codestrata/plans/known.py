@@ -373,17 +373,23 @@ KNOWN = {
         ("Luau", "b:Function:2:4", "a", "c<b@2,require"), ("C", "b:Function:2:4", "a", "c<b@2"), ("Shell", "b:Function:2:4", "./a", "c<b@2")]),
 }
 _TYPES = {"string": "VARCHAR", "int": "INTEGER", "long": "BIGINT", "double": "DOUBLE"}
+_NONE = {"string": "(none)", "int": -1, "long": -1, "double": -1.0}  # what stands for NULL in these results
 
 
 def values(schema: str, rows: list[tuple]) -> str:
     """SQL of a table of literals."""
     names, types = zip(*(c.split(" ") for c in schema.split(", ")), strict=True)
-    one = lambda v, t: f"CAST({'NULL' if v is None else repr(v) if not isinstance(v, str) else chr(39) + v.replace(chr(39), chr(39) * 2) + chr(39)} AS {_TYPES[t]})"
+
+    def one(v, t: str) -> str:
+        v = _NONE[t] if v is None else v
+        return f"CAST({repr(v) if not isinstance(v, str) else chr(39) + v.replace(chr(39), chr(39) * 2) + chr(39)} AS {_TYPES[t]})"
+
     return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(one, r, types)) + ")" for r in rows) + f") AS t({', '.join(names)})"
 
 
 def _query(make, schema: str):
-    return lambda spark, sf_dir: make(spark).select(*[F.col(c.split(" ")[0]).cast(c.split(" ")[1]) for c in schema.split(", ")])
+    columns = [c.split(" ") for c in schema.split(", ")]
+    return lambda spark, sf_dir: make(spark).select(*[F.coalesce(F.col(c).cast(t), F.lit(_NONE[t]).cast(t)).alias(c) for c, t in columns])
 
 
 QUERIES = {name: _query(make, schema) for name, (make, schema, _) in KNOWN.items()}

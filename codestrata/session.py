@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,13 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from `spark.checkpoint.dir`.
 
-    Only a local master may go without that setting; it then gets a temporary folder.
+    Only a local master may go without that setting; it then gets a temporary folder, which is deleted when the program ends.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor shares")
-        where = "file://" + tempfile.mkdtemp(prefix="codestrata-")
+        own = tempfile.mkdtemp(prefix="codestrata-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        where = "file://" + own
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 

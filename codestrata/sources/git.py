@@ -28,14 +28,26 @@ class LogReader(DataSourceReader):
 
     def read(self, part):
         cmd = ["git", "-C", part.path, "log", "--name-only", f"--pretty=format:{FORMAT}"] + (["-n", str(int(self.limit))] if self.limit else [])
-        run = subprocess.run(cmd, capture_output=True, text=True, errors="replace", check=True)
         repo = part.path.rstrip("/").rsplit("/", 1)[-1]
-        for n, record in enumerate(x for x in run.stdout.split("\x1e") if x.strip()):
+        for n, record in enumerate(_records(cmd)):
             head, _, rest = record.partition("\n")
             h, an, ae, at, s = head.split("\x1f", 4)
             yield (repo, n, h, an, ae, int(at), s, [f"{repo}/{x}" for x in rest.split("\n") if x.strip()])
 
 
+def _records(cmd: list[str]):
+    """The records that a command writes, one at a time, however long its output is."""
+    with subprocess.Popen(cmd, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, text=True, errors="replace") as run:
+        held = ""
+        while chunk := run.stdout.read(1 << 20):
+            *done, held = (held + chunk).split("\x1e")
+            yield from (x for x in done if x.strip())
+        if held.strip():
+            yield held
+    if run.returncode:
+        raise subprocess.CalledProcessError(run.returncode, cmd)
+
+
 class LogSource(DataSource):
     @classmethod
     def name(cls):

@@ -28,7 +28,8 @@ def parse_lcov(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 def place(lines: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Report lines (path, line, hits) by indexed file (file, line, hits), and the paths that fit none.
 
-    A path's suffixes are joined with the files; the longest one that is a file's end wins. If two paths fit one
+    A path's suffixes are joined with those of the files, of each of which only the first file by name is kept, so that a
+    common base name is one row; the longest suffix that is a file's end wins. If two paths fit one
     file, the one that is last by name holds for the lines of both.
     """
     parts = F.split(F.translate("path", "\\", "/"), "/")
@@ -36,7 +37,7 @@ def place(lines: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     ends = paths.select("path", F.explode(F.sequence(F.lit(1), F.size("p"))).alias("i"), "p").select("path", (F.size("p") - F.col("i") + 1).alias("n"), F.array_join(F.slice("p", F.col("i"), F.size("p")), "/").alias("end"))
     q = F.split("file", "/")
     own = files.select("file", F.explode(F.sequence(F.lit(1), F.size(q))).alias("i")).select("file", F.array_join(F.slice(F.split("file", "/"), F.col("i"), F.size(F.split("file", "/"))), "/").alias("end"))
-    hit = ends.join(own, "end").groupBy("path").agg(F.min(F.struct((-F.col("n")).alias("n"), "file")).alias("m")).select("path", F.col("m.file").alias("file"))
+    hit = ends.join(own.groupBy("end").agg(F.min("file").alias("file")), "end").groupBy("path").agg(F.min(F.struct((-F.col("n")).alias("n"), "file")).alias("m")).select("path", F.col("m.file").alias("file"))
     placed = lines.join(hit, "path").groupBy("file", "line").agg(F.max(F.struct("path", "hits")).alias("m")).select("file", "line", F.col("m.hits").alias("hits"))
     return placed, paths.select("path").join(hit, "path", "left_anti")
 
