@@ -283,7 +283,7 @@ def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"\S"))
     hits = document_seeds(docs, seed_filter(spark, of_items)).withColumn("window", F.xxhash64("seed", "around"))
     hits = scratch.write(hits, "hits")
-    windows = hits.select("window", "seed", F.col("around").alias("doc_words")).dropDuplicates(["window"])
+    windows = hits.select("window", "seed", F.col("around").alias("doc_words")).distinct()
     same = windows.join(of_items.withColumnRenamed("around", "item_words"), "seed")
     found = _verified(same).distinct()
     return hits.select("doc_id", "window").distinct().join(found, "window").select("doc_id", "item_id").distinct()
