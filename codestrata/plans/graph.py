@@ -160,6 +160,7 @@ def god_class(spark, sf_dir):
     return M.symbols(spark, sf_dir).where("kind = 'Method' AND parent IS NOT NULL").groupBy("file", "parent").agg(F.count("*").alias("methods")).where("methods > 2")
 
 
+@M.once
 def lcom4_components(spark, sf_dir):
     accesses = table(spark, sf_dir, "field_accesses").select("method", "field_name").distinct()
     return G.cohesion(Scratch(spark, "cohesion"), accesses, M.symbols(spark, sf_dir).where("kind = 'Method'"))

@@ -61,6 +61,7 @@ def coverage_markers(spark, sf_dir):
 def findings(spark, sf_dir):
     """All findings of the kinds that the model tables can show. What several branches of the plan read is written once."""
     with M.shared(spark):
+        M.prepare(spark, sf_dir, [M.files, M.symbols, M.commits], [graph._calls, M.commit_files, M.import_edges, graph.lcom4_components], [history._history, history._pairs])
         return _findings(spark, sf_dir)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +43,13 @@ def once(make):
     return run
 
 
+def prepare(spark: SparkSession, sf_dir: str, *stages: list) -> None:
+    """Within `shared`: make the inputs of each stage side by side, so that small jobs do not wait for each other; a stage may read those before it."""
+    with ThreadPoolExecutor(max(map(len, stages))) as pool:
+        for stage in stages:
+            list(pool.map(lambda make: make(spark, sf_dir), stage))
+
+
 @once
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files still there, one row each."""
