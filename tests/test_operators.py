@@ -1,11 +1,12 @@
 import math
 import random
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from codestrata.operators import contracts, coverage, domains, graph, health, history, ledger, search, similarity, text, tour
+from codestrata.operators import contracts, coverage, domains, graph, health, history, ledger, overlap, search, similarity, text, tour
 from codestrata.plans import views
 from codestrata.session import Scratch
 
@@ -218,6 +219,24 @@ def test_similarity(spark):
     assert {(r.symbol, r.other) for r in similarity.code_near_duplicates(code).collect()} == {("x", "y"), ("y", "x")}
 
 
+def test_packed_overlap_is_the_join_s_and_writes_little(spark):
+    rng = random.Random(3)
+    pool = [" ".join(rng.choice("abcdefghij") * rng.randint(1, 3) for _ in range(12)) for _ in range(40)]
+    rows = [(7 * i - 900, " ".join(rng.choice(pool) for _ in range(rng.randint(0, 6))) + " x" * (i % 3)) for i in range(300)] + [(5000, None), (5001, ""), (5002, "a b")]
+    t = spark.createDataFrame(rows, "id long, text string")
+    for k, least in ((3, 0.5), (2, 0.3), (5, 0.8), (5, 1.0)):
+        theirs = similarity.overlap_pairs(similarity.shingle_table(t, "id", k), "id", least)
+        scratch = Scratch(spark, "t")
+        ours = overlap.text_pairs(scratch, t, "id", k, similarity.TOKEN, least)
+        assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, theirs.collect())) != []
+    assert overlap.text_pairs(scratch, t.where("id > 4999"), "id", 3, similarity.TOKEN, 0.5).collect() == []
+    alone = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(2000))) for i in range(200)], "id long, text string")
+    scratch = Scratch(spark, "t")
+    assert overlap.text_pairs(scratch, alone, "id", 5, similarity.TOKEN, 0.8).count() == 0
+    written = sum(p.stat().st_size for p in Path(scratch.root.removeprefix("file://")).rglob("*.parquet"))
+    assert written < 200_000  # the sets of the join were 3 MB or more
+
+
 def test_retrieval_falls_back_to_words(spark):
     docs = spark.createDataFrame([(1, "the queue"), (2, "a cache"), (3, "THE end")], "id int, text string")
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1])], "id int, vec array<double>")
