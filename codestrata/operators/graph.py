@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import warnings
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -276,31 +279,39 @@ def _grouped(batches):
     yield pd.DataFrame([(*x, root(x)[1]) for x in up], columns=["parent", "method", "label"], dtype=object)
 
 
-def communities(scratch: Scratch, edges: DataFrame, levels: int = 50, rounds: int = 200) -> DataFrame:
+LOCAL_PAIRS = 2_000_000  # communities of no more linked pairs are finished in one task, in arrays of numbers
+
+
+def communities(scratch: Scratch, edges: DataFrame, levels: int = 50, rounds: int = 200, local_pairs: int = LOCAL_PAIRS) -> DataFrame:
     """(id, community): modularity communities of an undirected view of `edges` (src, dst), named by their smallest node.
 
     In a round every node weighs the communities of its neighbours by what joining them would gain; of those that
     would gain a half drawn by hash moves, another one each round, so that neighbours do not trade places for ever. Once no node would gain
     communities become nodes, until none of them joins another. `levels` and `rounds` only guard against endless trading; reaching
-    either is warned of. Ties go to the smaller community. All steps are joins and partial sums.
+    either is warned of. Ties go to the smaller community. Gains are whole numbers. All steps are joins and partial sums; once
+    `local_pairs` linked pairs or fewer are left, one task goes through the same rounds, with the same result.
     """
-    pairs = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).groupBy("a", "b").agg(F.count("*").cast("double").alias("w"))
-    links = scratch.write(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), "links")
+    pairs = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).groupBy("a", "b").agg(F.count("*").alias("w"))
+    ways = F.array(F.struct("a", "b", "w"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    links = scratch.write(pairs.select(F.explode(ways).alias("l")).select("l.*"), "links")
     member = scratch.write(links.select(F.col("a").alias("id")).distinct().withColumn("community", F.col("id")), "member")
-    for _ in range(levels):
+    for level in range(levels):
+        half = links.where("a <= b")
+        if half.count() <= local_pairs:
+            numbered = half.select("a", "b", "w", F.xxhash64("a").alias("ha"), F.xxhash64("b").alias("hb"))
+            to = numbered.repartition(1).mapInArrow(_all_rounds(levels - level, rounds), "n string, to string")
+            return scratch.write(member.join(to, F.col("community") == F.col("n")).select("id", F.col("to").alias("community")), "member")
         home = links.groupBy(F.col("a").alias("n")).agg(F.sum("w").alias("degree")).withColumn("c", F.col("n"))
         home = scratch.write(home, "home")
         total = home.agg(F.sum("degree")).first()[0]
-        if not total:
-            break
         for turn in range(rounds):
             whole = home.groupBy("c").agg(F.sum("degree").alias("all"))
             near = links.where("a <> b").join(home.select(F.col("n").alias("b"), "c"), "b").groupBy(F.col("a").alias("n"), "c").agg(F.sum("w").alias("into"))
-            own = home.select("n", "c").withColumn("into", F.lit(0.0))
+            own = home.select("n", "c").withColumn("into", F.lit(0).cast("long"))
             near = near.unionByName(own).groupBy("n", "c").agg(F.sum("into").alias("into"))
             mine = home.select("n", "degree", F.col("c").alias("own"))
-            rest = F.col("all") - F.when(F.col("c") == F.col("own"), F.col("degree")).otherwise(0.0)
-            gain = F.round(F.col("into") - rest * F.col("degree") / total, 9)
+            rest = F.col("all") - F.when(F.col("c") == F.col("own"), F.col("degree")).otherwise(0)
+            gain = F.col("into") * F.lit(total).cast("long") - rest * F.col("degree")
             best = near.join(mine, "n").join(whole, "c").select("n", "degree", "own", "c", gain.alias("gain")).groupBy("n", "degree", "own")
             best = best.agg(F.min(F.struct((-F.col("gain")).alias("g"), F.col("c").alias("c"))).alias("m"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay"))
             gains = -F.col("m.g") > F.col("stay")
@@ -324,6 +335,96 @@ def communities(scratch: Scratch, edges: DataFrame, levels: int = 50, rounds: in
     return member
 
 
+def _all_rounds(levels: int, rounds: int):
+    """A function for mapInArrow that takes all links (a, b, w, ha, hb) with a <= b of its one partition and gives each node's last community."""
+
+    def run(batches):
+        t = pa.Table.from_batches([b for b in batches if b.num_rows] or [pa.RecordBatch.from_pylist([], schema=_LINKS)])
+        names = pc.unique(pa.chunked_array(t["a"].chunks + t["b"].chunks, type=pa.string()))
+        if not len(names):
+            return
+        names = names.take(pc.sort_indices(names))
+        a, b = (pc.index_in(t[x], value_set=names).to_numpy().astype(np.int64) for x in "ab")
+        coin = np.zeros(len(names), dtype=np.uint64)
+        for at, x in ((a, "ha"), (b, "hb")):
+            coin[at] = t[x].to_numpy().view(np.uint64)
+        w = t["w"].to_numpy()
+        two = a != b
+        to = _settled(np.r_[a, b[two]], np.r_[b, a[two]], np.r_[w, w[two]], coin, levels, rounds)
+        for k in range(0, len(names), 10_000):
+            yield pa.RecordBatch.from_arrays([names[k : k + 10_000], names.take(pa.array(to[k : k + 10_000]))], names=["n", "to"])
+
+    return run
+
+
+_LINKS = pa.schema([("a", pa.string()), ("b", pa.string()), ("w", pa.int64()), ("ha", pa.int64()), ("hb", pa.int64())])
+
+
+def _drawn(coin: np.ndarray, turn: int) -> np.ndarray:
+    """Whether xxhash64(n, turn) is even, for nodes of which xxhash64(n) is given."""
+    u = np.uint64
+    h = (coin + u(0x27D4EB2F165667C5) + u(4)) ^ (np.array([turn], dtype=u) * u(0x9E3779B185EBCA87))
+    h = ((h << u(23)) | (h >> u(41))) * u(0xC2B2AE3D27D4EB4F) + u(0x165667B19E3779F9)
+    h = (h ^ (h >> u(33))) * u(0xC2B2AE3D27D4EB4F)
+    h = (h ^ (h >> u(29))) * u(0x165667B19E3779F9)
+    return (h ^ (h >> u(32))) & u(1) == 0
+
+
+def _settled(a: np.ndarray, b: np.ndarray, w: np.ndarray, coin: np.ndarray, levels: int, rounds: int) -> np.ndarray:
+    """The last community of each node, by number; nodes are numbered in the order of their names, links go both ways."""
+    n = len(coin)
+    member = np.arange(n)
+    for _ in range(levels):
+        nodes = np.unique(a)
+        degree = _sums(a, w, n)
+        total = int(degree.sum())
+        c = np.arange(n)
+        apart = a != b
+        x, y, v = a[apart], b[apart], w[apart]
+        for turn in range(rounds):
+            whole = _sums(c[nodes], degree[nodes], n)
+            key = np.r_[x * n + c[y], nodes * n + c[nodes]]
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            into = np.add.reduceat(np.r_[v, np.zeros(len(nodes), dtype=np.int64)][order], first)
+            at, to = key[first] // n, key[first] % n
+            stays = to == c[at]
+            gain = into * total - (whole[to] - np.where(stays, degree[at], 0)) * degree[at]
+            start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            most = np.maximum.reduceat(gain, start)
+            best = np.flatnonzero(gain == np.repeat(most, np.diff(np.r_[start, len(at)])))
+            best = best[np.r_[True, at[best][1:] != at[best][:-1]]]  # the first is the smallest community
+            gains = most > gain[stays]
+            moves = gains & _drawn(coin[nodes], turn)
+            c[nodes[moves]] = to[best[moves]]
+            if not gains.any():
+                break
+        else:
+            warnings.warn(f"communities still gained after {rounds} rounds", stacklevel=2)
+        name = np.full(n, n)
+        np.minimum.at(name, c[nodes], nodes)
+        to = np.arange(n)
+        to[nodes] = name[c[nodes]]
+        if (to == np.arange(n)).all():
+            break
+        member = to[member]
+        key = to[a] * n + to[b]
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        a, b, w = key[first] // n, key[first] % n, np.add.reduceat(w[order], first)
+    else:
+        warnings.warn(f"communities still joined after {levels} levels", stacklevel=2)
+    return member
+
+
+def _sums(at: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(n, dtype=np.int64)
+    np.add.at(out, at, w)
+    return out
+
+
 def modularity(edges: DataFrame, member: DataFrame) -> DataFrame:
     """One row: modularity of the communities over the undirected view of `edges`."""
     pairs = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))

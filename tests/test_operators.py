@@ -144,6 +144,19 @@ def test_cohesion_and_communities(spark):
     assert math.isclose(q, 6 / 7 - 0.5)
 
 
+def test_communities_in_one_task_are_those_of_the_joins(spark):
+    rng = random.Random(5)
+    rows = [(f"n{rng.randrange(6) * 10 + rng.randrange(9)}", f"n{rng.randrange(60)}") for _ in range(60)] + [(f"n{g}{i}", f"n{g}{j}") for g in range(1, 4) for i in range(4) for j in range(i)]
+    e = spark.createDataFrame(rows, "src string, dst string")
+    s = Scratch(spark, "t")
+    one = sorted(map(tuple, graph.communities(s, e).collect()))
+    assert one == sorted(map(tuple, graph.communities(s, e, local_pairs=-1).collect())) and 1 < len({c for _, c in one}) < len(one)
+    assert one == sorted(map(tuple, graph.communities(s, e, local_pairs=30).collect()))
+    ids = spark.createDataFrame([(x,) for x, _ in one], "n string").withColumn("h", F.xxhash64("n")).withColumn("even", F.pmod(F.xxhash64("n", F.lit(7)), F.lit(2)) == 0).toPandas()
+    assert graph._drawn(ids.h.to_numpy().view("uint64"), 7).tolist() == ids.even.tolist()
+    assert graph.communities(s, e.where("src = dst")).collect() == []
+
+
 def test_communities_until_no_node_gains(spark):
     pairs = spark.createDataFrame([(f"a{i:04}", f"b{i:04}") for i in range(2000)], "src string, dst string")
     got = {r.id: r.community for r in graph.communities(Scratch(spark, "t"), pairs).collect()}
