@@ -250,6 +250,17 @@ def test_packed_overlap_is_the_join_s_and_writes_little(spark):
     assert written < 200_000  # the sets of the join were 3 MB or more
 
 
+def test_blocks_of_functions_find_the_pairs_of_the_join(spark):
+    rng = random.Random(4)
+    words = ["if", "(", ")", "{", "}", "return", "=", ";", "+"] + [f"v{i}" for i in range(40)]
+    rows = [(f"f{i:03}", " ".join(rng.choice(words[: 9 + i % 41]) for _ in range(rng.randint(1, 60))), i % 90) for i in range(150)] + [("none", None, 1), ("empty", "", 2)]
+    rows += [(f"g{i}", rows[i][1] + " ; x" * (i % 2), i % 90 + i % 3) for i in range(60)]
+    code = spark.createDataFrame(rows, "id string, text string, body_hash long")
+    theirs = sorted(map(tuple, similarity.code_near_duplicates(code).collect()))
+    for block in (1000, 50):
+        assert sorted(map(tuple, overlap.all_pairs(code, "id", "body_hash", 3, similarity.TOKEN, 0.5, block).collect())) == theirs != []
+
+
 def test_retrieval_falls_back_to_words(spark):
     docs = spark.createDataFrame([(1, "the queue"), (2, "a cache"), (3, "THE end")], "id int, text string")
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1])], "id int, vec array<double>")
