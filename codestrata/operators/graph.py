@@ -292,14 +292,16 @@ def communities(scratch: Scratch, edges: DataFrame, levels: int = 50, rounds: in
     `local_pairs` linked pairs or fewer are left, one task goes through the same rounds, with the same result.
     """
     pairs = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).groupBy("a", "b").agg(F.count("*").alias("w"))
+    pairs = scratch.write(pairs, "pairs")
+    if pairs.count() <= local_pairs:
+        return scratch.write(_finished(pairs, levels, rounds).toDF("id", "community"), "member")
     ways = F.array(F.struct("a", "b", "w"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
     links = scratch.write(pairs.select(F.explode(ways).alias("l")).select("l.*"), "links")
     member = scratch.write(links.select(F.col("a").alias("id")).distinct().withColumn("community", F.col("id")), "member")
     for level in range(levels):
         half = links.where("a <= b")
         if half.count() <= local_pairs:
-            numbered = half.select("a", "b", "w", F.xxhash64("a").alias("ha"), F.xxhash64("b").alias("hb"))
-            to = numbered.repartition(1).mapInArrow(_all_rounds(levels - level, rounds), "n string, to string")
+            to = _finished(half, levels - level, rounds)
             return scratch.write(member.join(to, F.col("community") == F.col("n")).select("id", F.col("to").alias("community")), "member")
         home = links.groupBy(F.col("a").alias("n")).agg(F.sum("w").alias("degree")).withColumn("c", F.col("n"))
         home = scratch.write(home, "home")
@@ -335,6 +337,12 @@ def communities(scratch: Scratch, edges: DataFrame, levels: int = 50, rounds: in
     return member
 
 
+def _finished(half: DataFrame, levels: int, rounds: int) -> DataFrame:
+    """(n, to): the last community of each node of the links (a, b, w) with a <= b, found by one task."""
+    numbered = half.select("a", "b", "w", F.xxhash64("a").alias("ha"), F.xxhash64("b").alias("hb"))
+    return numbered.repartition(1).mapInArrow(_all_rounds(levels, rounds), "n string, to string")
+
+
 def _all_rounds(levels: int, rounds: int):
     """A function for mapInArrow that takes all links (a, b, w, ha, hb) with a <= b of its one partition and gives each node's last community."""
 
@@ -371,52 +379,86 @@ def _drawn(coin: np.ndarray, turn: int) -> np.ndarray:
 
 
 def _settled(a: np.ndarray, b: np.ndarray, w: np.ndarray, coin: np.ndarray, levels: int, rounds: int) -> np.ndarray:
-    """The last community of each node, by number; nodes are numbered in the order of their names, links go both ways."""
-    n = len(coin)
-    member = np.arange(n)
+    """The last community of each node, by number; nodes are numbered in the order of their names, links go both ways, every node has one."""
+    member = name = np.arange(len(coin))
+    a, b, w = _added(a, b, w, len(coin))
     for _ in range(levels):
-        nodes = np.unique(a)
-        degree = _sums(a, w, n)
-        total = int(degree.sum())
-        c = np.arange(n)
-        apart = a != b
-        x, y, v = a[apart], b[apart], w[apart]
-        for turn in range(rounds):
-            whole = _sums(c[nodes], degree[nodes], n)
-            key = np.r_[x * n + c[y], nodes * n + c[nodes]]
-            order = np.argsort(key, kind="stable")
-            key = key[order]
-            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            into = np.add.reduceat(np.r_[v, np.zeros(len(nodes), dtype=np.int64)][order], first)
-            at, to = key[first] // n, key[first] % n
-            stays = to == c[at]
-            gain = into * total - (whole[to] - np.where(stays, degree[at], 0)) * degree[at]
-            start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-            most = np.maximum.reduceat(gain, start)
-            best = np.flatnonzero(gain == np.repeat(most, np.diff(np.r_[start, len(at)])))
-            best = best[np.r_[True, at[best][1:] != at[best][:-1]]]  # the first is the smallest community
-            gains = most > gain[stays]
-            moves = gains & _drawn(coin[nodes], turn)
-            c[nodes[moves]] = to[best[moves]]
-            if not gains.any():
-                break
-        else:
-            warnings.warn(f"communities still gained after {rounds} rounds", stacklevel=2)
-        name = np.full(n, n)
-        np.minimum.at(name, c[nodes], nodes)
-        to = np.arange(n)
-        to[nodes] = name[c[nodes]]
-        if (to == np.arange(n)).all():
+        n = len(coin)
+        c = _parted(a, b, w, coin, rounds)
+        first = np.full(n, n)
+        np.minimum.at(first, c, np.arange(n))
+        kept, to = np.unique(first[c], return_inverse=True)
+        if len(kept) == n:
             break
-        member = to[member]
-        key = to[a] * n + to[b]
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        a, b, w = key[first] // n, key[first] % n, np.add.reduceat(w[order], first)
+        member, name, coin = to[member], name[kept], coin[kept]
+        a, b, w = _added(to[a], to[b], w, len(kept))
     else:
         warnings.warn(f"communities still joined after {levels} levels", stacklevel=2)
-    return member
+    return name[member]
+
+
+def _parted(a: np.ndarray, b: np.ndarray, w: np.ndarray, coin: np.ndarray, rounds: int) -> np.ndarray:
+    """The community of each node once no node would gain. After a round only nodes are weighed anew for which a neighbour moved or
+    the degree of a community they touch changed; for the others the choice of an earlier round still holds."""
+    n = len(coin)
+    degree = _sums(a, w, n)
+    total = int(degree.sum())
+    x, y, v = (z[a != b] for z in (a, b, w))
+    begin = np.searchsorted(x, np.arange(n + 1))
+    c, whole = np.arange(n), degree.copy()
+    goal, gains = np.arange(n), np.zeros(n, dtype=bool)
+    at = np.arange(n)
+    for turn in range(rounds):
+        if len(at):  # none if no node was drawn
+            own, link = _links_of(at, begin)
+            key = np.r_[own * n + c[y[link]], np.arange(len(at)) * n + c[at]]
+            order = np.argsort(key)
+            first, key = _firsts(key[order])
+            into = np.add.reduceat(np.r_[v[link], np.zeros(len(at), dtype=np.int64)][order], first)
+            own, to = np.divmod(key, n)
+            node = at[own]
+            stays = to == c[node]
+            gain = into * total - (whole[to] - np.where(stays, degree[node], 0)) * degree[node]
+            most = np.maximum.reduceat(gain, _firsts(own)[0])
+            best = np.flatnonzero(gain == most[own])
+            best = best[_firsts(own[best])[0]]  # the first is the smallest community
+            goal[at], gains[at] = to[best], most > gain[stays]
+        would = np.flatnonzero(gains)
+        if not len(would):
+            break
+        moves = would[_drawn(coin[would], turn)]
+        before = whole.copy()
+        np.subtract.at(whole, c[moves], degree[moves])
+        c[moves] = goal[moves]
+        np.add.at(whole, c[moves], degree[moves])
+        touched = (whole != before)[c]
+        touched[moves] = True
+        touched[y[_links_of(np.flatnonzero(touched), begin)[1]]] = True
+        at = np.flatnonzero(touched)
+    else:
+        warnings.warn(f"communities still gained after {rounds} rounds", stacklevel=2)
+    return c
+
+
+def _links_of(at: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each link of the nodes `at`, the node's place in `at` and the link's number; the links of node i are those from begin[i] to begin[i + 1]."""
+    many = begin[at + 1] - begin[at]
+    place = np.repeat(np.arange(len(at)), many)
+    return place, np.arange(len(place)) + (begin[at] - np.cumsum(many) + many)[place]
+
+
+def _added(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The links in order, one for each two nodes, with their weights added up."""
+    key = a * n + b
+    order = np.argsort(key)
+    first, key = _firsts(key[order])
+    return *np.divmod(key, n), np.add.reduceat(w[order], first)
+
+
+def _firsts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each new key begins among ordered ones, and that key."""
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return first, key[first]
 
 
 def _sums(at: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:

@@ -3,6 +3,7 @@ import random
 from datetime import datetime
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,6 +158,42 @@ def test_communities_in_one_task_are_those_of_the_joins(spark):
     assert graph.communities(s, e.where("src = dst")).collect() == []
 
 
+def parted_plainly(pairs, coin, rounds):
+    """The first level's communities, all nodes weighed in every round."""
+    near = {i: {} for i in range(len(coin))}
+    for a, b, w in pairs:
+        near[a][b] = near[b][a] = w
+    degree = {i: sum(x.values()) for i, x in near.items()}
+    total, c = sum(degree.values()), list(near)
+    for turn in range(rounds):
+        whole = {k: sum(degree[i] for i in near if c[i] == k) for k in set(c)}
+        gain = lambda i, k: sum(w for j, w in near[i].items() if c[j] == k) * total - (whole[k] - (degree[i] if c[i] == k else 0)) * degree[i]  # noqa: B023, E731
+        goal = [min((-gain(i, k), k) for k in {c[i], *(c[j] for j in near[i])}) for i in near]
+        gains = [-g > gain(i, c[i]) for i, (g, _) in enumerate(goal)]
+        if not any(gains):
+            break
+        c = [goal[i][1] if gains[i] and even else c[i] for i, even in enumerate(graph._drawn(coin, turn))]
+    return [c.index(k) for k in c]
+
+
+@pytest.mark.filterwarnings("ignore:communities still")
+def test_communities_weigh_only_touched_nodes_anew(monkeypatch):
+    rng = random.Random(8)
+    sorted_rows = []
+    argsort = np.argsort
+    monkeypatch.setattr(graph.np, "argsort", lambda x, *k, **kw: sorted_rows.append(len(x)) or argsort(x, *k, **kw))
+    settled = lambda pairs, coin, rounds: graph._settled(*(np.array([p[k] for p in pairs] + [p[m] for p in pairs]) for k, m in ((0, 1), (1, 0), (2, 2))), coin, 1, rounds).tolist()
+    for n, rounds in ((12, 200), (30, 200), (60, 200), (60, 3), (60, 1)):
+        pairs = [(i - 1, i, 1) for i in range(1, n)] + [(*sorted(rng.sample(range(n), 2)), rng.randrange(1, 4)) for _ in range(n)]
+        pairs = list({p[:2]: p for p in pairs}.values())
+        coin = np.array([rng.getrandbits(64) for _ in range(n)], dtype=np.uint64)
+        assert settled(pairs, coin, rounds) == parted_plainly(pairs, coin, rounds)
+    sorted_rows.clear()
+    coin = np.array([rng.getrandbits(64) for _ in range(10_000)], dtype=np.uint64)
+    assert settled([(i, i + 1, 1) for i in range(0, 10_000, 2)], coin, 200) == [i // 2 * 2 for i in range(10_000)]
+    assert sum(sorted_rows) < 5 * 20_000  # all rows are sorted in each of a dozen rounds or more otherwise
+
+
 def test_communities_until_no_node_gains(spark):
     pairs = spark.createDataFrame([(f"a{i:04}", f"b{i:04}") for i in range(2000)], "src string, dst string")
     got = {r.id: r.community for r in graph.communities(Scratch(spark, "t"), pairs).collect()}
